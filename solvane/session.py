@@ -13,6 +13,7 @@ def local_session(cpus: int = 8, app: str = "solvane", **conf: str) -> SparkSess
         .appName(app)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
