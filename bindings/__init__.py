@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from bindings import cleaning, encoding, measuring, splitting  # noqa: F401
+    from bindings import cleaning, encoding, graphs, kernels, measuring, splitting, trials  # noqa: F401

@@ -50,11 +50,13 @@ def dense_bits(bits: str | Column, n_bits: int) -> Column:
 def pack_bits(bits: str | Column, n_bits: int) -> Column:
     """Set-bit positions as 64-bit words."""
     bits = as_column(bits)
-    words = []
-    for word in range((n_bits + 63) // 64):
-        own = F.filter(bits, lambda b, w=word: F.floor(b / 64) == w)
-        words.append(F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(b, F.lit(64)).cast("int")))))
-    return F.array(*words)
+
+    def word(number: int) -> Column:
+        own = F.filter(bits, lambda b: F.floor(b / 64) == number)
+        bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(b, F.lit(64)).cast("int"))
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda packed, b: packed.bitwiseOR(bit(b)))
+
+    return F.array(*[word(number) for number in range((n_bits + 63) // 64)])
 
 
 def cast_elements(array: str | Column, kind: str) -> Column:
