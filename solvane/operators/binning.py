@@ -23,7 +23,7 @@ def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     if not rows:
         raise ValueError(f"column {column} holds no values to bin")
     positions = [(rows - 1) * i // bins for i in range(bins + 1)]
-    found = keys_at_ranks(values, ["v"], positions)
+    found = keys_at_ranks(values, ["v"], positions, rows)
     edges = [0.0] + [found[p][0] for p in positions[1:]]
     for low, high in zip(edges, edges[1:]):
         if low >= high:

@@ -24,15 +24,14 @@ SORT_ROWS = 200_000
 RANGES = 4096
 
 
-def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int]) -> dict[int, tuple]:
+def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], rows: int | None = None, bounds: tuple | None = None) -> dict[int, tuple]:
     """Exact key tuples at the given 0-based ranks of ``df`` ordered by ``keys``.
 
     The first key must be numeric and no key may be null.  Ranks at or beyond
-    the row count are left out of the answer.
+    the row count are left out of the answer.  ``rows`` and ``bounds`` (values
+    that enclose the first key) save a pass where the caller knows them.
     """
-    if not ranks:
-        return {}
-    return _keys_at_ranks(df.select(*keys), list(keys), sorted(set(ranks)), SORT_ROWS, RANGES)
+    return _keys_at_ranks(df.select(*keys), list(keys), sorted(set(ranks)), rows, bounds)
 
 
 def _ordered_in_task(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[int, tuple]:
@@ -40,48 +39,60 @@ def _ordered_in_task(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[i
     return {row["_rank"]: tuple(row[k] for k in keys) for row in numbered.filter(F.col("_rank").isin(ranks)).collect()}
 
 
-def _keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int], sort_rows: int, ranges: int) -> dict[int, tuple]:
+def _keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int], rows: int | None, bounds: tuple | None) -> dict[int, tuple]:
     key = keys[0]
-    low, high, rows = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    if not ranks:
+        return {}
+    if rows is None or (rows > SORT_ROWS and bounds is None):
+        low, high, rows = df.agg(F.min(key), F.max(key), F.count("*")).first()
+        bounds = (low, high)
     ranks = [r for r in ranks if 0 <= r < rows]
     if not ranks:
         return {}
-    if low == high and len(keys) == 1:
-        return {r: (low,) for r in ranks}
-    if rows <= sort_rows:
+    if rows <= SORT_ROWS:
         return _ordered_in_task(df, keys, ranks)
+    low, high = bounds
     if low == high:
-        rest = _keys_at_ranks(df, keys[1:], ranks, sort_rows, ranges)
-        return {r: (low, *tail) for r, tail in rest.items()}
+        return _within_ties(df, keys, low, ranks, rows)
 
     share = (F.col(key).cast("double") - float(low)) / (float(high) - float(low))
-    ranged = df.withColumn("_range", F.least(F.floor(share * ranges), F.lit(ranges - 1)).cast("int"))
-    histogram = ranged.groupBy("_range").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("_range").collect()
+    ranged = df.withColumn("_range", F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).cast("int"))
+    histogram = ranged.groupBy("_range").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
     small, found, before = [], {}, 0
-    for row in histogram:
+    for row in histogram.orderBy("_range").collect():
         inside = [r for r in ranks if before <= r < before + row["n"]]
-        if inside and row["lo"] == row["hi"] and len(keys) == 1:
-            found.update({r: (row["lo"],) for r in inside})
-        elif inside and row["n"] <= sort_rows:
+        if inside and row["n"] <= SORT_ROWS:
             small.append((row["_range"], before, inside))
         elif inside:
             part = df.filter(F.col(key).between(row["lo"], row["hi"]))
-            local = _keys_at_ranks(part, keys, [r - before for r in inside], sort_rows, ranges)
+            local = _keys_at_ranks(part, keys, [r - before for r in inside], row["n"], (row["lo"], row["hi"]))
             found.update({r + before: value for r, value in local.items()})
         before += row["n"]
     if small:
-        order = Window.partitionBy("_range").orderBy(*keys)
-        wanted = ranged.filter(F.col("_range").isin([r for r, _, _ in small]))
-        wanted = wanted.withColumn("_rank", F.row_number().over(order) - 1)
-        hits = F.lit(False)
-        for number, offset, inside in small:
-            hits = hits | ((F.col("_range") == number) & F.col("_rank").isin([r - offset for r in inside]))
-        offsets = {number: offset for number, offset, _ in small}
-        for row in wanted.filter(hits).collect():
-            found[row["_rank"] + offsets[row["_range"]]] = tuple(row[k] for k in keys)
+        found.update(_within_ranges(ranged, keys, small))
     return found
 
 
+def _within_ties(df: DataFrame, keys: list[str], value, ranks: list[int], rows: int) -> dict[int, tuple]:
+    """All rows share the first key; the others decide."""
+    if len(keys) == 1:
+        return {r: (value,) for r in ranks}
+    rest = _keys_at_ranks(df.select(*keys[1:]), keys[1:], ranks, rows, None)
+    return {r: (value, *tail) for r, tail in rest.items()}
+
+
+def _within_ranges(ranged: DataFrame, keys: list[str], wanted: list[tuple]) -> dict[int, tuple]:
+    """Order the rows of a few value ranges, each inside a task, and pick the wanted positions."""
+    order = Window.partitionBy("_range").orderBy(*keys)
+    rows = ranged.filter(F.col("_range").isin([number for number, _, _ in wanted]))
+    hits = F.lit(False)
+    for number, offset, inside in wanted:
+        hits = hits | ((F.col("_range") == number) & F.col("_rank").isin([r - offset for r in inside]))
+    offsets = {number: offset for number, offset, _ in wanted}
+    picked = rows.withColumn("_rank", F.row_number().over(order) - 1).filter(hits).collect()
+    return {row["_rank"] + offsets[row["_range"]]: tuple(row[k] for k in keys) for row in picked}
+
+
 def before_key(keys: Sequence[str | Column], cutoff: tuple | None) -> Column:
     """True where ``keys`` sort strictly before ``cutoff``; without a cut-off always true."""
     if cutoff is None:

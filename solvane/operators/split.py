@@ -27,14 +27,14 @@ def _shuffled(df: DataFrame, id_col: str, seed: int | None) -> tuple[DataFrame,
     return keys, ["_hash", id_col], [hash32(seed, id_col), F.col(id_col)]
 
 
-def label_by_rank(df: DataFrame, id_col: str, sizes: Sequence[int], labels: Sequence, seed: int | None, column: str) -> DataFrame:
+def label_by_rank(df: DataFrame, id_col: str, sizes: Sequence[int], labels: Sequence, seed: int | None, column: str, rows: int | None = None) -> DataFrame:
     """Give the first ``sizes[0]`` rows ``labels[0]`` and so on; the rest gets the label after them or null."""
     keys, names, expressions = _shuffled(df, id_col, seed)
     bounds, total = [], 0
     for size in sizes:
         total += size
         bounds.append(total)
-    cutoffs = keys_at_ranks(keys, names, bounds)
+    cutoffs = keys_at_ranks(keys, names, bounds, rows, None if seed is None else (0, HASH_RANGE - 1))
     label = F.lit(labels[len(sizes)]) if len(labels) > len(sizes) else F.lit(None)
     for bound, value in reversed(list(zip(bounds, labels))):
         label = F.when(before_key(expressions, cutoffs.get(bound)), F.lit(value)).otherwise(label)
@@ -56,8 +56,9 @@ def resolve_sizes(total: int, sizes: Sequence[int | None]) -> tuple[int, int, in
 
 def split_by_size(df: DataFrame, id_col: str, sizes: Sequence[int | None], seed: int, column: str = "ml_phase") -> DataFrame:
     """Random train and val of exact size; everything else is test."""
-    train, val, _ = resolve_sizes(df.count(), sizes)
-    return label_by_rank(df, id_col, [train, val], ["train", "val", "test"], seed, column)
+    total = df.count()
+    train, val, _ = resolve_sizes(total, sizes)
+    return label_by_rank(df, id_col, [train, val], ["train", "val", "test"], seed, column, total)
 
 
 def split_by_column(df: DataFrame, column: str = "ml_phase") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -69,13 +70,14 @@ def random_subset(df: DataFrame, id_col: str, sizes: Sequence[int], seed: int =
     total = df.count()
     if sum(sizes) > total:
         raise ValueError(f"sizes {list(sizes)} do not fit {total} rows")
-    return label_by_rank(df, id_col, sizes, ["train", "val", "test"], seed, column).filter(F.col(column).isNotNull())
+    labelled = label_by_rank(df, id_col, sizes, ["train", "val", "test"], seed, column, total)
+    return labelled.filter(F.col(column).isNotNull())
 
 
 def hold_out(df: DataFrame, id_col: str, fraction: float, seed: int, column: str = "ml_phase") -> DataFrame:
     """Label ceil(fraction * n) random rows val, the others train; uses seed + 1."""
-    size = math.ceil(fraction * df.count())
-    return label_by_rank(df, id_col, [size], ["val", "train"], seed + 1, column)
+    total = df.count()
+    return label_by_rank(df, id_col, [math.ceil(fraction * total)], ["val", "train"], seed + 1, column, total)
 
 
 def fold_sizes(total: int, k: int) -> list[int]:
@@ -87,7 +89,8 @@ def with_fold(df: DataFrame, id_col: str, k: int, seed: int | None, column: str
 
     Without a seed the order of the ids is used as it is.
     """
-    return label_by_rank(df, id_col, fold_sizes(df.count(), k)[:-1], list(range(k)), seed, column)
+    total = df.count()
+    return label_by_rank(df, id_col, fold_sizes(total, k)[:-1], list(range(k)), seed, column, total)
 
 
 def with_fold_columns(df: DataFrame, id_col: str, k: int, seed: int, prefix: str = "ml_phase") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvane.operators.ranking import global_rank
-from solvane.storage import broadcast_if_small
+from solvane.storage import broadcast_if_small, cut
 
 # Up to this many entries a vocabulary travels as a map literal and encoding needs no shuffle.
 LITERAL_ENTRIES = 64
@@ -29,13 +29,17 @@ def first_seen(df: DataFrame, row: str = "row_id", pos: str = "pos", token: str
 
 
 def build_vocabulary(df: DataFrame, row: str = "row_id", pos: str = "pos", token: str = "token") -> DataFrame:
-    """Dense ids in the order in which tokens are first met."""
-    return global_rank(first_seen(df, row, pos, token), ["first_row", "first_pos"], "idx").select("token", "idx")
+    """Dense ids in the order in which tokens are first met.
+
+    A vocabulary is fitted once and looked up many times, so its tokens are written out.
+    """
+    first = cut(first_seen(df, row, pos, token))
+    return global_rank(first, ["first_row", "first_pos"], "idx").select("token", "idx")
 
 
 def extend_vocabulary(existing: DataFrame, df: DataFrame, row: str = "row_id", pos: str = "pos", token: str = "token", zero_for_new: bool = False) -> DataFrame:
     """Known tokens keep their ids; new ones follow after them, or all get 0."""
-    new = first_seen(df, row, pos, token).join(broadcast_if_small(existing.select("token")), "token", "left_anti")
+    new = cut(first_seen(df, row, pos, token).join(broadcast_if_small(existing.select("token")), "token", "left_anti"))
     if zero_for_new:
         added = new.select("token", F.lit(0).cast("bigint").alias("idx"))
     else:

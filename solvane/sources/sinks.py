@@ -38,5 +38,5 @@ def append_trials(trials: DataFrame, path: str) -> None:
 
 
 def append_metric_log(log: DataFrame, path: str) -> None:
-    """One folder per trial and fold; rows are gathered by them first, so that files stay few."""
-    write_table(log.repartition("trial", "fold"), path, "append", ("trial", "fold"))
+    """One folder per trial and fold; rows are gathered by them, so that files stay few, but a long log is split."""
+    write_table(log.hint("rebalance", "trial", "fold"), path, "append", ("trial", "fold"))
