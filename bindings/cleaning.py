@@ -11,6 +11,7 @@ from solvane.functions.smiles import heavy_atoms, looks_valid
 from solvane.operators import clean, scaling, vocab
 from solvane.plans.datasets import valid_molecules
 from solvane.sources.tables import append
+from solvane.storage import cut
 
 
 @query("p1_drop_incomplete", f"with {MEASURED_EVENTS} select event_id, user_id, pce from measured where pce is not null and not isnan(pce)")
@@ -85,7 +86,7 @@ def _known_words(spark, folder):
     docs = document_words(spark, folder)
     target = F.when(F.col("doc_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars").cast("double"))
     english = docs.filter(F.col("lang") == "en")
-    vocabulary = vocab.token_rows(english, "doc_id", "tokens").select("token").distinct().withColumn("idx", F.lit(0))
+    vocabulary = cut(vocab.token_rows(english, "doc_id", "tokens").select("token").distinct().withColumn("idx", F.lit(0)))
     return docs.select("doc_id", "tokens", target.alias("target")), vocabulary
 
 

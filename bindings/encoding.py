@@ -9,6 +9,8 @@ from bindings.tables import ATOMS_SQL, DOCUMENT_WORDS, MOLECULES, VALID, documen
 from solvane.functions import arrays, smiles
 from solvane.functions.callables import resolve, row_featuriser
 from solvane.operators import vocab
+from solvane.plans.datasets import extended_dictionary
+from solvane.storage import cut
 from solvane.sources.vocabularies import NODE_TYPES, node_token, vocabulary
 
 FIRST_SEEN = """first as (select token, min((doc_id, pos)) as met from tokens group by token),
@@ -19,15 +21,17 @@ vocabulary as (select token, row_number() over (order by met) - 1 as idx from fi
 
 
 def _tokens(spark, folder, language=None):
+    return vocab.token_rows(_docs(spark, folder, language), "doc_id", "tokens")
+
+
+def _docs(spark, folder, language=None):
     docs = document_words(spark, folder)
-    if language is not None:
-        docs = docs.filter(F.col("lang") == language)
-    return docs.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return docs if language is None else docs.filter(F.col("lang") == language)
 
 
 @query("w1_build_vocabulary", f"with {DOCUMENT_WORDS}, {FIRST_SEEN} select token, idx from vocabulary")
 def w1(spark, folder):
-    return vocab.build_vocabulary(_tokens(spark, folder), "doc_id")
+    return vocab.build_vocabulary(_docs(spark, folder), "doc_id", "tokens")
 
 
 @query(
@@ -38,8 +42,8 @@ def w1(spark, folder):
     select token, row_number() over (order by met) - 1 + (select count(*) from vocabulary) from new""",
 )
 def w2(spark, folder):
-    known = vocab.build_vocabulary(_tokens(spark, folder, "en"), "doc_id")
-    return vocab.extend_vocabulary(known, _tokens(spark, folder, "de"), "doc_id")
+    known = vocab.build_vocabulary(_docs(spark, folder, "en"), "doc_id", "tokens")
+    return extended_dictionary(known, _docs(spark, folder, "de"), "doc_id", "tokens")
 
 
 @query(
@@ -48,8 +52,8 @@ def w2(spark, folder):
     select token, idx from vocabulary union all select distinct token, 0::bigint from tokens where lang = 'fr' and token not in (select token from vocabulary)""",
 )
 def w2_zero(spark, folder):
-    known = vocab.build_vocabulary(_tokens(spark, folder, "en"), "doc_id")
-    return vocab.extend_vocabulary(known, _tokens(spark, folder, "fr"), "doc_id", zero_for_new=True)
+    known = vocab.build_vocabulary(_docs(spark, folder, "en"), "doc_id", "tokens")
+    return vocab.extend_vocabulary(known, vocab.first_seen(_docs(spark, folder, "fr"), "doc_id", "tokens"), zero_for_new=True)
 
 
 @query(
@@ -59,7 +63,7 @@ def w2_zero(spark, folder):
     select d.doc_id, coalesce(e.ids, '') as ids, coalesce(e.length, 0)::int as length from docs d left join e on d.doc_id = e.doc_id""",
 )
 def w3(spark, folder):
-    known = vocab.build_vocabulary(_tokens(spark, folder, "en"), "doc_id")
+    known = vocab.build_vocabulary(_docs(spark, folder, "en"), "doc_id", "tokens")
     encoded = vocab.encode_sequences(document_words(spark, folder), "doc_id", "tokens", known)
     return encoded.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").alias("length"))
 
@@ -69,7 +73,7 @@ def w3(spark, folder):
     f"""with {DOCUMENT_WORDS}, {FIRST_SEEN} select doc_id, sum(idx)::bigint as total from tokens join vocabulary using (token) group by doc_id""",
 )
 def w3_strict(spark, folder):
-    known = vocab.build_vocabulary(_tokens(spark, folder), "doc_id")
+    known = vocab.build_vocabulary(_docs(spark, folder), "doc_id", "tokens")
     encoded = vocab.encode_rows(_tokens(spark, folder), "token", known, strict=True)
     return encoded.groupBy("doc_id").agg(F.sum("idx").alias("total"))
 
@@ -85,7 +89,7 @@ PART_WORDS = "w as (select p_partkey, p_brand, unnest(string_split(p_name, ' '))
 )
 def j1(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_brand", F.split("p_name", " ").alias("tokens"))
-    known = vocab.build_vocabulary(vocab.token_rows(parts.filter(F.col("p_brand").isin("Brand#1", "Brand#2")), "p_partkey", "tokens"), "p_partkey")
+    known = vocab.build_vocabulary(parts.filter(F.col("p_brand").isin("Brand#1", "Brand#2")), "p_partkey", "tokens")
     encoded = vocab.encode_sequences(parts, "p_partkey", "tokens", known)
     return encoded.select("p_partkey", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
@@ -100,8 +104,8 @@ def w4(spark, folder):
     f"with {DOCUMENT_WORDS}, v as (select distinct token from tokens where lang = 'en') select distinct doc_id from tokens where lang <> 'en' and token not in (select token from v)",
 )
 def w4_rows(spark, folder):
-    known = _tokens(spark, folder, "en").select("token").distinct()
-    return vocab.rows_with_unknown(document_words(spark, folder).filter(F.col("lang") != "en"), "doc_id", "tokens", known.withColumn("idx", F.lit(0)))
+    known = cut(_tokens(spark, folder, "en").select("token").distinct().withColumn("idx", F.lit(0)))
+    return vocab.rows_with_unknown(document_words(spark, folder).filter(F.col("lang") != "en"), "doc_id", "tokens", known)
 
 
 @query("w7_sorted_ends", "select least(l_partkey, l_suppkey) as low, greatest(l_partkey, l_suppkey) as high, count(*) as n from lineitem group by 1, 2")
@@ -120,7 +124,7 @@ atoms as (select id, pos, token, upper(substr(symbol_text, 1, 1)) || substr(symb
 
 
 def atoms(spark, folder):
-    exploded = molecules(spark, folder).select("id", F.posexplode(smiles.atom_tokens("smiles")).alias("pos", "token"))
+    exploded = vocab.token_rows(molecules(spark, folder).select("id", smiles.atom_tokens("smiles").alias("tokens")), "id", "tokens")
     symbol = smiles.raw_symbol(F.col("token"))
     return exploded.select("id", "pos", "token", F.concat(F.upper(F.substring(symbol, 1, 1)), F.substring(symbol, 2, 1)).alias("symbol"), smiles.is_aromatic(F.col("token")).alias("aromatic"))
 

@@ -11,6 +11,7 @@ from solvane.functions.arrays import shift_and_pad
 from solvane.operators import fingerprint, graph, vocab
 from solvane.operators.ranking import global_rank
 from solvane.plans.datasets import with_fingerprints
+from solvane.storage import cut, stage
 
 GRAPHS = """base as (
   select l_orderkey as graph_id, l_linenumber, min(l_returnflag || l_linestatus) as label, avg(l_quantity) as h0, avg(l_tax) as h1
@@ -125,17 +126,18 @@ FREQUENT = "vocabulary as (select label as token, row_number() over (order by n
     f"with recursive {ROUND1.removeprefix('with ')}, {BFS}, {FREQUENT} select w.graph_id, w.position, coalesce(v.idx, -1)::int as idx from walked w join r1 using (graph_id, node_id) left join vocabulary v on v.token = r1.label",
 )
 def g5(spark, folder):
-    nodes, edges = nodes_and_edges(spark, folder)
-    frequent = graph.label_statistics(graph.fragments(nodes, edges, 1)[1]).filter("nodes >= 5").select(F.col("label").alias("token"), (-F.col("nodes")).alias("less"))
-    known = global_rank(frequent, ["less", "token"], "idx").select("token", "idx")
-    return graph.fragment_sequence(nodes, edges, 1, known)
+    nodes, edges = (stage(t, n) for t, n in zip(nodes_and_edges(spark, folder), ("nodes", "edges")))
+    labels = stage(graph.fragments(nodes, edges, 1)[1], "labels")
+    frequent = graph.label_statistics(labels).filter("nodes >= 5").select(F.col("label").alias("token"), (-F.col("nodes")).alias("less"))
+    known = cut(global_rank(cut(frequent), ["less", "token"], "idx").select("token", "idx"))
+    return graph.fragment_sequence(nodes, edges, 1, known, labels=labels)
 
 
 LABELS = "v as (select label, row_number() over (order by label) - 1 as idx from (select distinct label from nodes))"
 
 
 def _label_vocabulary(nodes):
-    return global_rank(nodes.select(F.col("label").alias("token")).distinct(), ["token"], "idx")
+    return global_rank(cut(nodes.select(F.col("label").alias("token")).distinct()), ["token"], "idx")
 
 
 @query("g6_node_sequence", f"with {GRAPHS}, {LABELS} select graph_id, string_agg(idx::varchar, ',' order by node_id) as ids from nodes join v using (label) group by graph_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solvane.storage import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -131,7 +133,8 @@ def words(text: str | Column) -> Column:
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, lang, n_chars, tokens)"""
-    return table(spark, folder, "documents").select("doc_id", "lang", "n_chars", words("text").alias("tokens"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id")
+    return docs.select("doc_id", "lang", "n_chars", words("text").alias("tokens"))
 
 
 DOCUMENT_WORDS = """docs as (select doc_id, lang, n_chars, regexp_extract_all(lower(text), '[a-z]+') as tokens from documents),

@@ -169,9 +169,13 @@ def _bfs_by_level(nodes: DataFrame, edges: DataFrame, start: int, order: str) ->
     return ranked.join(starts, GRAPH).select(GRAPH, "node_id", (F.col("_at") - F.col("_from")).alias("position"))
 
 
-def fragment_sequence(nodes: DataFrame, edges: DataFrame, radius: int, vocabulary: DataFrame, start: int = 0) -> DataFrame:
-    """(graph_id, position, idx): fragment ids in breadth-first order, -1 for unknown fragments."""
-    labels = fragments(nodes, edges, radius)[radius]
+def fragment_sequence(nodes: DataFrame, edges: DataFrame, radius: int, vocabulary: DataFrame, start: int = 0, labels: DataFrame | None = None) -> DataFrame:
+    """(graph_id, position, idx): fragment ids in breadth-first order, -1 for unknown fragments.
+
+    ``labels`` saves the relabelling where its result is already at hand.
+    """
+    if labels is None:
+        labels = fragments(nodes, edges, radius)[radius]
     placed = bfs_order(nodes, edges, start).join(labels, [GRAPH, "node_id"])
     return encode_rows(placed, "label", vocabulary).select(GRAPH, "position", "idx")
 

@@ -128,12 +128,11 @@ def with_batch(df: DataFrame, id_col: str, batch_size: int, seed: int | None, co
 # Stratified sampling ---------------------------------------------------------
 
 
-def proportional_quotas(strata: DataFrame, size: int, stratum: str = "stratum", count: str = "n") -> DataFrame:
-    """Largest-remainder shares of ``size`` per stratum; ties go to the lower stratum.
+def proportional_quotas(strata: DataFrame, size: int, total: int, stratum: str = "stratum", count: str = "n") -> DataFrame:
+    """Largest-remainder shares of ``size`` out of ``total`` rows; ties go to the lower stratum.
 
     ``strata`` has one row per bin, so its windows are small.
     """
-    total = strata.agg(F.sum(count)).first()[0] or 0
     if size > total:
         raise ValueError(f"cannot draw {size} of {total} rows")
     if size == 0:
@@ -146,7 +145,7 @@ def proportional_quotas(strata: DataFrame, size: int, stratum: str = "stratum",
     return shares.withColumn("quota", F.col("_floor") + extra.cast("bigint")).drop("_rest", "_floor")
 
 
-def _stratum_cutoffs(keyed: DataFrame, id_col: str, quotas: DataFrame, largest: int) -> DataFrame:
+def _stratum_cutoffs(keyed: DataFrame, id_col: str, quotas: DataFrame, strata: int, largest: int) -> DataFrame:
     """(stratum, hash, id) of the last row to draw in each stratum.
 
     A large stratum is counted per hash range first; only the range that holds
@@ -155,17 +154,15 @@ def _stratum_cutoffs(keyed: DataFrame, id_col: str, quotas: DataFrame, largest:
     ranges = max(1, math.ceil(4 * largest / SORT_ROWS))
     range_of = F.floor(F.col("_hash") * ranges / HASH_RANGE).cast("int")
     ranged = keyed.select("stratum", "_hash", id_col, range_of.alias("_range"))
-    wanted = quotas.filter("quota > 0").select("stratum", "quota")
+    wanted = quotas.filter("quota > 0").select("stratum", F.lit(0).alias("_range"), "quota")
     if ranges > 1:
         histogram = ranged.groupBy("stratum", "_range").agg(F.count("*").alias("_n"))
         upto = Window.partitionBy("stratum").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-        running = histogram.withColumn("_upto", F.sum("_n").over(upto)).join(broadcast_if_small(wanted), "stratum")
+        running = histogram.withColumn("_upto", F.sum("_n").over(upto)).join(broadcast_if_small(wanted.drop("_range"), strata), "stratum")
         holding = running.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        wanted = cut(holding.select("stratum", "_range", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("quota")))
-    else:
-        wanted = wanted.withColumn("_range", F.lit(0))
+        wanted = holding.select("stratum", "_range", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("quota"))
     order = Window.partitionBy("stratum", "_range").orderBy("_hash", id_col)
-    inside = ranged.join(broadcast_if_small(wanted), ["stratum", "_range"])
+    inside = ranged.join(broadcast_if_small(wanted, strata), ["stratum", "_range"])
     last = inside.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") == F.col("quota"))
     return last.select("stratum", F.col("_hash").alias("_last_hash"), F.col(id_col).alias("_last_id"))
 
@@ -179,11 +176,11 @@ def mark_stratified(df: DataFrame, id_col: str, stratum: Column, size: int, seed
     value = F.coalesce(stratum.cast("bigint"), F.lit(-1))
     keyed = df.select(value.alias("stratum"), hash32(seed, id_col).alias("_hash"), id_col)
     strata = cut(keyed.groupBy("stratum").agg(F.count("*").alias("n")))
-    smallest, largest, bins = strata.agg(F.min("n"), F.max("n"), F.count("*")).first()
+    smallest, largest, bins, total = strata.agg(F.min("n"), F.max("n"), F.count("*"), F.sum("n")).first()
     if strict and bins and (smallest < 2 or size < bins):
         raise ValueError(f"{bins} strata, smallest of {smallest} rows, cannot share {size} rows")
-    quotas = cut(proportional_quotas(strata, size))
-    cutoffs = cut(_stratum_cutoffs(keyed, id_col, quotas, largest or 0))
+    quotas = proportional_quotas(strata, size, total or 0)
+    cutoffs = cut(_stratum_cutoffs(keyed, id_col, quotas, bins, largest or 0))
     marked = df.withColumn("stratum", value).join(broadcast_if_small(cutoffs, bins), "stratum", "left")
     hashed = hash32(seed, id_col)
     drawn = (hashed < F.col("_last_hash")) | ((hashed == F.col("_last_hash")) & (F.col(id_col) <= F.col("_last_id")))

@@ -18,33 +18,54 @@ LITERAL_ENTRIES = 64
 
 
 def token_rows(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
-    """(id, pos, token), one row per token."""
-    return df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
+    """(id, pos, token), one row per token.
 
+    The outer explode keeps Spark from adding a filter that would work out the
+    tokens a second time.
+    """
+    return df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token")).filter(F.col("pos").isNotNull())
+
+
+def first_seen(df: DataFrame, row: str, tokens: str) -> DataFrame:
+    """Distinct tokens of an array column with the (row, position) where each is first met.
+
+    Positions count the distinct tokens of a row, which keeps their order; a
+    token then has one position per row and the minimum can be hash-aggregated.
+    """
+    once = token_rows(df.select(row, F.array_distinct(tokens).alias(tokens)), row, tokens)
+    return once.groupBy("token").agg(F.min(row).alias("first_row"), F.min_by("pos", row).alias("first_pos"))
 
-def first_seen(df: DataFrame, row: str = "row_id", pos: str = "pos", token: str = "token") -> DataFrame:
-    """Distinct tokens with the (row, pos) where each is first met."""
-    first = df.groupBy(F.col(token).alias("token")).agg(F.min(F.struct(F.col(row).alias("row"), F.col(pos).alias("pos"))).alias("at"))
-    return first.select("token", F.col("at.row").alias("first_row"), F.col("at.pos").alias("first_pos"))
 
+def first_seen_rows(df: DataFrame, row: str, pos: str, token: str) -> DataFrame:
+    """As :func:`first_seen` for a table with one row per token."""
+    once = df.groupBy(F.col(token).alias("token"), row).agg(F.min(pos).alias("_pos"))
+    return once.groupBy("token").agg(F.min(row).alias("first_row"), F.min_by("_pos", row).alias("first_pos"))
 
-def build_vocabulary(df: DataFrame, row: str = "row_id", pos: str = "pos", token: str = "token") -> DataFrame:
-    """Dense ids in the order in which tokens are first met.
+
+def numbered(first: DataFrame, start: int = 0) -> DataFrame:
+    """Dense ids from ``start`` in the order of first sight.
 
     A vocabulary is fitted once and looked up many times, so its tokens are written out.
     """
-    first = cut(first_seen(df, row, pos, token))
-    return global_rank(first, ["first_row", "first_pos"], "idx").select("token", "idx")
+    ranked = global_rank(cut(first), ["first_row", "first_pos"], "idx")
+    return ranked.select("token", (F.col("idx") + F.lit(start)).alias("idx"))
+
+
+def build_vocabulary(df: DataFrame, row: str, tokens: str) -> DataFrame:
+    """Dense ids in the order in which the tokens of an array column are first met."""
+    return numbered(first_seen(df, row, tokens))
 
 
-def extend_vocabulary(existing: DataFrame, df: DataFrame, row: str = "row_id", pos: str = "pos", token: str = "token", zero_for_new: bool = False) -> DataFrame:
-    """Known tokens keep their ids; new ones follow after them, or all get 0."""
-    new = cut(first_seen(df, row, pos, token).join(broadcast_if_small(existing.select("token")), "token", "left_anti"))
+def extend_vocabulary(existing: DataFrame, first: DataFrame, zero_for_new: bool = False) -> DataFrame:
+    """Known tokens keep their ids; those new in ``first`` follow after them, or all get 0.
+
+    ``first`` comes from :func:`first_seen` over the second data set.
+    """
+    new = first.join(broadcast_if_small(existing.select("token")), "token", "left_anti")
     if zero_for_new:
         added = new.select("token", F.lit(0).cast("bigint").alias("idx"))
     else:
-        size = existing.count()
-        added = global_rank(new, ["first_row", "first_pos"], "idx").select("token", (F.col("idx") + F.lit(size)).alias("idx"))
+        added = numbered(new, existing.count())
     return existing.select("token", F.col("idx").cast("bigint").alias("idx")).unionByName(added)
 
 
@@ -90,7 +111,7 @@ def rows_with_unknown(df: DataFrame, id_col: str, tokens: str, vocabulary: DataF
     literal = _as_map(vocabulary)
     if literal is not None:
         return df.filter(F.exists(tokens, lambda t: F.try_element_at(literal, t).isNull())).select(id_col)
-    distinct = df.select(id_col, F.explode(F.array_distinct(tokens)).alias("token"))
+    distinct = token_rows(df.select(id_col, F.array_distinct(tokens).alias(tokens)), id_col, tokens)
     return distinct.join(broadcast_if_small(vocabulary.select("token")), "token", "left_anti").select(id_col).distinct()
 
 

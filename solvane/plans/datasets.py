@@ -14,7 +14,7 @@ from solvane.operators.clean import at_least, keep_valid, rows_between, thin_out
 from solvane.operators.fingerprint import add_fingerprint_columns, fingerprints
 from solvane.operators.graph import GRAPH
 from solvane.operators.split import random_subset, stratified_split, with_fold_columns
-from solvane.operators.vocab import extend_vocabulary
+from solvane.operators.vocab import extend_vocabulary, first_seen
 
 # Thresholds and sizes of the published data sets.
 MIN_PCE = 0.0001
@@ -44,9 +44,9 @@ def cleaned_and_random(df: DataFrame, id_col: str, target: str, sizes: Sequence[
     return random_subset(_cleaned(df, id_col, target, threshold, thinning, seed), id_col, sizes, seed)
 
 
-def extended_dictionary(known: DataFrame, tokens: DataFrame, row: str = "row_id") -> DataFrame:
+def extended_dictionary(known: DataFrame, df: DataFrame, row: str, tokens: str) -> DataFrame:
     """The vocabulary of one data set continued with the tokens of another."""
-    return extend_vocabulary(known, tokens, row)
+    return extend_vocabulary(known, first_seen(df, row, tokens))
 
 
 def with_folds(df: DataFrame, id_col: str, k: int = 5, seed: int = 200) -> DataFrame:

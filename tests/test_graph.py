@@ -93,8 +93,8 @@ def test_known_fragments_of_a_molecule(spark):
 
 def test_unknown_fragments_are_minus_one(spark):
     _, _, nodes, edges = random_graphs(spark)
-    labels = graph.fragments(nodes, edges, 1)[1].select(F.lit(0).cast("bigint").alias("row_id"), F.col("node_id").alias("pos"), F.col("label").alias("token"), "graph_id")
-    known = vocab.build_vocabulary(labels.filter("graph_id < 6").withColumn("row_id", F.col("graph_id")))
+    labels = graph.fragments(nodes, edges, 1)[1].select(F.col("node_id").alias("pos"), F.col("label").alias("token"), "graph_id")
+    known = vocab.numbered(vocab.first_seen_rows(labels.filter("graph_id < 6"), "graph_id", "pos", "token"))
     sequence = graph.fragment_sequence(nodes, edges, 1, known)
     seen = {r["token"] for r in known.collect()}
     wanted = {(r["graph_id"], r["pos"]): r["token"] in seen for r in labels.collect()}

@@ -24,14 +24,16 @@ def python_dictionary(rows, known=()):
 
 def test_dictionary_is_first_seen(spark):
     rows, df = tokens(spark)
-    built = vocab.build_vocabulary(vocab.token_rows(df, "row_id", "tokens"))
+    built = vocab.build_vocabulary(df, "row_id", "tokens")
     assert {r["token"]: r["idx"] for r in built.collect()} == python_dictionary(rows)
+    long = vocab.numbered(vocab.first_seen_rows(vocab.token_rows(df, "row_id", "tokens"), "row_id", "pos", "token"))
+    assert {r["token"]: r["idx"] for r in long.collect()} == python_dictionary(rows)
 
 
 def test_extension_keeps_known_ids(spark):
     rows, df = tokens(spark)
     known = spark.createDataFrame([("t3", 0), ("zz", 1)], "token string, idx int")
-    long = vocab.token_rows(df, "row_id", "tokens")
+    long = vocab.first_seen(df, "row_id", "tokens")
     assert {r["token"]: r["idx"] for r in vocab.extend_vocabulary(known, long).collect()} == python_dictionary(rows, {"t3": 0, "zz": 1})
     zero = {r["token"]: r["idx"] for r in vocab.extend_vocabulary(known, long, zero_for_new=True).collect()}
     assert zero["zz"] == 1 and zero["t0"] == 0
