@@ -62,11 +62,11 @@ def sp2(spark, folder):
     "sp3_random_subset",
     f"""with c as (select event_id, value from events where value >= 5 and (value >= 60 or {uniform_sql(100, 'event_id')} >= 0.3)),
     r as ({ranked_sql('c', 'event_id', 100, ', value')})
-    select event_id, value, case when rk < 500 then 'train' when rk < 600 then 'val' else 'test' end as ml_phase from r where rk < 800""",
+    select event_id, value, case when rk < 400 then 'train' when rk < 500 then 'val' else 'test' end as ml_phase from r where rk < 650""",
 )
 def sp3(spark, folder):
     thinning = {"threshold": 60.0, "skip": 0.3}
-    return datasets.cleaned_and_random(_events(spark, folder, "value"), "event_id", "value", [500, 100, 200], 5.0, thinning, 100)
+    return datasets.cleaned_and_random(_events(spark, folder, "value"), "event_id", "value", [400, 100, 150], 5.0, thinning, 100)
 
 
 def stratified_sql(source: str, row_id: str, value: str, size: int, step: float, seed: int, name: str) -> str:

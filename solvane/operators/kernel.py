@@ -32,11 +32,8 @@ def _with_blocks(x: DataFrame, x_id: str, support: DataFrame, y_id: str, feature
     packed = support.groupBy(number.alias("_block")).agg(F.sort_array(F.collect_list(entry)).alias("_support"))
     if rows <= BROADCAST_SUPPORT_ROWS:
         packed = F.broadcast(packed)
-    spread = x.select(x_id, F.struct(*features).alias("_x"))
-    if blocks == 1:
-        spread = spread.withColumn("_block", F.lit(0))
-    else:
-        spread = spread.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    spread = x.select(x_id, F.struct(*features).alias("_x")).withColumn("_block", every_block)
     return spread.join(packed, "_block"), blocks
 
 

@@ -41,15 +41,15 @@ def accuracy(y: str | Column, p: str | Column) -> Column:
     return F.avg((as_column(y) == as_column(p)).cast("double")).alias("accuracy")
 
 
-def ensemble_metrics(predictions: DataFrame, row: str = "row_id", model: str = "model", y: str = "measured", p: str = "predicted", groups: Sequence[str] = ()) -> DataFrame:
-    """Mean of the models' mse beside the metrics of the row-wise mean prediction."""
-    keys = list(groups) or ["_all"]
-    if not groups:
-        predictions = predictions.withColumn("_all", F.lit(0))
-    mse = predictions.groupBy(*keys, model).agg(F.avg((F.col(y) - F.col(p)) ** 2).alias("mse"))
-    mean_mse = mse.groupBy(*keys).agg(F.avg("mse").alias("mean_mse"))
-    mean_prediction = predictions.groupBy(*keys, row).agg(F.first(y).alias(y), F.avg(p).alias(p))
-    return metrics_by(mean_prediction, keys, y, p).join(mean_mse, keys).drop("_all")
+def ensemble_metrics(predictions: DataFrame, row: str = "row_id", y: str = "measured", p: str = "predicted", groups: Sequence[str] = ()) -> DataFrame:
+    """Mean of the models' mse beside the metrics of the row-wise mean prediction.
+
+    Every model predicts every row, so the mean over models of the mean over
+    rows is the mean over rows of the mean over models, and one grouping by row
+    serves both.
+    """
+    per_row = predictions.groupBy(*groups, row).agg(F.first(y).alias(y), F.avg(p).alias(p), F.avg((F.col(y) - F.col(p)) ** 2).alias("_squared"))
+    return per_row.groupBy(*groups).agg(*regression_metrics(y, p), F.avg("_squared").alias("mean_mse"))
 
 
 def fold_summary(scores: DataFrame, groups: Sequence[str], score: str = "score") -> DataFrame:

@@ -91,7 +91,7 @@ def run_cv_trial(estimator: Estimator, df: DataFrame, id_col: str, folds: int, f
     sets = {"train": own, **{name: predictions(data, [id_col, label]) for name, data in (extra or {}).items()}}
     ensemble = None
     for name, scored in sets.items():
-        row = ensemble_metrics(scored, id_col, "model", label, "predicted").withColumn("data", F.lit(name))
+        row = ensemble_metrics(scored, id_col, label, "predicted").withColumn("data", F.lit(name))
         ensemble = row if ensemble is None else ensemble.unionByName(row)
     return models, summary, ensemble
 
