@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from bindings import cleaning, encoding, files, graphs, kernels, measuring, models, splitting, streams, trials  # noqa: F401
+    from bindings import cleaning, encoding, files, graphs, kernels, lines, measuring, models, splitting, streams, trials  # noqa: F401
