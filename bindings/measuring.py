@@ -245,3 +245,11 @@ def w5_last(spark, folder):
 )
 def w6(spark, folder):
     return series.best_checkpoint(metric_log(spark, folder), "trial", "epoch", "value")
+
+
+@query(
+    "f4_inverse_callable",
+    f"with {SCORES} select phase, round(avg((y - p) ** 2), 6) as loss, {metrics_sql('exp(y)', 'exp(p)')} from z group by phase",
+)
+def f4(spark, folder):
+    return rounded(metrics.epoch_metrics(scores(spark, folder), ["phase"], "y", "p", lambda column: F.exp(column)), DIGITS)

@@ -15,7 +15,7 @@ from solvane.operators import binning, fingerprint, metrics, models, split, stud
 from solvane.operators.trials import sample_parameters
 from solvane.sources import sinks
 from solvane.operators.scaling import fit_scaler
-from solvane.storage import cut, scratch_path
+from solvane.storage import cut, scratch_path, stage
 
 FOREST = {"n_estimators": 8, "max_depth": 6, "min_samples_leaf": 2, "max_features": 0.5, "bootstrap": True, "random_state": 1}
 
@@ -50,6 +50,18 @@ def m2(spark, folder):
     return model.transform(data).groupBy("ml_phase").agg(metrics.accuracy("bin", "predicted"))
 
 
+@query("m2_classification_over_bins_and_fingerprints")
+def m2_over(spark, folder):
+    nodes, edges = (stage(t, n) for t, n in zip(nodes_and_edges(spark, folder), ("nodes", "edges")))
+    price = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("pce"))
+
+    def run(bits, setting):
+        joined = price.join(bits.withColumnRenamed("graph_id", "id"), "id").withColumn("dense", dense_bits("bits", setting["n_bits"]))
+        return models.classify_bins(models.as_vector(joined, "dense").select("id", "pce", "features"), "id", "pce", [2, 4], 1000, FOREST)
+
+    return models.over_fingerprints(nodes, edges, [{"n_bits": 16, "radius": 1}, {"n_bits": 32, "radius": 1}], run)
+
+
 @query("m3_grid_search")
 def m3(spark, folder):
     data = cut(split.with_fold(event_features(spark, folder), "id", 3, 0))

@@ -58,6 +58,13 @@ def sp2(spark, folder):
     return train.unionByName(val).unionByName(test)
 
 
+@query("p6_equality_split", "select event_id, value from events where event_type = 'click'")
+def p6(spark, folder):
+    phase = F.when(F.col("event_type") == "click", "train").otherwise("test")
+    events = table(spark, folder, "events").select("event_id", "value", phase.alias("ml_phase"))
+    return split.split_by_column(events)[0].drop("ml_phase")
+
+
 @query(
     "sp3_random_subset",
     f"""with c as (select event_id, value from events where value >= 5 and (value >= 60 or {uniform_sql(100, 'event_id')} >= 0.3)),

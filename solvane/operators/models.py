@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 from solvane.functions.hashing import hash32
 from solvane.functions.kernels import Kernel
+from solvane.operators.binning import with_balanced_bin
+from solvane.operators.fingerprint import fingerprints
 from solvane.operators.kernel import kernel_features
-from solvane.operators.metrics import ensemble_metrics, fold_summary, metrics_by, regression_metrics
+from solvane.operators.metrics import accuracy, ensemble_metrics, fold_summary, metrics_by, regression_metrics
 from solvane.operators.ranking import before_key, keys_at_ranks
+from solvane.operators.split import split_by_size
+from solvane.storage import stage
 
 MAX_DEPTH = 30
 
@@ -120,6 +124,28 @@ def choose_landmarks(df: DataFrame, id_col: str, count: int, seed: int = 0) -> D
     return df.filter(before_key([hash32(seed, id_col), F.col(id_col)], cutoff))
 
 
+def classify_bins(df: DataFrame, id_col: str, target: str, bin_counts: Sequence[int], train_size: int, params: dict, seed: int = 0) -> DataFrame:
+    """Forest accuracy on train and test for each number of balanced bins of the target."""
+    split = stage(split_by_size(df, id_col, [train_size, 0, None], seed))
+    result = None
+    for bins in bin_counts:
+        binned = with_balanced_bin(split, target, bins).filter("bin is not null")
+        model = forest_classifier(params).fit(binned.filter("ml_phase = 'train'"))
+        scored = model.transform(binned).groupBy("ml_phase").agg(accuracy("bin", "predicted")).withColumn("bins", F.lit(bins))
+        result = scored if result is None else result.unionByName(scored)
+    return result
+
+
+def over_fingerprints(nodes: DataFrame, edges: DataFrame, settings: Sequence[dict], run: Callable[[DataFrame, dict], DataFrame]) -> DataFrame:
+    """Results of ``run`` on the fingerprints of each setting, one after the other, with the setting beside them."""
+    result = None
+    for setting in settings:
+        part = run(fingerprints(nodes, edges, **setting), setting)
+        part = part.withColumns({name: F.lit(value) for name, value in setting.items()})
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 class KernelRegression:
     """Linear regression with Huber loss on kernel values against landmark rows.
 

@@ -128,84 +128,99 @@ def with_batch(df: DataFrame, id_col: str, batch_size: int, seed: int | None, co
 # Stratified sampling ---------------------------------------------------------
 
 
-def proportional_quotas(strata: DataFrame, size: int, total: int, stratum: str = "stratum", count: str = "n") -> DataFrame:
-    """Largest-remainder shares of ``size`` out of ``total`` rows; ties go to the lower stratum.
+def proportional_quotas(strata: DataFrame, sizes: Sequence[int], total: int, stratum: str = "stratum", count: str = "n") -> DataFrame:
+    """Largest-remainder shares of each size, drawn one after the other; ties go to the lower stratum.
 
-    ``strata`` has one row per bin, so its windows are small.
+    Gives (stratum, draw, upto): rows taken from the stratum by this draw and
+    all earlier ones.  ``strata`` has one row per bin, so its windows are small.
     """
-    if size > total:
-        raise ValueError(f"cannot draw {size} of {total} rows")
-    if size == 0:
-        return strata.withColumn("quota", F.lit(0).cast("bigint"))
-    product = F.col(count).cast("decimal(19,0)") * F.lit(size).cast("decimal(19,0)")
-    shares = strata.withColumn("_rest", (product % F.lit(total).cast("decimal(19,0)")).cast("bigint"))
-    shares = shares.withColumn("_floor", ((product - F.col("_rest")) / F.lit(total).cast("decimal(19,0)")).cast("bigint"))
-    left = F.lit(size) - F.sum("_floor").over(Window.partitionBy())
-    extra = F.row_number().over(Window.orderBy(F.col("_rest").desc(), F.col(stratum))) <= left
-    return shares.withColumn("quota", F.col("_floor") + extra.cast("bigint")).drop("_rest", "_floor")
-
-
-def _stratum_cutoffs(keyed: DataFrame, id_col: str, quotas: DataFrame, strata: int, largest: int) -> DataFrame:
-    """(stratum, hash, id) of the last row to draw in each stratum.
-
-    A large stratum is counted per hash range first; only the range that holds
-    its cut-off is ordered, so no stratum is ever sorted whole.
+    if sum(sizes) > total:
+        raise ValueError(f"cannot draw {list(sizes)} of {total} rows")
+    whole, taken = "decimal(19,0)", F.lit(0).cast("bigint")
+    shares, left = strata.select(stratum, F.col(count).alias("_left")), total
+    for draw, size in enumerate(sizes):
+        if size:
+            product = F.col("_left").cast(whole) * F.lit(size).cast(whole)
+            shares = shares.withColumn("_rest", (product % F.lit(left).cast(whole)).cast("bigint"))
+            shares = shares.withColumn("_floor", ((product - F.col("_rest")) / F.lit(left).cast(whole)).cast("bigint"))
+            open_seats = F.lit(size) - F.sum("_floor").over(Window.partitionBy())
+            extra = F.row_number().over(Window.orderBy(F.col("_rest").desc(), F.col(stratum))) <= open_seats
+            shares = shares.withColumn("_quota", F.col("_floor") + extra.cast("bigint"))
+        else:
+            shares = shares.withColumn("_quota", F.lit(0).cast("bigint"))
+        shares = shares.withColumn(f"_upto{draw}", taken + F.col("_quota")).withColumn("_left", F.col("_left") - F.col("_quota"))
+        taken, left = F.col(f"_upto{draw}"), left - size
+    before = [F.lit(0)] + [F.col(f"_upto{i}") for i in range(len(sizes))]
+    rows = [F.struct(F.lit(i).alias("draw"), F.col(f"_upto{i}").alias("upto"), (F.col(f"_upto{i}") > before[i]).alias("any")) for i in range(len(sizes))]
+    return shares.select(stratum, F.inline(F.array(*rows))).filter("any").drop("any")
+
+
+def _stratum_cutoffs(keyed: DataFrame, id_col: str, quotas: DataFrame, rows: int, largest: int) -> DataFrame:
+    """(stratum, draw, hash, id) of the last row of each draw in each stratum.
+
+    A large stratum is counted per hash range first; only the ranges that hold
+    a cut-off are ordered, so no stratum is ever sorted whole.
     """
     ranges = max(1, math.ceil(4 * largest / SORT_ROWS))
-    range_of = F.floor(F.col("_hash") * ranges / HASH_RANGE).cast("int")
-    ranged = keyed.select("stratum", "_hash", id_col, range_of.alias("_range"))
-    wanted = quotas.filter("quota > 0").select("stratum", F.lit(0).alias("_range"), "quota")
+    ranged = keyed.withColumn("_range", F.floor(F.col("_hash") * ranges / HASH_RANGE).cast("int"))
+    wanted = quotas.select("stratum", "draw", F.lit(0).alias("_range"), F.col("upto").alias("_row"))
     if ranges > 1:
         histogram = ranged.groupBy("stratum", "_range").agg(F.count("*").alias("_n"))
         upto = Window.partitionBy("stratum").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-        running = histogram.withColumn("_upto", F.sum("_n").over(upto)).join(broadcast_if_small(wanted.drop("_range"), strata), "stratum")
-        holding = running.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        wanted = holding.select("stratum", "_range", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("quota"))
+        running = histogram.withColumn("_upto", F.sum("_n").over(upto)).join(broadcast_if_small(quotas, rows), "stratum")
+        before = F.col("_upto") - F.col("_n")
+        holding = running.filter((F.col("_upto") >= F.col("upto")) & (before < F.col("upto")))
+        wanted = cut(holding.select("stratum", "draw", "_range", (F.col("upto") - before).alias("_row")))
+        ranged = ranged.join(broadcast_if_small(wanted.select("stratum", "_range").distinct(), rows), ["stratum", "_range"], "left_semi")
     order = Window.partitionBy("stratum", "_range").orderBy("_hash", id_col)
-    inside = ranged.join(broadcast_if_small(wanted, strata), ["stratum", "_range"])
-    last = inside.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") == F.col("quota"))
-    return last.select("stratum", F.col("_hash").alias("_last_hash"), F.col(id_col).alias("_last_id"))
+    ordered = ranged.withColumn("_row", F.row_number().over(order).cast("bigint"))
+    last = ordered.join(broadcast_if_small(wanted, rows), ["stratum", "_range", "_row"])
+    return last.select("stratum", "draw", "_hash", id_col)
 
 
-def mark_stratified(df: DataFrame, id_col: str, stratum: Column, size: int, seed: int, column: str = "sampled", strict: bool = False) -> DataFrame:
-    """Mark exactly ``size`` rows, shared out over the strata in proportion to their counts.
+def draw_stratified(df: DataFrame, id_col: str, stratum: Column, sizes: Sequence[int], seed: int, column: str = "draw", strict: bool = False) -> DataFrame:
+    """Number the draw that takes each row, null for rows that are left over.
 
-    Rows without a stratum form one of their own.  With ``strict`` every stratum
-    needs two rows and the sample at least one row per stratum.
+    Draw i takes exactly ``sizes[i]`` rows from what the draws before it left,
+    shared out over the strata in proportion to the counts.  Rows without a
+    stratum form one of their own.  As all draws go down the same hash order,
+    their cut-offs are found together.  With ``strict`` every stratum needs two
+    rows and the first draw at least one row per stratum.
     """
     value = F.coalesce(stratum.cast("bigint"), F.lit(-1))
     keyed = df.select(value.alias("stratum"), hash32(seed, id_col).alias("_hash"), id_col)
     strata = cut(keyed.groupBy("stratum").agg(F.count("*").alias("n")))
     smallest, largest, bins, total = strata.agg(F.min("n"), F.max("n"), F.count("*"), F.sum("n")).first()
-    if strict and bins and (smallest < 2 or size < bins):
-        raise ValueError(f"{bins} strata, smallest of {smallest} rows, cannot share {size} rows")
-    quotas = proportional_quotas(strata, size, total or 0)
-    cutoffs = cut(_stratum_cutoffs(keyed, id_col, quotas, bins, largest or 0))
-    marked = df.withColumn("stratum", value).join(broadcast_if_small(cutoffs, bins), "stratum", "left")
-    hashed = hash32(seed, id_col)
-    drawn = (hashed < F.col("_last_hash")) | ((hashed == F.col("_last_hash")) & (F.col(id_col) <= F.col("_last_id")))
-    return marked.withColumn(column, F.coalesce(drawn, F.lit(False))).drop("stratum", "_last_hash", "_last_id")
+    if strict and bins and (smallest < 2 or sizes[0] < bins):
+        raise ValueError(f"{bins} strata, smallest of {smallest} rows, cannot share {sizes[0]} rows")
+    quotas = cut(proportional_quotas(strata, sizes, total or 0))
+    cutoffs = _stratum_cutoffs(keyed, id_col, quotas, bins * len(sizes), largest or 0)
+    last = [F.max(F.when(F.col("draw") == i, F.struct("_hash", id_col))).alias(f"_last{i}") for i in range(len(sizes))]
+    marked = df.withColumn("stratum", value).join(broadcast_if_small(cut(cutoffs.groupBy("stratum").agg(*last)), bins), "stratum", "left")
+    hashed, number = hash32(seed, id_col), F.lit(None).cast("int")
+    for i in reversed(range(len(sizes))):
+        end = F.col(f"_last{i}")
+        within = (hashed < end["_hash"]) | ((hashed == end["_hash"]) & (F.col(id_col) <= end[id_col]))
+        number = F.when(within, F.lit(i)).otherwise(number)
+    return marked.withColumn(column, number).drop("stratum", *[f"_last{i}" for i in range(len(sizes))])
 
 
 def stratified_sample(df: DataFrame, id_col: str, target: str, size: int, step: float = 0.2, seed: int = 0, add_bin: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sample, rest) with strata of equal-width bins of the target."""
     if add_bin:
         df = df.withColumn("bin", equal_width_bin(target, step))
-    marked = mark_stratified(df, id_col, equal_width_bin(target, step), size, seed)
-    return marked.filter("sampled").drop("sampled"), marked.filter(~F.col("sampled")).drop("sampled")
+    drawn = draw_stratified(df, id_col, equal_width_bin(target, step), [size], seed, "_draw")
+    return drawn.filter("_draw is not null").drop("_draw"), drawn.filter("_draw is null").drop("_draw")
 
 
 def stratified_cascade(df: DataFrame, id_col: str, target: str, sizes: Sequence[int], step: float = 0.2, seed: int = 0) -> list[DataFrame]:
-    """Draw one sample after the other, each from what the earlier ones left."""
-    samples, rest = [], df
-    for size in sizes:
-        sample, rest = stratified_sample(rest, id_col, target, size, step, seed)
-        samples.append(sample)
-    return samples
+    """One sample after the other, each from what the earlier ones left."""
+    drawn = draw_stratified(df, id_col, equal_width_bin(target, step), sizes, seed, "_draw")
+    return [drawn.filter(F.col("_draw") == i).drop("_draw") for i in range(len(sizes))]
 
 
 def stratified_split(df: DataFrame, id_col: str, target: str, sizes: Sequence[int], step: float = 0.2, seed: int = 0, column: str = "ml_phase") -> DataFrame:
-    """Train, val and test by :func:`stratified_cascade`, with the label in ``column``."""
-    phases = zip(("train", "val", "test"), stratified_cascade(df, id_col, target, sizes, step, seed))
-    labelled = [sample.withColumn(column, F.lit(phase)) for phase, sample in phases]
-    return labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
+    """Train, val and test drawn one after the other, with the label in ``column``; the rest is left out."""
+    drawn = draw_stratified(df, id_col, equal_width_bin(target, step), sizes, seed, "_draw").filter("_draw is not null")
+    phases = F.array(F.lit("train"), F.lit("val"), F.lit("test"))
+    return drawn.withColumn(column, F.get(phases, F.col("_draw"))).drop("_draw")

@@ -113,17 +113,25 @@ def test_stratified_sample_matches_brute_force(spark, tight, request):
     assert {r["id"] for r in rest.collect()} == {i for i, _ in rows} - drawn
 
 
-def test_stratified_cascade_sizes_and_disjointness(spark):
-    df = spark.createDataFrame(skewed_values(), "id bigint, pce double")
-    found = by_phase(split.stratified_split(df, "id", "pce", [500, 200, 200], 0.5))
-    assert {k: len(v) for k, v in found.items()} == {"train": 500, "val": 200, "test": 200}
-    assert len(set.union(*found.values())) == 900
+@pytest.mark.parametrize("tight", [False, True])
+def test_stratified_cascade_is_repeated_sampling(spark, tight, request):
+    if tight:
+        request.getfixturevalue("small_tasks")
+    rows = skewed_values()
+    df = spark.createDataFrame(rows, "id bigint, pce double").repartition(3)
+    found = by_phase(split.stratified_split(df, "id", "pce", [500, 101, 200], 0.5))
+    left = rows
+    for phase, size in (("train", 500), ("val", 101), ("test", 200)):
+        assert found[phase] == brute_sample(left, size, 0.5, 0)
+        left = [r for r in left if r[0] not in found[phase]]
+    samples = split.stratified_cascade(df, "id", "pce", [500, 0, 400], 0.5)
+    assert [d.count() for d in samples] == [500, 0, 400]
 
 
 def test_strict_strata(spark):
     df = spark.createDataFrame([(1, 0.1), (2, 0.1), (3, 5.0)], "id bigint, pce double")
     with pytest.raises(ValueError):
-        split.mark_stratified(df, "id", F.ceil("pce"), 2, 0, strict=True)
+        split.draw_stratified(df, "id", F.ceil("pce"), [2], 0, strict=True)
     with pytest.raises(ValueError):
         split.stratified_sample(df, "id", "pce", 4, 1.0)
 
