@@ -20,7 +20,7 @@ from solvane.operators.fingerprint import fingerprints
 from solvane.operators.kernel import kernel_features
 from solvane.operators.metrics import accuracy, ensemble_metrics, fold_summary, metrics_by, regression_metrics
 from solvane.operators.ranking import before_key, keys_at_ranks
-from solvane.operators.split import split_by_size
+from solvane.operators.split import label_by_rank
 from solvane.storage import stage
 
 MAX_DEPTH = 30
@@ -126,7 +126,7 @@ def choose_landmarks(df: DataFrame, id_col: str, count: int, seed: int = 0) -> D
 
 def classify_bins(df: DataFrame, id_col: str, target: str, bin_counts: Sequence[int], train_size: int, params: dict, seed: int = 0) -> DataFrame:
     """Forest accuracy on train and test for each number of balanced bins of the target."""
-    split = stage(split_by_size(df, id_col, [train_size, 0, None], seed))
+    split = stage(label_by_rank(df, id_col, [train_size], ["train", "test"], seed, "ml_phase"))
     result = None
     for bins in bin_counts:
         binned = with_balanced_bin(split, target, bins).filter("bin is not null")
