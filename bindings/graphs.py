@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings import query
@@ -27,33 +26,41 @@ bonds as (
 edges as (select graph_id, src, dst, bond from bonds union all select graph_id, dst, src, bond from bonds)"""
 
 
+LINE_NUMBERS = range(1, 8)
+
+
 def nodes_and_edges(spark, folder):
-    lines = table(spark, folder, "lineitem")
+    """Node and edge tables from one grouping: an order has at most seven line numbers, each with its own aggregates."""
     # Both flags are one letter; as a number their minimum can be hash-aggregated.
     code = F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")
-    base = lines.groupBy(F.col("l_orderkey").alias("graph_id"), "l_linenumber").agg(
-        F.min(code).alias("code"), F.avg("l_quantity").alias("h0"), F.avg("l_tax").alias("h1")
-    )
-    base = base.withColumn("label", F.concat(F.char(F.floor(F.col("code") / 256)), F.char(F.col("code") % 256)))
-    # A graph has at most seven distinct line numbers, so these windows stay small.
-    order = Window.partitionBy("graph_id").orderBy("l_linenumber")
-    numbered = base.select(
-        "graph_id", (F.row_number().over(order) - 1).alias("node_id"), "label", F.array("h0", "h1").alias("h"),
-        F.count("*").over(Window.partitionBy("graph_id")).alias("n"), F.lead("label", 2).over(order).alias("second"),
-    )
-    nodes = numbered.select("graph_id", "node_id", "label", "h")
-    node = F.col("node_id")
-
-    def bond(condition, dst, name):
-        return F.when(condition, F.struct(node.alias("src"), dst.alias("dst"), F.lit(name).alias("bond")))
-
-    candidates = F.array(
-        bond(node + 1 < F.col("n"), node + 1, "S"),
-        bond((node + 1 == F.col("n")) & (F.col("n") >= 3), F.lit(0), "R"),
-        bond(F.col("second") == F.col("label"), node + 2, "D"),
-    )
-    bonds = numbered.select("graph_id", F.inline(F.filter(candidates, lambda b: b.isNotNull())))
-    return nodes, graph.mirror_edges(bonds)
+    aggregates = []
+    for i in LINE_NUMBERS:
+        own = F.col("l_linenumber") == i
+        aggregates += [F.min(F.when(own, code)).alias(f"c{i}"), F.avg(F.when(own, F.col("l_quantity"))).alias(f"q{i}"), F.avg(F.when(own, F.col("l_tax"))).alias(f"t{i}")]
+    orders = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("graph_id")).agg(*aggregates)
+    lines = F.array(*[F.struct(F.col(f"c{i}").alias("code"), F.array(f"q{i}", f"t{i}").alias("h")) for i in LINE_NUMBERS])
+    graphs = orders.select("graph_id", F.filter(lines, lambda line: line["code"].isNotNull()).alias("lines"))
+
+    label = F.concat(F.char(F.floor(F.col("line.code") / 256)), F.char(F.col("line.code") % 256))
+    nodes = graphs.select("graph_id", F.posexplode_outer("lines").alias("node_id", "line")).select("graph_id", "node_id", label.alias("label"), F.col("line.h").alias("h"))
+
+    size = F.size("lines")
+
+    def bonds_of(i):
+        def bond(condition, dst, name):
+            return F.when(condition, F.struct(i.alias("src"), dst.alias("dst"), F.lit(name).alias("bond")))
+
+        second = F.get("lines", i + 2)["code"]
+        return F.array(
+            bond(i + 1 < size, i + 1, "S"),
+            bond((i + 1 == size) & (size >= 3), F.lit(0), "R"),
+            bond(second == F.get("lines", i)["code"], i + 2, "D"),
+        )
+
+    bonds = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), bonds_of)), lambda b: b.isNotNull())
+    # The outer form keeps Spark from working out the bonds a second time in a filter.
+    listed = graphs.select("graph_id", F.inline_outer(bonds)).filter("src is not null")
+    return nodes, graph.mirror_edges(listed)
 
 
 def round_sql(labels: str, edges: str, name: str, short: bool) -> str:
