@@ -127,7 +127,7 @@ def p9(spark, folder):
 SCALED = "s as (select avg(value) as mean, stddev_pop(value) as std from events)"
 
 
-@query("p10_standard_score", f"with {SCALED} select event_id, round((value - mean) / std, 6) as value_transformed from events, s")
+@query("p10_standard_score", f"with {SCALED} select event_id, round((value - mean) / std, 6) + 0.0 as value_transformed from events, s")
 def p10(spark, folder):
     events = table(spark, folder, "events").select("event_id", "value")
     scaler = scaling.fit_scaler(events, "value")

@@ -72,7 +72,7 @@ def k4_product(spark, folder):
     "k5_prepare_features",
     f"""with r as (select vec_id, embedding, row_number() over (order by {hash_sql(0, 'vec_id')}, vec_id) - 1 as rk, count(*) over () as n from embeddings),
     s as (select avg(embedding[1]::double) as m0, stddev_pop(embedding[1]::double) as s0, avg(embedding[2]::double) as m1, stddev_pop(embedding[2]::double) as s1 from r where rk < n - 100)
-    select vec_id, len(list_filter(embedding, lambda v: v > 0))::int as set_bits, round((embedding[1]::double - m0) / s0, 5) as d0, round((embedding[2]::double - m1) / s1, 5) as d1 from r, s""",
+    select vec_id, len(list_filter(embedding, lambda v: v > 0))::int as set_bits, round((embedding[1]::double - m0) / s0, 5) + 0.0 as d0, round((embedding[2]::double - m1) / s1, 5) + 0.0 as d1 from r, s""",
 )
 def k5(spark, folder):
     vectors = table(spark, folder, "embeddings").select(
@@ -83,7 +83,7 @@ def k5(spark, folder):
     return rounded(scaled.select("vec_id", F.size("bits").alias("set_bits"), "d0", "d1"), 5)
 
 
-@query("k6_kernel_score", f"with {PAIRS} select x_id, round(sum((y_id - 4) * (0.4 * exp(-0.7 * (1 - t)) + 0.6 * exp(-2.5 * distance))) + 0.25, 6) as predicted from k group by x_id")
+@query("k6_kernel_score", f"with {PAIRS} select x_id, round(sum((y_id - 4) * (0.4 * exp(-0.7 * (1 - t)) + 0.6 * exp(-2.5 * distance))) + 0.25, 6) + 0.0 as predicted from k group by x_id")
 def k6(spark, folder):
     support = prototypes(spark, folder).withColumn("coefficient", F.col("label") - 4.0)
     function = kernels.combined(0.7, 2.5, 0.4)

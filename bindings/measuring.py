@@ -103,7 +103,7 @@ def a10_statistics(spark, folder):
     "a10_standardise_vectors",
     """with l as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as dim from embeddings),
     s as (select dim, avg(v) as mean, stddev_pop(v) as std from l group by dim)
-    select vec_id, l.dim::int as dim, round((v - mean) / std, 5) as value from l join s on l.dim = s.dim""",
+    select vec_id, l.dim::int as dim, round((v - mean) / std, 5) + 0.0 as value from l join s on l.dim = s.dim""",
 )
 def a10(spark, folder):
     scaled = scaling.standardise_vectors(table(spark, folder, "embeddings"), "embedding", "scaled")

@@ -193,7 +193,7 @@ def j2(spark, folder):
     f"""with r as ({ranked_sql('part', 'p_partkey', 200, ', p_name, p_retailprice')}),
     p as (select *, case when rk < n - 60 then 'train' when rk < n - 30 then 'val' else 'test' end as ml_phase from r),
     s as (select avg(p_retailprice) as mean, stddev_pop(p_retailprice) as std from p where ml_phase = 'train')
-    select p_partkey, p_name, ml_phase, round((p_retailprice - mean) / std, 6) as p_retailprice_transformed from p, s""",
+    select p_partkey, p_name, ml_phase, round((p_retailprice - mean) / std, 6) + 0.0 as p_retailprice_transformed from p, s""",
 )
 def s7(spark, folder):
     spec = {"src": f"{folder}/part.parquet", "x_column": ["p_name"], "y_column": ["p_retailprice"], "split": [None, 30, 30]}

@@ -106,8 +106,8 @@ def metrics_sql(y: str, p: str) -> str:
     """The six metrics, each rounded, as a select list."""
     error = f"({y} - {p})"
     return f"""round(avg({error} * {error}), 5) as mse, round(sqrt(avg({error} * {error})), 5) as rmse,
-       round(1 - avg({error} * {error}) / var_pop({y}), 6) as "R2",
-       round(covar_pop({y}, {p}) / nullif(stddev_pop({y}) * stddev_pop({p}), 0), 6) as r,
+       round(1 - avg({error} * {error}) / var_pop({y}), 6) + 0.0 as "R2",
+       round(covar_pop({y}, {p}) / nullif(stddev_pop({y}) * stddev_pop({p}), 0), 6) + 0.0 as r,
        round(avg(abs({error})), 6) as mae, count({y})::bigint as count"""
 
 
