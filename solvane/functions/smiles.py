@@ -59,7 +59,12 @@ def rings_close(smiles: str | Column) -> Column:
     """Each ring number outside bracket atoms is written an even number of times."""
     outside = F.regexp_replace(as_column(smiles), r"\[[^\[\]]*\]", "")
     numbers = F.regexp_extract_all(outside, F.lit(RING_PATTERN), F.lit(0))
-    return F.forall(F.array_distinct(numbers), lambda d: F.size(F.filter(numbers, lambda r: r == d)) % 2 == 0)
+    nothing = F.array().cast("array<string>")
+
+    def step(opened: Column, number: Column) -> Column:
+        return F.when(F.array_contains(opened, number), F.array_remove(opened, number)).otherwise(F.concat(opened, F.array(number)))
+
+    return F.aggregate(numbers, nothing, step, lambda opened: F.size(opened) == 0)
 
 
 def looks_valid(smiles: str | Column) -> Column:

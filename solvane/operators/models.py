@@ -21,7 +21,7 @@ from solvane.operators.kernel import kernel_features
 from solvane.operators.metrics import accuracy, ensemble_metrics, fold_summary, metrics_by, regression_metrics
 from solvane.operators.ranking import before_key, keys_at_ranks
 from solvane.operators.split import label_by_rank
-from solvane.storage import stage
+from solvane.storage import cut, stage
 
 MAX_DEPTH = 30
 
@@ -157,7 +157,8 @@ class KernelRegression:
         self.kernel, self.features, self.count, self.reg, self.seed = kernel, features, landmarks, reg, seed
 
     def fit(self, df: DataFrame, id_col: str, label: str) -> "KernelRegression":
-        self.landmarks = choose_landmarks(df.select(id_col, *self.features), id_col, self.count, self.seed).withColumnRenamed(id_col, "landmark")
+        chosen = choose_landmarks(df.select(id_col, *self.features), id_col, self.count, self.seed)
+        self.landmarks = cut(chosen.withColumnRenamed(id_col, "landmark"))
         train = self._featurise(df, id_col).select("features", F.col(label).cast("double").alias("label"))
         self.model = LinearRegression(loss="huber", regParam=self.reg, predictionCol="predicted").fit(train)
         return self
