@@ -50,3 +50,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("word_bpe_49k.json"), folder, end_id=1)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_document_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.fingerprints import fingerprints
+
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
