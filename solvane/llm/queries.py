@@ -57,3 +57,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvane.llm.fingerprints import fingerprints
 
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op2_embedding_links")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.vector_links import link_vectors
+
+    return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.93)
+
+
+@query("op6_simhash_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, most=3)
