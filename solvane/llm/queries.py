@@ -71,3 +71,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvane.llm.simhash import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, most=3)
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.extraction import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
