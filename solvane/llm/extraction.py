@@ -47,7 +47,12 @@ class Blocks(HTMLParser):
         self.parts: list[str] = []
         self.linked, self.links, self.count = 0, 0, 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines and columns are not needed
+
     def flush(self) -> None:
+        if not self.parts:
+            return
         text = " ".join("".join(self.parts).split())
         if text:
             open_ = [s for s in self.stack if s[0] not in INLINE]

@@ -27,6 +27,29 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+OP8 = """
+with d as (
+    select doc_id, source, coalesce(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')), 0)::bigint as size,
+           ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as place
+    from documents
+), s as (
+    select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as k from d group by source
+), w as (
+    select *, 2 * source_size::double as cap, [3.0, 1.0, 2.0][((k - 1) % 3) + 1]::double as weight from s
+), l as (
+    select *, cap / weight as stop,
+        (1.5 * sum(source_size) over () - (sum(cap) over (order by cap / weight, k) - cap)) / (sum(weight) over () - (sum(weight) over (order by cap / weight, k) - weight)) as level
+    from w
+), t as (
+    select source, source_size, least(cap, (select arg_min(level, stop) from l where stop >= level) * weight) as target from l
+), u as (
+    select d.doc_id, d.size, t.source_size, t.target, sum(d.size) over (partition by d.source order by d.place, d.size rows unbounded preceding) - d.size + d.size / 2.0 as middle
+    from d join t on d.source is not distinct from t.source
+)
+select doc_id, size, source_size, target, (size * ((middle < target)::int + (middle + source_size < target)::int))::bigint as taken from u
+"""
+
+
 @query("op1_token_counts")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvane.llm.token_counts import count_tokens
@@ -78,3 +101,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvane.llm.extraction import extract
 
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    from solvane.llm.quality import fit, grades_of
+
+    return fit(docs, grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), grades=3)
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.quality import rate
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rate(docs, quality_model(spark, docs, sf_dir))
+
+
+@query("op8_curriculum_mix", OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.curriculum import plan
+
+    planned = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id"])
+    return planned.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_balanced_shards")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.shards import balanced_shards
+
+    return balanced_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24)

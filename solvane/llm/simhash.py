@@ -105,3 +105,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     names = named.join(linked, "root").select("print", "component_id")
     out = found.join(names, "print")
     return out.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose id names their component; of several rows with that id the first by hash.
+
+    Rows with a null id can't be told apart from others by it; they take no part and stay.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    found = near_duplicates(named, words, most, id_col, text_col).select(F.col(id_col).alias("id"), "component_id")
+    first = stage(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")), "first")
+    packed = named.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    alone = packed.join(first.where("n = 1").select("id"), "id", "left_semi").select("row")
+    several = packed.join(first.where("n > 1").select("id"), "id", "left_semi")
+    several = several.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    nameless = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"))
+    return alone.unionByName(several).unionByName(nameless).select("row.*")
