@@ -15,42 +15,49 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from solvane.llm.words import binary_rows, cut_words, encode_words, offsets_of, parcels, starts_of, take_ragged
+from solvane.llm.words import binary_rows, cut_words, encode_words, offsets_of, parcels, spaceless, starts_of, take_ragged
 from solvane.storage import scratch_path
 
 PARCEL = 8 << 20
 BLOCK_IDS = 1 << 20
-MEMO = 1 << 18  # words that a worker remembers
-KNOWN: dict[str, dict[str, bytes]] = {}
 
 
 def encoded_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): ids as two-byte integers if the vocabulary allows it, else four, with the end id appended."""
+    """(doc_id, ids, used, times): ids as two-byte integers if the vocabulary allows it, else four, with the end id appended.
+
+    The first row of each parcel of texts also says which ids the parcel has (used) and how often (times).
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     width = id_width(path, end_id)
 
+    direct = spaceless(path).fits
+    words = F.coalesce(F.col("text"), F.lit("")) if direct else cut_words(F.col("text"))
+
     def encode(parts):
-        known = KNOWN.setdefault(path, {})
         for whole in parts:
             for part in parcels(whole, "words", PARCEL):
-                lists = part.column("words")
+                lists = spaceless(path).cut(part.column("words")) if direct else part.column("words")
                 words = pc.dictionary_encode(lists.flatten())
-                distinct = words.dictionary.to_pylist()
-                if len(known) > MEMO:
-                    known.clear()
-                fresh = [w for w in distinct if w not in known]
-                known.update((w, i.astype(f"<u{width}").tobytes()) for w, i in zip(fresh, encode_words(path, fresh), strict=True))
-                coded = [known[w] for w in distinct]
-                coded.append(np.array([end_id], f"<u{width}").tobytes())
-                flat = np.frombuffer(b"".join(coded), f"<u{width}")
-                starts = starts_of(np.fromiter(map(len, coded), np.int64, len(coded)) // width)
-                bounds = offsets_of(lists)
-                picks = np.insert(words.indices.to_numpy(zero_copy_only=False), bounds[1:], len(distinct))
-                ids, lengths = take_ragged(flat, starts, picks)
+                if direct:
+                    flat, starts = spaceless(path).encode(words.dictionary)
+                else:
+                    flat, counts = encode_words(path, words.dictionary.to_pylist())
+                    starts = starts_of(counts)
+                places, bounds = words.indices.to_numpy(zero_copy_only=False), offsets_of(lists)
+                times = np.zeros(int(flat.max(initial=end_id)) + 1, np.int64)
+                np.add.at(times, flat, np.repeat(np.bincount(places, minlength=len(starts) - 1), np.diff(starts)))
+                times[end_id] += len(part)
+                used = np.flatnonzero(times)
+                flat, starts = np.append(flat, end_id).astype(f"<u{width}"), np.append(starts, starts[-1] + 1)
+                ids, lengths = take_ragged(flat, starts, np.insert(places, bounds[1:], len(starts) - 2))
                 ends = starts_of(lengths)[bounds + np.arange(len(bounds))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), binary_rows(ids, ends)], ["doc_id", "ids"])
+                rest = [None] * (len(part) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), binary_rows(ids, ends), pa.array([used.astype("<u4").tobytes(), *rest], pa.binary()), pa.array([times[used].astype("<u8").tobytes(), *rest], pa.binary())],
+                    ["doc_id", "ids", "used", "times"],
+                )
 
-    return docs.select("doc_id", cut_words(F.col("text")).alias("words")).mapInArrow(encode, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", words.alias("words")).mapInArrow(encode, f"doc_id {kind}, ids binary, used binary, times binary")
 
 
 def id_width(path: str, end_id: int) -> int:
@@ -59,20 +66,22 @@ def id_width(path: str, end_id: int) -> int:
     return 2 if max(tokenizer(path).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
 
 
-def id_counts(encoded: DataFrame, width: int) -> DataFrame:
+def id_counts(encoded: DataFrame) -> DataFrame:
     """(id, n) over all documents; a task sends a row for each id at most."""
 
     def count(parts):
         total = np.zeros(0, np.int64)
         for part in parts:
-            ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), f"<u{width}")
-            some = np.bincount(ids, minlength=len(total))
-            some[: len(total)] += total
-            total = some
+            for used, times in zip(part.column("used").to_pylist(), part.column("times").to_pylist(), strict=True):
+                used = np.frombuffer(used, "<u4")
+                if len(used) and used[-1] >= len(total):
+                    total = np.append(total, np.zeros(int(used[-1]) + 1 - len(total), np.int64))
+                total[used] += np.frombuffer(times, "<u8").astype(np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    told = encoded.select("used", "times").where("used is not null")
+    return told.mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # ---- the code ---------------------------------------------------------------------------------------------------
@@ -121,7 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     staged = scratch_path(spark, "ids")
     encoded_documents(read, tokenizer_path, end_id).write.option("compression", "zstd").parquet(staged)
     encoded = spark.read.parquet(staged)
-    counts = id_counts(encoded, width)
+    counts = id_counts(encoded)
     ranks = [r.id for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]  # at most the vocabulary
     spark.createDataFrame([(rank, i) for rank, i in enumerate(ranks)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(1 << 8 * width if width == 2 else max(ranks, default=0) + 1, np.uint32)
@@ -129,40 +138,30 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     sent = spark.sparkContext.broadcast(rank_of)
     kind = read.schema["doc_id"].dataType.simpleString()
 
-    def rank(parts):
-        for part in parts:
-            rows = [np.frombuffer(x, f"<u{width}") for x in part.column("ids").to_pylist()]
-            coded = [pack(sent.value[ids]) for ids in rows]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(ids) for ids in rows], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["doc_id", "n", "control", "data"])
-
-    coded = encoded.mapInArrow(rank, f"doc_id {kind}, n bigint, control binary, data binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.repartitionByRange(parts, "doc_id", F.xxhash64("data")).sortWithinPartitions("doc_id", "data", "control")
+    ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, "doc_id", F.crc32("ids")).sortWithinPartitions("doc_id", "ids")
 
     def blocks(parts):
-        number, held, size = 0, [], 0
-
-        def flush():
-            nonlocal number, held, size
-            values = [unpack(c, d, n) for _, n, c, d in held]
-            control, data = pack(np.concatenate(values))
-            sizes = np.array([n for _, n, _, _ in held], "<u4")
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([[i for i, *_ in held]], pa.list_(id_type)), pa.array([sizes.tobytes()], pa.binary()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                ["block", "n_ids", "doc_ids", "sizes", "control", "data"],
-            )
-            number, held, size = number + 1, [], 0
-            return out
-
+        number, ids_, data, size = 0, [], [], 0
         for part in parts:
             id_type = part.schema.field("doc_id").type
-            for row in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "control", "data")), strict=True):
-                held.append(row)
-                size += row[1]
+            for id_, ids in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist(), strict=True):
+                ids_.append(id_)
+                data.append(ids)
+                size += len(ids) // width
                 if size >= BLOCK_IDS:
-                    yield flush()
-        if held:
-            yield flush()
+                    yield block(number, ids_, data, id_type)
+                    number, ids_, data, size = number + 1, [], [], 0
+        if ids_:
+            yield block(number, ids_, data, id_type)
+
+    def block(number, ids_, data, id_type):
+        sizes = np.array([len(d) // width for d in data], "<u4")
+        control, coded = pack(sent.value[np.frombuffer(b"".join(data), f"<u{width}")])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([ids_], pa.list_(id_type)), pa.array([sizes.tobytes()], pa.binary()), pa.array([control], pa.binary()), pa.array([coded], pa.binary())],
+            ["block", "n_ids", "doc_ids", "sizes", "control", "data"],
+        )
 
     schema = f"block bigint, n_ids bigint, doc_ids array<{kind}>, sizes binary, control binary, data binary"
     filed = ordered.mapInArrow(blocks, schema).withColumn("file", F.spark_partition_id())
