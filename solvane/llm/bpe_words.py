@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from solvane.llm.transducer import byte_alphabet
-from solvane.llm.words import binary_rows, cut_words, encode_words, offsets_of, parcels, starts_of, take_ragged
-from solvane.storage import scratch_path
+from solvane.llm.words import binary_rows, cut_words, encode_words, gathered, offsets_of, starts_of, take_ragged
 
-BLOCK_BYTES = 8 << 20
-PACK = "block bigint, bucket int, first int, doc_ids {ids}, sizes binary, places binary, words binary"
+BLOCK_BYTES = 16 << 20
+SLICE = 1 << 17  # words that are put together at once
+DOCUMENTS = "block bigint, first int, doc_ids array<{kind}>, sizes binary, places binary, counts binary, ids binary"
+PACKETS = "block bigint, bucket int, first int, words binary"
 
 
 def small(values: np.ndarray) -> bytes:
@@ -55,46 +57,52 @@ def unpacked_words(packet: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(data, "<u4", n).astype(np.int64), data[4 * n :]
 
 
-def blocks_of(docs: DataFrame, buckets: int) -> DataFrame:
-    """For each block a row with its documents (bucket -1) and, for each bucket of words, a packet of distinct words."""
+def blocks_of(docs: DataFrame, buckets: int, what: str) -> DataFrame:
+    """Blocks of documents: their ids and the places of their words (what: "documents"), or packets of their distinct words.
+
+    The two come from two readings of ``docs``, so that places need not be shuffled with the words. A block is named by
+    its partition and number and by a hash of its words; if a reading gives rows in another order, the names differ
+    and the job fails rather than mix up words.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = PACK.format(ids=f"array<{kind}>")
 
     def blocks(parts):
-        block = TaskContext.get().partitionId() << 32
-        for whole in parts:
-            for part in parcels(whole, "words", BLOCK_BYTES):
-                lists = part.column("words")
-                words = pc.dictionary_encode(lists.flatten())
-                distinct, places = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
-                times = np.bincount(places, minlength=len(distinct))
-                bucket = (pd.util.hash_array(np.array(distinct.to_pylist(), dtype=object), categorize=False) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((-times, bucket))
-                slot = np.empty_like(order)
-                slot[order] = np.arange(len(order))
+        number = TaskContext.get().partitionId() << 24
+        for part in gathered(parts, "words", BLOCK_BYTES):
+            lists = part.column("words")
+            words = pc.dictionary_encode(lists.flatten())
+            distinct, places = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+            times = np.bincount(places, minlength=len(distinct))
+            hashes = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)
+            name = hash((number, int(hashes.sum(dtype=np.uint64)), len(lists), len(places))) & (1 << 62) - 1
+            number += 1
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            # by bucket, and in a bucket by spelling, which packs well
+            spelled = pc.sort_indices(distinct).to_numpy()
+            order = spelled[np.argsort(bucket[spelled], kind="stable")]
+            if what == "packets":
                 distinct, bucket = distinct.take(pa.array(order)), bucket[order]
                 bounds = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
-                # frequent words get small numbers in the places, which pack better
-                rank = np.argsort(-times[order], kind="stable")
-                number = np.empty_like(rank)
-                number[rank] = np.arange(len(rank))
                 packets = [packed_words(distinct.slice(a, b - a)) for a, b in zip(bounds, bounds[1:], strict=False)]
-                n = len(packets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block] * (n + 1), pa.int64()),
-                        pa.array([-1, *bucket[bounds[:-1]].tolist()], pa.int32()),
-                        pa.array([0, *bounds[:-1]], pa.int32()),
-                        pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("doc_id")), pa.nulls(n, pa.list_(part.schema.field("doc_id").type))]),
-                        pa.array([small(np.diff(offsets_of(lists)))] + [None] * n, pa.binary()),
-                        pa.array([join_bytes(small(number[slot[places]]), small(rank))] + [None] * n, pa.binary()),
-                        pa.array([None, *packets], pa.binary()),
-                    ],
-                    ["block", "bucket", "first", "doc_ids", "sizes", "places", "words"],
-                )
-                block += 1
-
-    return docs.select("doc_id", cut_words(F.col("text")).alias("words")).mapInArrow(blocks, schema)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(packets), pa.int64()), pa.array(bucket[bounds[:-1]], pa.int32()), pa.array(bounds[:-1], pa.int32()), pa.array(packets, pa.binary())], ["block", "bucket", "first", "words"])
+                continue
+            rank = np.argsort(-times[order], kind="stable")  # frequent words get small numbers in the places
+            number_of = np.empty(len(order), np.int64)
+            number_of[order[rank]] = np.arange(len(rank))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name], pa.int64()),
+                    pa.array([-1], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("doc_id")),
+                    pa.array([small(np.diff(offsets_of(lists)))], pa.binary()),
+                    pa.array([join_bytes(small(number_of[places]), small(rank))], pa.binary()),
+                    pa.nulls(1, pa.binary()),
+                    pa.nulls(1, pa.binary()),
+                ],
+                ["block", "first", "doc_ids", "sizes", "places", "counts", "ids"],
+            )
+
+    return docs.select("doc_id", cut_words(F.col("text")).alias("words")).mapInArrow(blocks, PACKETS if what == "packets" else DOCUMENTS.format(kind=kind))
 
 
 def join_bytes(a: bytes, b: bytes) -> bytes:
@@ -106,13 +114,14 @@ def split_bytes(both: bytes) -> tuple[bytes, bytes]:
     return both[8 : 8 + n], both[8 + n :]
 
 
-def encode_packets(packets: DataFrame, path: str, buckets: int) -> DataFrame:
+def encode_packets(packets: DataFrame, path: str, partitions: int, kind: str) -> DataFrame:
     """(block, first, counts, ids) of each packet; every distinct word is encoded once, in its bucket."""
+    id_type = packets.sparkSession.createDataFrame([], f"x {kind}").toArrow().schema.field("x").type
 
     def encode(parts):
         at, known = None, {}
         for part in parts:
-            out = []
+            counts_, ids_ = [], []
             for bucket, packet in zip(part.column("bucket").to_pylist(), part.column("words").to_pylist(), strict=True):
                 if bucket != at:
                     at, known = bucket, {}
@@ -120,13 +129,16 @@ def encode_packets(packets: DataFrame, path: str, buckets: int) -> DataFrame:
                 bounds = starts_of(sizes).tolist()
                 words = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
                 fresh = [w for w in words if w not in known]
-                known.update(zip(fresh, encode_words(path, [w.decode() for w in fresh]), strict=True))
-                ids = [known[w] for w in words]
-                out.append((small(np.fromiter(map(len, ids), np.int64, len(ids))), small(np.concatenate(ids) if ids else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("first"), pa.array([c for c, _ in out], pa.binary()), pa.array([i for _, i in out], pa.binary())], ["block", "first", "counts", "ids"])
+                ids, counts = encode_words(path, [w.decode() for w in fresh])
+                bounds, values = starts_of(counts).tolist(), ids.tolist()
+                known.update((w, values[a:b]) for w, a, b in zip(fresh, bounds, bounds[1:], strict=False))
+                own = [known[w] for w in words]
+                counts_.append(small(np.fromiter(map(len, own), np.int64, len(own))))
+                ids_.append(small(np.fromiter(chain.from_iterable(own), np.int64)))
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("first"), pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(counts_, pa.binary()), pa.array(ids_, pa.binary())], ["block", "first", "doc_ids", "sizes", "places", "counts", "ids"])
 
-    dealt = packets.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.select("block", "first", "bucket", "words").mapInArrow(encode, "block bigint, first int, counts binary, ids binary")
+    return packets.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(encode, DOCUMENTS.format(kind=kind))
 
 
 @lru_cache(maxsize=2)
@@ -145,37 +157,43 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     Returns (id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers in a binary, decoded as text,
     a row for each row of ``docs``. A null or empty text has no tokens and decodes to the empty text. Null ids and
-    repeated rows are kept as they are; other columns are not read. ``buckets`` (by default four for each shuffle
+    repeated rows are kept as they are; other columns are not read. ``buckets`` (by default two for each shuffle
     partition) is the number of parts of the table of distinct words.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 4 * parts
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * parts
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    path_ = scratch_path(spark, "words")
-    blocks_of(read, buckets).write.option("compression", "zstd").parquet(path_)
-    packs = spark.read.parquet(path_)
-    encoded = encode_packets(packs.where("bucket >= 0"), path, parts)
     kind = read.schema["doc_id"].dataType.simpleString()
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = sorted(zip(right.column("first").to_pylist(), right.column("counts").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        counts = np.concatenate([large(c) for _, c, _ in rows])
-        ids = np.concatenate([large(i) for *_, i in rows])
-        place, rank = (large(x) for x in split_bytes(left.column("places")[0].as_py()))
-        sizes = large(left.column("sizes")[0].as_py())
-        flat, lengths = take_ragged(ids.astype("<u4"), starts_of(counts), rank[place])
-        bounds = starts_of(lengths)[starts_of(sizes)]
+    encoded = encode_packets(blocks_of(read, buckets, "packets"), path, parts, kind)
+    blocks = blocks_of(read, buckets, "documents").unionByName(encoded)
+
+    def assemble(block: pa.Table) -> pa.Table:
+        rows = block.to_pylist()
+        own = [r for r in rows if r["places"] is not None]
+        packets = sorted((r["first"], r["counts"], r["ids"]) for r in rows if r["places"] is None)
+        counts = [large(c) for _, c, _ in packets]
+        if len(own) != 1 or sum(map(len, counts)) != len(rank := large(split_bytes(own[0]["places"])[1])):
+            raise RuntimeError("a block and its words do not belong together: the input changed between two readings")
+        place, sizes = large(split_bytes(own[0]["places"])[0]), large(own[0]["sizes"])
+        starts, bounds = starts_of(np.concatenate(counts)), starts_of(sizes)
+        ids = np.concatenate([large(i).astype("<u4") for *_, i in packets])
         table, begin = pieces(path)
-        text, widths = take_ragged(table, begin, flat)
-        letters = starts_of(widths)[bounds]
-        decoded = binary_rows(text, letters)
-        try:
-            decoded = decoded.cast(pa.string())
-        except pa.ArrowInvalid:  # bytes that are no text
-            decoded = pa.array([x.decode("utf-8", "replace") for x in decoded.to_pylist()], pa.string())
-        return pa.table([left.column("doc_ids").combine_chunks().flatten(), pa.array(np.diff(bounds)), binary_rows(flat, bounds), decoded], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    schema = f"doc_id {kind}, n_tokens bigint, ids binary, decoded string"
-    own = packs.where("bucket < 0").select("block", "doc_ids", "sizes", "places")
-    return own.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, schema).withColumnRenamed("doc_id", id_col)
+        out = []
+        low = 0
+        while low < len(sizes):  # some documents at a time
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE, side="right")) - 1)
+            flat, lengths = take_ragged(ids, starts, rank[place[bounds[low] : bounds[high]]])
+            ends = starts_of(lengths)[bounds[low : high + 1] - bounds[low]]
+            text, widths = take_ragged(table, begin, flat)
+            decoded = binary_rows(text, starts_of(widths)[ends])
+            try:
+                decoded = decoded.cast(pa.string())
+            except pa.ArrowInvalid:  # bytes that are no text
+                decoded = pa.array([x.decode("utf-8", "replace") for x in decoded.to_pylist()], pa.string())
+            ids_of = pa.array(own[0]["doc_ids"][low:high], block.schema.field("doc_ids").type.value_type)
+            out.append(pa.table([ids_of, pa.array(np.diff(ends)), binary_rows(flat, ends), decoded], ["doc_id", "n_tokens", "ids", "decoded"]))
+            low = high
+        return pa.concat_tables(out)
+
+    out = blocks.groupBy("block").applyInArrow(assemble, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string")
+    return out.withColumnRenamed("doc_id", id_col)
