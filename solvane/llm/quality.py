@@ -27,7 +27,7 @@ LONGEST = 200_000  # characters of a document that the fit uses, at most; longer
 WIDTH = 1 << 18  # hashed features
 ERRORS = 3.0  # standard errors by which log-ratios are shrunk
 ROOT = 0.25  # power of the number of words that divides a document's sum
-ROUNDS = 200
+ROUNDS = 500
 PARCEL = 8 << 20
 EDGE = ".,;:!?*#$%&|()[]{}\"'«»…-"
 REPEATED = xxhash.xxh64_intdigest("repeated") % WIDTH
@@ -79,7 +79,7 @@ class Model:
         features = [word_features(w) for w in distinct]
         starts = starts_of(np.array([len(f) for f in features], np.int64))
         flat = np.fromiter(chain.from_iterable(features), np.int64, int(starts[-1]))
-        rows, columns, counts = [], [], []
+        kept = []
         again = repeats(places, bounds)
         good, other = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
         for i in range(len(grade)):
@@ -89,15 +89,18 @@ class Model:
             column, where = np.unique(np.append(flat[at], [REPEATED] * bool(again[i])).astype(np.int64), return_inverse=True)
             count = np.bincount(where, weights=np.append(np.repeat(n, sizes), [again[i]] * bool(again[i])), minlength=len(column))
             (good if grade[i] == k - 1 else other)[column] += 1
-            rows.append(np.full(len(column), i, np.int32))
-            columns.append(column.astype(np.int32))
-            counts.append((count / max(1, bounds[i + 1] - bounds[i]) ** ROOT).astype(np.float32))
+            kept.append((column.astype(np.int32), (count / max(1, bounds[i + 1] - bounds[i]) ** ROOT).astype(np.float32)))
         n_good, n_other = (grade == k - 1).sum(), (grade < k - 1).sum()
         ratio = np.log((good + 1) / (n_good + 2)) - np.log((other + 1) / (n_other + 2))
         ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - ERRORS * np.sqrt(1 / (good + 1) + 1 / (other + 1)), 0)
-        rows, columns, counts = (np.concatenate(x) for x in (rows, columns, counts))
-        told = ratio[columns] != 0
-        rows, columns, x = rows[told], columns[told], (counts * ratio[columns])[told]
+        rows, columns, x = [], [], []
+        for i, (column, count) in enumerate(kept):  # features that say nothing are left out one document at a time
+            told = ratio[column] != 0
+            rows.append(np.full(told.sum(), i))
+            columns.append(column[told])
+            x.append(count[told] * ratio[column[told]])
+        rows, columns, x = np.concatenate(rows), np.concatenate(columns), np.concatenate(x)
+        del kept
         used, columns = np.unique(columns, return_inverse=True)
         w, t = np.zeros(len(used)), np.sort(np.log(np.cumsum(np.bincount(grade, minlength=k))[:-1] + 1) - np.log(np.cumsum(np.bincount(grade, minlength=k)[::-1])[::-1][1:] + 1))
         w2, t2 = np.full(len(used), 1e-8), np.full(k - 1, 1e-8)
