@@ -121,6 +121,9 @@ def vocabulary_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def featurise_distinct(df: DataFrame, text: str, featurise, columns: Sequence[str]) -> DataFrame:
-    """Apply ``featurise`` (text table to text table with ``columns``) once per distinct string."""
-    features = featurise(df.select(text).distinct()).select(text, *columns)
-    return df.join(features, text)
+    """Apply ``featurise`` (text table to text table with ``columns``) once per distinct string.
+
+    All rows stay: a null text is featurised like any other, and a text that ``featurise`` drops gets nulls.
+    """
+    features = featurise(df.select(text).distinct()).select(F.col(text).alias("_text"), *columns)
+    return df.join(features, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")

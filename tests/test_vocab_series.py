@@ -126,3 +126,11 @@ def test_callables(spark):
     assert df.select(resolve(df, lambda d: F.upper(d["s"])).alias("u")).first()["u"] == "AB"
     codes = row_featuriser(lambda text: [ord(c) for c in text])
     assert [r["c"] for r in df.select(codes("s").alias("c")).collect()] == [[97, 98], [97, 98], None]
+
+
+def test_rows_with_null_text_are_featurised_and_kept(spark):
+    from solvane.operators.vocab import featurise_distinct
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "id int, t string")
+    out = featurise_distinct(rows, "t", lambda x: x.selectExpr("t", "length(t) as n"), ["n"])
+    assert sorted(map(tuple, out.select("id", "t", "n").collect())) == [(1, "a", 1), (2, None, None), (3, "a", 1)]
