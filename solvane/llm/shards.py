@@ -1,8 +1,8 @@
 """Balanced label propagation: documents into shards of equal counts, equal texts together where they fit.
 
 Documents with equal texts are linked. They start in shards drawn at random. A round counts, for each text, its documents
-in each shard; those outside the shard where most of their neighbours are move there, as far as that shard's quota has
-room, the strongest pulls first. As linked documents are alike, a round works on counts (text, shard, documents), and a
+in each shard; those outside the shard that can hold most of their neighbours move there, as far as that shard's quota has
+room, the strongest pulls first. A full shard draws nothing, so that what it could not take gathers in another one. As linked documents are alike, a round works on counts (text, shard, documents), and a
 text's documents are told apart only at the end, by their rank. What then exceeds a shard's quota and the documents without a link
 fill what is free. Loads and room are a number for each shard; all else stays in tables.
 """
@@ -26,7 +26,8 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
         loads = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
         room = F.array(*(F.lit(max(0, q - loads.get(s, 0))).cast("bigint") for s, q in enumerate(quotas)))
         over = F.array(*(F.lit(loads.get(s, 0) > q) for s, q in enumerate(quotas)))
-        held = F.col("n") + F.least(F.element_at(room, F.col("shard") + 1), F.sum("n").over(text) - F.col("n"))
+        gain = F.least(F.element_at(room, F.col("shard") + 1), F.sum("n").over(text) - F.col("n"))
+        held = F.when(gain > 0, F.col("n") + gain).otherwise(0)  # a full shard keeps what it has and draws nothing
         scored = cells.withColumn("score", F.struct(held.alias("held"), "n", F.xxhash64("text", "shard", F.lit(turn)).alias("tie"), "shard"))
         scored = scored.withColumn("best", F.max("score").over(text)).select("text", "shard", "n", F.col("best.shard").alias("to"), F.col("best.n").alias("pull"), F.col("best.held").alias("held"))
         moves = scored.where((F.col("shard") != F.col("to")) & ((F.col("n") <= F.greatest("pull", F.col("held") * 0.75)) | F.element_at(over, F.col("shard") + 1)))
