@@ -134,14 +134,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rated documents, chosen by the hash of their id.
+    """Fit on at most ``sample`` rated documents, chosen by the hash of their id; of these, very long and null texts are left out.
 
     ``ratings`` has (id, grade), grades from 0 on; null ids and grades are left out, and of several grades for one id the lowest
     counts. Of documents with equal ids any one with the lowest hash is taken.
     """
     rated = ratings.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = rated.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= LONGEST), "id")
-    some = chosen.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample).select("grade", words_of(F.col("text")).alias("words")).toArrow()
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = rated.join(named.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(sample)  # ids alone are shuffled
+    texts = named.where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "id")  # ``sample`` ids and grades at most
+    some = texts.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample).select("grade", words_of(F.col("text")).alias("words")).toArrow()
     if not some.num_rows:
         return Model(grades)
     return Model(grades).fit(some.column("words").combine_chunks(), some.column("grade").to_numpy())
