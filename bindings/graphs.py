@@ -12,18 +12,18 @@ from solvane.operators.ranking import global_rank
 from solvane.plans.datasets import with_fingerprints
 from solvane.storage import cut, stage
 
-GRAPHS = """base as (
+GRAPHS = """base as materialized (
   select l_orderkey as graph_id, l_linenumber, min(l_returnflag || l_linestatus) as label, avg(l_quantity) as h0, avg(l_tax) as h1
   from lineitem group by 1, 2),
-nodes as (select graph_id, (row_number() over (partition by graph_id order by l_linenumber) - 1)::int as node_id, label, h0, h1 from base),
-around as (
+nodes as materialized (select graph_id, (row_number() over (partition by graph_id order by l_linenumber) - 1)::int as node_id, label, h0, h1 from base),
+around as materialized (
   select graph_id, node_id, label, count(*) over (partition by graph_id) as n,
          lead(label, 2) over (partition by graph_id order by node_id) as second from nodes),
-bonds as (
+bonds as materialized (
   select graph_id, node_id as src, (node_id + 1)::int as dst, 'S' as bond from around where node_id + 1 < n
   union all select graph_id, node_id, 0, 'R' from around where node_id + 1 = n and n >= 3
   union all select graph_id, node_id, node_id + 2, 'D' from around where second = label),
-edges as (select graph_id, src, dst, bond from bonds union all select graph_id, dst, src, bond from bonds)"""
+edges as materialized (select graph_id, src, dst, bond from bonds union all select graph_id, dst, src, bond from bonds)"""
 
 
 LINE_NUMBERS = range(1, 8)
@@ -66,18 +66,18 @@ def nodes_and_edges(spark, folder):
 def round_sql(labels: str, edges: str, name: str, short: bool) -> str:
     """One relabelling round as a CTE ``name`` over (graph_id, node_id, label)."""
     text = "n.label || '(' || coalesce(l.around, '') || ')'"
-    return f"""{name}_counts as (
+    return f"""{name}_counts as materialized (
   select e.graph_id, e.src, o.label || '/' || e.bond as k, count(*) as c
   from {edges} e join {labels} o on o.graph_id = e.graph_id and o.node_id = e.dst group by 1, 2, 3),
-{name}_lists as (select graph_id, src, string_agg(k || '*' || c::varchar, ',' order by k) as around from {name}_counts group by 1, 2),
-{name} as (
+{name}_lists as materialized (select graph_id, src, string_agg(k || '*' || c::varchar, ',' order by k) as around from {name}_counts group by 1, 2),
+{name} as materialized (
   select n.graph_id, n.node_id, {f'md5({text})' if short else text} as label
   from {labels} n left join {name}_lists l on l.graph_id = n.graph_id and l.src = n.node_id)"""
 
 
 def edge_round_sql(labels: str, edges: str, name: str, short: bool) -> str:
     text = "least(a.label, b.label) || '~' || greatest(a.label, b.label) || '/' || e.bond"
-    return f"""{name} as (
+    return f"""{name} as materialized (
   select e.graph_id, e.src, e.dst, {f'md5({text})' if short else text} as bond
   from {edges} e join {labels} a on a.graph_id = e.graph_id and a.node_id = e.src join {labels} b on b.graph_id = e.graph_id and b.node_id = e.dst)"""
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvane.storage import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -128,16 +127,16 @@ def rounded(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
 
 # Words of a text, as tokens.
 def words(text: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, lang, n_chars, tokens)"""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", "text")
     return docs.select("doc_id", "lang", "n_chars", words("text").alias("tokens"))
 
 
-DOCUMENT_WORDS = """docs as (select doc_id, lang, n_chars, regexp_extract_all(lower(text), '[a-z]+') as tokens from documents),
+DOCUMENT_WORDS = r"""docs as (select doc_id, lang, n_chars, regexp_extract_all(lower(text), '\p{L}+') as tokens from documents),
 tokens as (select doc_id, lang, unnest(tokens) as token, generate_subscripts(tokens, 1) - 1 as pos from docs)"""
 
 

@@ -33,13 +33,17 @@ def as_vector(df: DataFrame, array: str, output: str = "features") -> DataFrame:
 def _forest_params(params: dict, rows: int | None) -> dict:
     """Translate the usual forest parameter names to MLlib's.
 
-    ``min_samples_split`` has no counterpart and is ignored; depth is at most 30.
+    What MLlib cannot honour raises ValueError: a depth beyond 30, a split size above 2, a row count without ``rows``.
     """
+    if (params.get("max_depth") or 0) > MAX_DEPTH:
+        raise ValueError(f"max_depth {params['max_depth']} is beyond {MAX_DEPTH}")
+    if params.get("min_samples_split", 2) != 2:
+        raise ValueError("min_samples_split other than 2 is not supported")
     translated = {"seed": params.get("random_state", 0)}
     if "n_estimators" in params:
         translated["numTrees"] = int(params["n_estimators"])
     if params.get("max_depth") is not None:
-        translated["maxDepth"] = min(int(params["max_depth"]), MAX_DEPTH)
+        translated["maxDepth"] = int(params["max_depth"])
     if "min_samples_leaf" in params:
         translated["minInstancesPerNode"] = int(params["min_samples_leaf"])
     if "max_features" in params:
@@ -48,6 +52,8 @@ def _forest_params(params: dict, rows: int | None) -> dict:
         translated["bootstrap"] = bool(params["bootstrap"])
     if params.get("max_samples") is not None:
         share = params["max_samples"]
+        if not isinstance(share, float) and rows is None:
+            raise ValueError("max_samples as a row count needs rows")
         translated["subsamplingRate"] = min(1.0, share if isinstance(share, float) else share / rows)
     return translated
 

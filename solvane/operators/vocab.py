@@ -11,10 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvane.operators.ranking import global_rank
-from solvane.storage import broadcast_if_small, cut
-
-# Up to this many entries a vocabulary travels as a map literal and encoding needs no shuffle.
-LITERAL_ENTRIES = 64
+from solvane.storage import cut
 
 
 def token_rows(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
@@ -61,7 +58,7 @@ def extend_vocabulary(existing: DataFrame, first: DataFrame, zero_for_new: bool
 
     ``first`` comes from :func:`first_seen` over the second data set.
     """
-    new = first.join(broadcast_if_small(existing.select("token")), "token", "left_anti")
+    new = first.join(existing.select("token"), "token", "left_anti")
     if zero_for_new:
         added = new.select("token", F.lit(0).cast("bigint").alias("idx"))
     else:
@@ -69,14 +66,6 @@ def extend_vocabulary(existing: DataFrame, first: DataFrame, zero_for_new: bool
     return existing.select("token", F.col("idx").cast("bigint").alias("idx")).unionByName(added)
 
 
-def _as_map(vocabulary: DataFrame) -> Column | None:
-    """The vocabulary as a map literal if it is small, else None."""
-    entries = vocabulary.select("token", F.col("idx").cast("int")).limit(LITERAL_ENTRIES + 1).collect()
-    if not entries or len(entries) > LITERAL_ENTRIES:
-        return None
-    return F.create_map(*[F.lit(value) for entry in entries for value in entry])
-
-
 def _known_or(idx: Column, token: Column, strict: bool) -> Column:
     if strict:
         problem = F.raise_error(F.concat(F.lit("unknown token: "), token)).cast("int")
@@ -85,39 +74,34 @@ def _known_or(idx: Column, token: Column, strict: bool) -> Column:
 
 
 def encode_rows(df: DataFrame, token: str, vocabulary: DataFrame, output: str = "idx", strict: bool = False) -> DataFrame:
-    """Look up one token per row; unknown ones become -1, or raise if ``strict``."""
-    literal = _as_map(vocabulary)
-    if literal is not None:
-        return df.withColumn(output, _known_or(F.try_element_at(literal, F.col(token)), F.col(token), strict))
-    lookup = vocabulary.select(F.col("token").alias("_token"), F.col("idx").cast("int").alias("_idx"))
-    joined = df.join(broadcast_if_small(lookup), F.col(token) == F.col("_token"), "left")
+    """Look up one token per row; unknown ones become -1, or raise if ``strict``. A repeated entry counts with its lowest id."""
+    lookup = vocabulary.groupBy(F.col("token").alias("_token")).agg(F.min("idx").cast("int").alias("_idx"))
+    joined = df.join(lookup, F.col(token) == F.col("_token"), "left")
     return joined.withColumn(output, _known_or(F.col("_idx"), F.col(token), strict)).drop("_token", "_idx")
 
 
 def encode_sequences(df: DataFrame, id_col: str, tokens: str, vocabulary: DataFrame, output: str = "ids", strict: bool = False) -> DataFrame:
-    """(id, ids): each token array as an array of ids, in its order."""
-    literal = _as_map(vocabulary)
-    if literal is not None:
-        return df.select(id_col, F.transform(tokens, lambda t: _known_or(F.try_element_at(literal, t), t, strict)).alias(output))
-    long = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
-    encoded = encode_rows(long, "token", vocabulary, "_id", strict)
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "_id"))
-    listed = encoded.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-    return listed.select(id_col, F.transform("_entries", lambda e: e["_id"]).alias(output))
+    """(id, ids): each token array as an array of ids, in its order.
+
+    Only the distinct tokens of a row meet the vocabulary; they come back as one small map, and the array is
+    translated in place. A null array stays null, and a null token counts as unknown.
+    """
+    once = df.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(tokens)).alias("token")).filter(F.col("token").isNotNull())
+    found = encode_rows(once, "token", vocabulary, "_idx_of", strict).groupBy("_id", "token").agg(F.min("_idx_of").alias("_idx_of"))
+    maps = found.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "_idx_of"))).alias("_map"))
+    joined = df.select(F.col(id_col), F.col(tokens).alias("_tokens")).join(maps, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    return joined.select(id_col, F.transform("_tokens", lambda t: _known_or(F.try_element_at(F.col("_map"), t), t, strict)).alias(output))
 
 
 def rows_with_unknown(df: DataFrame, id_col: str, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """Ids of the rows that hold at least one token outside the vocabulary."""
-    literal = _as_map(vocabulary)
-    if literal is not None:
-        return df.filter(F.exists(tokens, lambda t: F.try_element_at(literal, t).isNull())).select(id_col)
     distinct = token_rows(df.select(id_col, F.array_distinct(tokens).alias(tokens)), id_col, tokens)
-    return distinct.join(broadcast_if_small(vocabulary.select("token")), "token", "left_anti").select(id_col).distinct()
+    return distinct.join(vocabulary.select("token"), "token", "left_anti").select(id_col).distinct()
 
 
 def vocabulary_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Tokens of ``left`` that ``right`` lacks."""
-    return left.select("token").join(broadcast_if_small(right.select("token")), "token", "left_anti")
+    return left.select("token").join(right.select("token"), "token", "left_anti")
 
 
 def featurise_distinct(df: DataFrame, text: str, featurise, columns: Sequence[str]) -> DataFrame:

@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+# A side is broadcast only when its rows were counted and take at most this many bytes.
+BROADCAST_BYTES = 8 << 20
+WIDTHS = {"boolean": 1, "int": 4, "bigint": 8, "double": 8}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -50,24 +51,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a small scan out to all cores before work that is heavy per row.
-
-    A table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` has at most ``limit`` rows; else leave the join to Spark.
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast if ``rows`` rows of numbers stay within BROADCAST_BYTES; else leave the join to Spark.
 
-    ``rows`` saves the count where the caller already knows it.
+    A column of varying width has no proven size, so such a table gets no hint.
     """
-    if rows is None:
-        rows = df.limit(limit + 1).count()
-    return F.broadcast(df) if rows <= limit else df
+    widths = [WIDTHS.get(field.dataType.simpleString()) for field in df.schema]
+    return F.broadcast(df) if None not in widths and rows * sum(widths) <= BROADCAST_BYTES else df

@@ -119,6 +119,9 @@ def test_metric_log_folders(spark, tmp_path):
 
 
 def test_forest_parameters():
-    forest = models.forest_regressor({"n_estimators": 17, "max_depth": 100, "min_samples_split": 3, "min_samples_leaf": 4, "max_features": 0.1, "bootstrap": False, "max_samples": 50}, rows=200)
+    forest = models.forest_regressor({"n_estimators": 17, "max_depth": 30, "min_samples_split": 2, "min_samples_leaf": 4, "max_features": 0.1, "bootstrap": False, "max_samples": 50}, rows=200)
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (17, 30, 4)
     assert (forest.getFeatureSubsetStrategy(), forest.getBootstrap(), forest.getSubsamplingRate()) == ("0.1", False, 0.25)
+    for unsupported in ({"max_depth": 31}, {"min_samples_split": 3}, {"max_samples": 50}):
+        with pytest.raises(ValueError):
+            models.forest_regressor(unsupported)

@@ -39,10 +39,15 @@ def test_extension_keeps_known_ids(spark):
     assert zero["zz"] == 1 and zero["t0"] == 0
 
 
-@pytest.mark.parametrize("literal", [True, False])
-def test_encoding(spark, monkeypatch, literal):
-    if not literal:
-        monkeypatch.setattr(vocab, "LITERAL_ENTRIES", 2)
+def test_null_and_repeated_tokens(spark):
+    df = spark.createDataFrame([(1, ["a", None, "b", "a"]), (2, []), (3, None)], "row_id int, tokens array<string>")
+    table = spark.createDataFrame([("a", 4), ("a", 2)], "token string, idx int")
+    encoded = {r["row_id"]: r["ids"] for r in vocab.encode_sequences(df, "row_id", "tokens", table).collect()}
+    assert encoded == {1: [2, -1, -1, 2], 2: [], 3: None}
+    assert {r["row_id"] for r in vocab.rows_with_unknown(df, "row_id", "tokens", table).collect()} == {1}
+
+
+def test_encoding(spark):
     rows, df = tokens(spark)
     known = {"t0": 0, "t1": 1, "t5": 2, "t9": 3}
     table = spark.createDataFrame(list(known.items()), "token string, idx int")
