@@ -118,7 +118,7 @@ def test_metric_log_folders(spark, tmp_path):
     assert stored.count() == 80 and stored.select("trial", "fold").distinct().count() == 6
 
 
-def test_forest_parameters():
+def test_forest_parameters(spark):
     forest = models.forest_regressor({"n_estimators": 17, "max_depth": 30, "min_samples_split": 2, "min_samples_leaf": 4, "max_features": 0.1, "bootstrap": False, "max_samples": 50}, rows=200)
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (17, 30, 4)
     assert (forest.getFeatureSubsetStrategy(), forest.getBootstrap(), forest.getSubsamplingRate()) == ("0.1", False, 0.25)
