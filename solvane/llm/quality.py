@@ -9,9 +9,7 @@ its number of words. Weights and ordered thresholds are fitted on a bounded samp
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +31,36 @@ EDGE = ".,;:!?*#$%&|()[]{}\"'«»…-"
 REPEATED = xxhash.xxh64_intdigest("repeated") % WIDTH
 
 
-@lru_cache(maxsize=1 << 17)
-def word_features(word: str) -> tuple[int, ...]:
-    lower = word.lower()
-    core = lower.strip(EDGE)
-    case = "a" if word.islower() else "A" if word.isupper() and len(word) > 1 else "Aa"
-    names = [f"shape {re.sub(r'\w+', case, word)[:16]}"]
-    if core:
-        names += [f"word {core}", *(f"start {core[:k]}" for k in (4, 5, 6) if len(core) > k)]
-    return tuple(xxhash.xxh64_intdigest(n) % WIDTH for n in names)
+def hashed(names: pa.Array, seed: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, names.to_pylist(), repeat(seed)), np.uint64, len(names)).astype(np.int64) & (WIDTH - 1)
+
+
+def hashed_once(names: pa.Array, seed: int) -> np.ndarray:
+    """For names of which many are equal."""
+    names = names.dictionary_encode()
+    return hashed(names.dictionary, seed)[names.indices.to_numpy(zero_copy_only=False)]
+
+
+def word_features(words: pa.Array) -> np.ndarray:
+    """A row for each word: its shape, itself, its first four, five and six letters; -1 where it has no such feature."""
+    core = pc.utf8_trim(pc.utf8_lower(words), characters=EDGE)
+    length = pc.utf8_length(core).to_numpy(zero_copy_only=False)
+    upper = pc.and_(pc.utf8_is_upper(words), pc.greater(pc.utf8_length(words), 1))
+    case = pc.if_else(pc.utf8_is_lower(words), "a", pc.if_else(upper, "A", "Aa"))
+    shape = pc.utf8_slice_codeunits(pc.replace_substring_regex(words, r"[\pL\pN_]+", "w"), 0, 16)
+    columns = [hashed_once(pc.binary_join_element_wise(case, shape, " "), 0), np.where(length > 0, hashed(core, 1), -1)]
+    columns += [np.where(length > k, hashed_once(pc.utf8_slice_codeunits(core, 0, k), k), -1) for k in (4, 5, 6)]
+    return np.stack(columns, axis=1)
 
 
 def words_of(text) -> object:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def batch_words(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def batch_words(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the number of each word in a row, and where each document's begin."""
     words = pc.dictionary_encode(lists.flatten())
-    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), offsets_of(lists)
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False), offsets_of(lists)
 
 
 def repeats(places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -76,9 +85,8 @@ class Model:
         if len(np.unique(grade)) < 2:
             return self
         distinct, places, bounds = batch_words(lists)
-        features = [word_features(w) for w in distinct]
-        starts = starts_of(np.array([len(f) for f in features], np.int64))
-        flat = np.fromiter(chain.from_iterable(features), np.int64, int(starts[-1]))
+        features = word_features(distinct)
+        starts, flat = starts_of((features >= 0).sum(axis=1)), features[features >= 0]
         kept = []
         again = repeats(places, bounds)
         good, other = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
@@ -120,7 +128,7 @@ class Model:
     def rate(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and probability of the highest grade of each document."""
         distinct, places, bounds = batch_words(lists)
-        weight = np.array([self.weights[list(word_features(w))].sum() for w in distinct])
+        weight = np.append(self.weights, 0.0)[word_features(distinct)].sum(axis=1)  # -1 takes the zero at the end
         # each document is summed alone, so that the sum does not depend on the documents before
         sums = np.where(np.diff(bounds) > 0, np.add.reduceat(np.append(weight[places], 0.0) if len(places) else np.zeros(1), bounds[:-1]), 0.0)
         sums = sums + repeats(places, bounds) * self.weights[REPEATED]
