@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings import query
@@ -26,41 +27,36 @@ bonds as materialized (
 edges as materialized (select graph_id, src, dst, bond from bonds union all select graph_id, dst, src, bond from bonds)"""
 
 
-LINE_NUMBERS = range(1, 8)
-
-
 def nodes_and_edges(spark, folder):
-    """Node and edge tables from one grouping: an order has at most seven line numbers, each with its own aggregates."""
-    # Both flags are one letter; as a number their minimum can be hash-aggregated.
-    code = F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")
-    aggregates = []
-    for i in LINE_NUMBERS:
-        own = F.col("l_linenumber") == i
-        aggregates += [F.min(F.when(own, code)).alias(f"c{i}"), F.avg(F.when(own, F.col("l_quantity"))).alias(f"q{i}"), F.avg(F.when(own, F.col("l_tax"))).alias(f"t{i}")]
-    orders = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("graph_id")).agg(*aggregates)
-    lines = F.array(*[F.struct(F.col(f"c{i}").alias("code"), F.array(f"q{i}", f"t{i}").alias("h")) for i in LINE_NUMBERS])
-    graphs = orders.select("graph_id", F.filter(lines, lambda line: line["code"].isNotNull()).alias("lines"))
-
-    label = F.concat(F.char(F.floor(F.col("line.code") / 256)), F.char(F.col("line.code") % 256))
-    nodes = graphs.select("graph_id", F.posexplode_outer("lines").alias("node_id", "line")).select("graph_id", "node_id", label.alias("label"), F.col("line.h").alias("h"))
-
-    size = F.size("lines")
-
-    def bonds_of(i):
-        def bond(condition, dst, name):
-            return F.when(condition, F.struct(i.alias("src"), dst.alias("dst"), F.lit(name).alias("bond")))
-
-        second = F.get("lines", i + 2)["code"]
-        return F.array(
-            bond(i + 1 < size, i + 1, "S"),
-            bond((i + 1 == size) & (size >= 3), F.lit(0), "R"),
-            bond(second == F.get("lines", i)["code"], i + 2, "D"),
-        )
-
-    bonds = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), bonds_of)), lambda b: b.isNotNull())
+    """Node and edge tables: an order's lines by number. Windows run along the lines of an order; none of them lists it."""
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("graph_id"), "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("label"), "l_quantity", "l_tax"
+    )
+    # Dealt by order once: the grouping and the windows need no other shuffle, and share one sort.
+    lines = lines.repartition("graph_id").groupBy("graph_id", "l_linenumber")
+    lines = lines.agg(F.min("label").alias("label"), F.array(F.avg("l_quantity"), F.avg("l_tax")).alias("h"))
+    along = Window.partitionBy("graph_id").orderBy("l_linenumber")
+    around = lines.select(
+        "graph_id",
+        (F.row_number().over(along) - 1).alias("node_id"),
+        "label",
+        "h",
+        F.lead("l_linenumber").over(along).isNull().alias("last"),
+        F.lead("label", 2).over(along).alias("second"),
+    )
+    node = F.col("node_id")
+
+    def bond(condition, dst, name):
+        return F.when(condition, F.struct(node.alias("src"), dst.alias("dst"), F.lit(name).alias("bond")))
+
+    bonds = F.array(
+        bond(~F.col("last"), node + 1, "S"),
+        bond(F.col("last") & (node >= 2), F.lit(0), "R"),
+        bond(F.col("second") == F.col("label"), node + 2, "D"),
+    )
     # The outer form keeps Spark from working out the bonds a second time in a filter.
-    listed = graphs.select("graph_id", F.inline_outer(bonds)).filter("src is not null")
-    return nodes, graph.mirror_edges(listed)
+    listed = around.select("graph_id", F.inline_outer(F.filter(bonds, lambda b: b.isNotNull()))).filter("src is not null")
+    return around.select("graph_id", "node_id", "label", "h"), graph.mirror_edges(listed)
 
 
 def round_sql(labels: str, edges: str, name: str, short: bool) -> str:

@@ -16,15 +16,15 @@ PAIRS = """v as (select vec_id, label, unnest(embedding)::double as value, gener
 p as (select label as y_id, dim, avg(value) as value from v group by 1, 2),
 pairs as (
   select v.vec_id as x_id, p.y_id, sum((v.value > 0 and p.value > 0)::int) as shared, sum((v.value > 0 or p.value > 0)::int) as either,
-         sum(case when v.dim < 4 then (v.value - p.value) ** 2 else 0 end) as distance
+         sum((v.value - p.value) ** 2) as distance
   from v join p on v.dim = p.dim group by 1, 2),
 k as (select *, case when either > 0 then shared / either else 0.0 end as t from pairs)"""
 
 
 def vectors(spark, folder):
-    """Packed sign bits and the first four numbers of each embedding."""
+    """Packed sign bits and the numbers of each embedding."""
     e = F.col("embedding")
-    phys = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    phys = F.transform(e, lambda v: v.cast("double"))
     return table(spark, folder, "embeddings").select("vec_id", "label", pack_bits(positive_positions(e), 64).alias("words"), phys.alias("phys"))
 
 
@@ -35,7 +35,7 @@ def prototypes(spark, folder):
     # One entry per vector position, so the list is as long as one vector.
     listed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("_m"))
     mean = listed.select("label", F.transform("_m", lambda m: m["value"]).alias("mean"))
-    return mean.select("label", pack_bits(positive_positions("mean"), 64).alias("words"), F.slice("mean", 1, 4).alias("phys"))
+    return mean.select("label", pack_bits(positive_positions("mean"), 64).alias("words"), F.col("mean").alias("phys"))
 
 
 def matrix(spark, folder, name, **params):

@@ -110,7 +110,7 @@ def label_statistics(labels: DataFrame) -> DataFrame:
 def bfs_order(nodes: DataFrame, edges: DataFrame, start: int = 0, order: str = "dst", row_edges: int = ROW_EDGES) -> DataFrame:
     """(graph_id, node_id, position): breadth-first from node ``start``, neighbours in ``order``.
 
-    Only the component of the start node is visited.  A graph small enough to
+    Only nodes that the start node reaches are visited; edges are followed from src to dst.  A graph small enough to
     be one row is walked by a fold over its neighbour lists; the others are
     walked by a loop over levels in which all graphs take part.
     """
@@ -134,13 +134,14 @@ def _bfs_within_row(nodes: DataFrame, edges: DataFrame, start: int, order: str)
     rows = starts.join(listed, GRAPH, "left").withColumn("_edges", F.coalesce("_edges", F.array()))
     sources = F.array_distinct(F.transform("_edges", lambda e: e["src"]))
     lists = F.transform(sources, lambda s: F.transform(F.filter("_edges", lambda e: e["src"] == s), lambda e: e["dst"]))
-    rows = rows.select(GRAPH, F.map_from_arrays(sources, lists).alias("_lists"))
+    met = F.size(F.array_distinct(F.transform("_edges", lambda e: e["dst"])))  # nodes that edges of either direction can reach
+    rows = rows.select(GRAPH, F.map_from_arrays(sources, lists).alias("_lists"), met.alias("_met"))
 
     def visit(seen: Column, turn: Column) -> Column:
         met = F.coalesce(F.try_element_at(F.col("_lists"), F.get(seen, turn)), F.array().cast(f"array<{kind}>"))
         return F.when(turn < F.size(seen), F.concat(seen, F.array_except(met, seen))).otherwise(seen)
 
-    turns = F.sequence(F.lit(0), F.size("_lists"))
+    turns = F.sequence(F.lit(0), F.col("_met"))
     seen = F.aggregate(turns, F.array(first), visit)
     return rows.select(GRAPH, F.posexplode(seen).alias("position", "node_id")).select(GRAPH, "node_id", F.col("position").cast("bigint").alias("position"))
 

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bindings.graphs import nodes_and_edges
 from solvane.operators import fingerprint, graph, vocab
 from solvane.sources import vocabularies
 
@@ -52,6 +53,24 @@ def test_bfs_matches_a_queue(spark, row_edges):
     assert {(r["graph_id"], r["node_id"]): r["position"] for r in found} == expected
 
 
+@pytest.mark.parametrize("row_edges", [graph.ROW_EDGES, 0])
+def test_bfs_follows_directed_edges(spark, row_edges):
+    nodes = spark.createDataFrame([(1, i) for i in range(7)], "graph_id bigint, node_id int")
+    edges = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 3, 4), (1, 4, 5)], "graph_id bigint, src int, dst int")
+    found = graph.bfs_order(nodes, edges, row_edges=row_edges).collect()
+    assert sorted((r.position, r.node_id) for r in found) == [(i, i) for i in range(6)]
+
+
+def test_orders_may_have_any_line_number(spark, tmp_path):
+    rows = [(1, 1, "A", "F"), (1, 5, "N", "O"), (1, 12, "A", "F"), (1, 12, "R", "F"), (2, 40, "AB", "CD")]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_returnflag string, l_linestatus string")
+    lines.withColumn("l_quantity", F.lit(2.0)).withColumn("l_tax", F.lit(0.5)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    nodes, edges = nodes_and_edges(spark, str(tmp_path))
+    assert sorted((r.graph_id, r.node_id, r.label) for r in nodes.collect()) == [(1, 0, "AF"), (1, 1, "NO"), (1, 2, "AF"), (2, 0, "ABCD")]
+    bonds = [(0, 1, "S"), (1, 2, "S"), (2, 0, "R"), (0, 2, "D")]
+    assert sorted((r.src, r.dst, r.bond) for r in edges.collect()) == sorted(bonds + [(b, a, name) for a, b, name in bonds])
+
+
 def test_relabelling_matches_nested_tuples(spark):
     nodes, bonds, node_table, edges = random_graphs(spark)
     around = neighbours(bonds)
