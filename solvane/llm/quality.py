@@ -27,6 +27,7 @@ ERRORS = 3.0  # standard errors by which log-ratios are shrunk
 ROOT = 0.25  # power of the number of words that divides a document's sum
 ROUNDS = 500
 PARCEL = 8 << 20
+SLICE = 1 << 15  # words whose features are worked out at once
 EDGE = ".,;:!?*#$%&|()[]{}\"'«»…-"
 REPEATED = xxhash.xxh64_intdigest("repeated") % WIDTH
 
@@ -42,6 +43,11 @@ def hashed_once(names: pa.Array, seed: int) -> np.ndarray:
 
 
 def word_features(words: pa.Array) -> np.ndarray:
+    """The features of all words, worked out for some at a time."""
+    return np.concatenate([features_of(words.slice(i, SLICE)) for i in range(0, max(len(words), 1), SLICE)])
+
+
+def features_of(words: pa.Array) -> np.ndarray:
     """A row for each word: its shape, itself, its first four, five and six letters; -1 where it has no such feature."""
     core = pc.utf8_trim(pc.utf8_lower(words), characters=EDGE)
     length = pc.utf8_length(core).to_numpy(zero_copy_only=False)
@@ -50,7 +56,7 @@ def word_features(words: pa.Array) -> np.ndarray:
     shape = pc.utf8_slice_codeunits(pc.replace_substring_regex(words, r"[\pL\pN_]+", "w"), 0, 16)
     columns = [hashed_once(pc.binary_join_element_wise(case, shape, " "), 0), np.where(length > 0, hashed(core, 1), -1)]
     columns += [np.where(length > k, hashed_once(pc.utf8_slice_codeunits(core, 0, k), k), -1) for k in (4, 5, 6)]
-    return np.stack(columns, axis=1)
+    return np.stack(columns, axis=1).astype(np.int32)
 
 
 def words_of(text) -> object:
@@ -101,24 +107,27 @@ class Model:
         n_good, n_other = (grade == k - 1).sum(), (grade < k - 1).sum()
         ratio = np.log((good + 1) / (n_good + 2)) - np.log((other + 1) / (n_other + 2))
         ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - ERRORS * np.sqrt(1 / (good + 1) + 1 / (other + 1)), 0)
-        rows, columns, x = [], [], []
+        used = np.flatnonzero(ratio)
+        place = np.full(WIDTH, -1, np.int32)
+        place[used] = np.arange(len(used))
         for i, (column, count) in enumerate(kept):  # features that say nothing are left out one document at a time
             told = ratio[column] != 0
-            rows.append(np.full(told.sum(), i))
-            columns.append(column[told])
-            x.append(count[told] * ratio[column[told]])
-        rows, columns, x = np.concatenate(rows), np.concatenate(columns), np.concatenate(x)
-        del kept
-        used, columns = np.unique(columns, return_inverse=True)
+            kept[i] = place[column[told]], (count[told] * ratio[column[told]]).astype(np.float32)
+        ends = np.cumsum([0, *(len(column) for column, _ in kept)])
+        columns, x = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.float32)
+        for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            columns[a:b], x[a:b] = kept[i]
+            kept[i] = None
+        told = np.diff(ends)
         w, t = np.zeros(len(used)), np.sort(np.log(np.cumsum(np.bincount(grade, minlength=k))[:-1] + 1) - np.log(np.cumsum(np.bincount(grade, minlength=k)[::-1])[::-1][1:] + 1))
         w2, t2 = np.full(len(used), 1e-8), np.full(k - 1, 1e-8)
         for _ in range(ROUNDS):  # gradient steps, scaled by the root of each parameter's squared gradients
-            s = np.bincount(rows, x * w[columns], minlength=len(grade))
+            s = np.where(told > 0, np.add.reduceat(np.append(x * w[columns], 0.0), ends[:-1]), 0.0)
             upper = np.where(grade < k - 1, sigmoid(np.append(t, 0)[grade] - s), 1.0)
             lower = np.where(grade > 0, sigmoid(np.append(0, t)[grade] - s), 0.0)
             p = np.maximum(upper - lower, 1e-9)
             up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
-            to_w = np.bincount(columns, x * (up - low)[rows], minlength=len(used)) / len(grade) + 1e-5 * w
+            to_w = np.bincount(columns, x * np.repeat(up - low, told), minlength=len(used)) / len(grade) + 1e-5 * w
             to_t = (np.bincount(grade, low, minlength=k)[1:] - np.bincount(grade, up, minlength=k)[:-1]) / len(grade)
             w2, t2 = w2 + to_w**2, t2 + to_t**2
             w, t = w - 0.5 * to_w / np.sqrt(w2), np.sort(t - 0.1 * to_t / np.sqrt(t2))
@@ -154,7 +163,12 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     some = texts.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample).select("grade", words_of(F.col("text")).alias("words")).toArrow()
     if not some.num_rows:
         return Model(grades)
-    return Model(grades).fit(some.column("words").combine_chunks(), some.column("grade").to_numpy())
+    grade, words = some.column("grade").to_numpy(), some.column("words").combine_chunks()
+    del some
+    model = Model(grades).fit(words, grade)
+    del words
+    pa.default_memory_pool().release_unused()  # the driver's memory is needed by what follows
+    return model
 
 
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
