@@ -1,6 +1,6 @@
 """Document fingerprints of improbable features, beside those of a text edited with the next document's beginning.
 
-The rarity of entropies is counted over windows of all documents. To bring each text to its successor, texts travel once:
+The rarity of entropies is counted over all windows of all documents. To bring each text to its successor, texts travel once:
 the ids are cut into ranges at quantiles, the first document of each range is also sent to the range before, and each
 task reads its ranges in order, holding one parcel of texts at a time.
 """
@@ -37,7 +37,7 @@ def entropy_histogram(texts: DataFrame) -> np.ndarray:
                 low = np.frombuffer(column.buffers()[1], np.int64)[column.offset]
                 bounds = offsets_of(column)
                 data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[int(low) : int(low + bounds[-1])]
-                total += rarity.block_histogram(data, bounds)
+                total += rarity.level_histogram(data, bounds)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["level", "n"])
 

@@ -63,17 +63,13 @@ def increment(counts: np.ndarray, at: np.ndarray) -> None:
     counts[at] = counts.take(at) + 1  # a lane appears once
 
 
-def block_histogram(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How many of the texts' windows at multiples of the width have each level."""
-    sizes = np.diff(bounds) // WIDTH
-    starts = np.repeat(bounds[:-1] - (np.cumsum(sizes) - sizes) * WIDTH, sizes) + np.arange(sizes.sum()) * WIDTH
-    total = np.zeros(LEVELS, np.int64)
-    for low in range(0, len(starts), 1 << 14):
-        some = starts[low : low + (1 << 14)]
-        cells = data[some[:, None] + np.arange(WIDTH)] + np.arange(len(some))[:, None] * 256
-        counts = np.bincount(cells.reshape(-1), minlength=256 * len(some)).reshape(-1, 256)
-        total += np.bincount(levels_of(PLOGP.take(counts).sum(axis=1)), minlength=LEVELS)
-    return total
+def level_histogram(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of all windows that lie inside a text have each level."""
+    sizes = np.diff(bounds)
+    own = np.maximum(sizes - WIDTH + 1, 0)
+    inside = np.repeat(np.tile([True, False], len(sizes)), np.stack([own, sizes - own], axis=1).reshape(-1))
+    levels = window_levels(data)
+    return np.bincount(levels[inside[: len(levels)]], minlength=LEVELS)
 
 
 def ranks_of(histogram: np.ndarray) -> np.ndarray:

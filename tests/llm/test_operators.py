@@ -3,9 +3,11 @@
 import functools
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -118,6 +120,19 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def plain_level(window):
+    sums = sum(round((1 << 16) * n * math.log2(n)) for n in Counter(window).values())
+    most = (1 << 16) * 64 * 6
+    return (most - sums) * 1000 // most
+
+
+def test_rarity_counts_every_window(docs, empty):
+    expected = Counter(plain_level(d[i : i + 64]) for d in ((t or "").encode() for t in [*texts(), "no id"]) for i in range(len(d) - 63))
+    found = fingerprints.entropy_histogram(docs)
+    assert {i: int(n) for i, n in enumerate(found) if n} == expected
+    assert not fingerprints.entropy_histogram(empty).any()
+
+
 def plain_simhash(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
