@@ -1,14 +1,20 @@
 """Balanced label propagation: documents into shards of equal counts, equal texts together where they fit.
 
-Documents with equal texts are linked. They start in shards drawn at random. A round counts, for each text, its documents
-in each shard; those outside the shard that can hold most of their neighbours move there, as far as that shard's quota has
-room, the strongest pulls first. A full shard draws nothing, so that what it could not take gathers in another one. As linked documents are alike, a round works on counts (text, shard, documents), and a
-text's documents are told apart only at the end, by their rank. What then exceeds a shard's quota and the documents without a link
-fill what is free. Loads and room are a number for each shard; all else stays in tables.
+Documents with equal texts are linked. They start in shards drawn at random. A turn counts, for each text, its documents
+in each shard; those outside the shard that draws the text wish to go there. Wishes are granted as far as a shard has room
+or gives documents away in the same turn, be it to the shard they come from or around several shards, the strongest pulls
+first. The first turns let a text gather where it can be held whole; in later ones documents go only to where at least as
+many of their text are, so that the sum of the squared counts grows with every move and the turns come to an end: when
+none of a row of them, each with other draws, grants a move. As linked documents are alike, a turn works on counts
+(text, shard, documents), and a text's documents are told apart only at the end, by their rank. What then exceeds a
+shard's quota and the documents without a link fill what is free. Loads, room and wishes are a number for each shard or
+pair of shards; all else stays in tables.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,35 +23,85 @@ from solvane.storage import stage
 
 SHARDS, ROUNDS = 24, 8
 PULLS = 40  # classes of pull: powers of two of the neighbours in the shard wanted
+IDLE = 6  # turns without a move after which none is left: two of each way to draw
+
+
+def circulation(wishes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many documents of each wish (from, to) may go, so that no shard gains more than its room."""
+    spare = len(room)  # takes what fits into the room of a shard, and gives in place of any shard
+    left: list[dict[int, int]] = [{} for _ in range(spare + 1)]
+    for (a, b), n in wishes.items():
+        left[a][b] = n
+    for s, r in enumerate(room):
+        if r > 0:
+            left[s][spare] = r
+        left[spare][s] = 1 << 62
+    for a, b in wishes:
+        while left[a][b]:
+            before, queue = {b: a}, deque([b])
+            while queue and a not in before:
+                u = queue.popleft()
+                for v, n in left[u].items():
+                    if n and v not in before:
+                        before[v] = u
+                        queue.append(v)
+            if a not in before:
+                break
+            ring, v = [(a, b)], a
+            while v != b:
+                ring.append((before[v], v))
+                v = before[v]
+            least = min(left[u][v] for u, v in ring)
+            for u, v in ring:
+                left[u][v] -= least
+    return {(a, b): n - left[a][b] for (a, b), n in wishes.items() if n > left[a][b]}
 
 
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Move counts ``n`` of (text, shard) towards the shard that can hold most of each text, within ``quotas``."""
+    """Move counts ``n`` of (text, shard) until no move is left, within ``quotas``.
+
+    For ``rounds`` turns a text is drawn by the shard that can hold most of it, even from where more of it are.
+    """
     text = Window.partitionBy("text")  # a row for each shard at most
-    for turn in range(rounds):
+    shards, turn, idle = len(quotas), 0, 0
+    while idle < IDLE:
         loads = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
-        room = F.array(*(F.lit(max(0, q - loads.get(s, 0))).cast("bigint") for s, q in enumerate(quotas)))
+        free = [max(0, q - loads.get(s, 0)) for s, q in enumerate(quotas)]
+        room = F.array(*(F.lit(r).cast("bigint") for r in free))
         over = F.array(*(F.lit(loads.get(s, 0) > q) for s, q in enumerate(quotas)))
         gain = F.least(F.element_at(room, F.col("shard") + 1), F.sum("n").over(text) - F.col("n"))
-        held = F.when(gain > 0, F.col("n") + gain).otherwise(0)  # a full shard keeps what it has and draws nothing
-        scored = cells.withColumn("score", F.struct(held.alias("held"), "n", F.xxhash64("text", "shard", F.lit(turn)).alias("tie"), "shard"))
+        held = F.when(gain > 0, F.col("n") + gain).otherwise(0)  # first where there is room
+        tie = F.xxhash64("text", "shard", F.lit(turn))
+        late = turn >= rounds
+        ways = [[held.alias("held"), "n", tie.alias("tie"), "shard"], ["n", tie.alias("tie"), "shard", held.alias("held")], [tie.alias("tie"), "n", "shard", held.alias("held")]]
+        scored = cells.withColumn("score", F.struct(*ways[turn % 3 if late else 0]))
         scored = scored.withColumn("best", F.max("score").over(text)).select("text", "shard", "n", F.col("best.shard").alias("to"), F.col("best.n").alias("pull"), F.col("best.held").alias("held"))
-        moves = scored.where((F.col("shard") != F.col("to")) & ((F.col("n") <= F.greatest("pull", F.col("held") * 0.75)) | F.element_at(over, F.col("shard") + 1)))
+        goes = F.col("n") <= F.col("pull")
+        if not late:
+            goes = goes | (F.col("n") <= F.col("held") * 0.75) | F.element_at(over, F.col("shard") + 1)
+        moves = scored.where((F.col("shard") != F.col("to")) & goes)
         moves = moves.withColumn("class", F.least(F.floor(F.log2("pull")), F.lit(PULLS)).cast("int"))
-        # the strongest pulls first; of the class that no longer fits whole a share moves, of large counts a part
-        asked = moves.groupBy("to", "class").agg(F.sum("n").alias("asked"))
-        before = F.sum("asked").over(Window.partitionBy("to").orderBy(F.desc("class"))) - F.col("asked")
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.element_at(room, F.col("to") + 1) - before) / F.col("asked")))
-        asked = asked.select("to", "class", share.alias("share"))  # shards times classes of pull at most
-        drawn = F.pmod(F.xxhash64("text", "shard", F.lit(-1 - turn)), F.lit(1 << 20)) / (1 << 20)
-        part = F.when(F.col("n") >= 32, F.floor(F.col("n") * F.col("share"))).when(drawn < F.col("share"), F.col("n")).otherwise(0)
-        moves = moves.join(F.broadcast(asked), ["to", "class"]).withColumn("k", part.cast("bigint")).where("k > 0")
-        moves = stage(moves.select("text", "shard", "to", "k"), "moves")
-        if moves.isEmpty():
-            break
-        gone = moves.select("text", "shard", (-F.col("k")).alias("n"))
-        come = moves.select("text", F.col("to").alias("shard"), F.col("k").alias("n"))
-        cells = stage(cells.unionByName(gone).unionByName(come).groupBy("text", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "cells")
+        asked = moves.groupBy("shard", "to", "class").agg(F.sum("n").alias("asked"))
+        wishes: dict[tuple[int, int], int] = {}
+        for r in asked.collect():  # pairs of shards times classes of pull at most
+            wishes[r.shard, r.to] = wishes.get((r.shard, r.to), 0) + r.asked
+        granted = circulation(dict(sorted(wishes.items())), free)
+        turn, idle = turn + 1, 0 if granted else idle + 1 if late else idle
+        if not granted:
+            turn = max(turn, rounds) if not late else turn
+            continue
+        # the strongest pulls first; of the class that no longer goes whole a part, in an order drawn at random
+        lane = F.col("shard") * shards + F.col("to")
+        grants = F.array(*(F.lit(granted.get((a, b), 0)).cast("bigint") for a in range(shards) for b in range(shards)))
+        before = F.sum("asked").over(Window.partitionBy("shard", "to").orderBy(F.desc("class"))) - F.col("asked")
+        asked = asked.withColumn("grant", F.element_at(grants, lane + 1) - before).where("grant > 0").select("shard", "to", "class", "grant")
+        moves = moves.join(F.broadcast(asked), ["shard", "to", "class"])
+        moves = moves.select("text", "shard", "to", "n", "grant", (lane * (PULLS + 1) + F.col("class")).alias("lane"), shuffled(F.col("text"), F.lit(turn)).alias("order"))
+        moves = running(moves, "lane", "order", "taken", F.col("n"))
+        moves = moves.withColumn("k", F.least("n", F.col("grant") - F.col("taken"))).where("k > 0")
+        changes = F.explode(F.array(F.struct("shard", (-F.col("k")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("k").alias("n"))))
+        changed = cells.unionByName(moves.select("text", changes.alias("c")).select("text", "c.shard", "c.n"))
+        cells = stage(changed.groupBy("text", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "cells")
     return cells
 
 

@@ -204,6 +204,26 @@ def test_one_text_larger_than_a_shard(spark):
     assert sorted(counts.values()) == [111] * 8 + [112]
 
 
+def test_texts_gather_in_full_shards(spark):
+    for copies in (2, 40):  # no document without a copy, so that no shard has room
+        rows = spark.range(2400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % (2400 // copies)).alias("text"))
+        out = shards.balanced_shards(rows, shards=6).groupBy("text_crc32").agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("n")).collect()
+        assert {r.n for r in out} == {copies}
+        assert sum(r.shards == 1 for r in out) >= (0.8 if copies == 2 else 0.5) * len(out)  # groups of 40 hardly fit whole
+
+
+def test_granted_moves_keep_loads():
+    draw = random.Random(6)
+    for _ in range(50):
+        room = [draw.choice([0, 0, 5]) for _ in range(6)]
+        wishes = {(a, b): draw.randint(1, 9) for a in range(6) for b in range(6) if a != b and draw.random() < 0.3}
+        granted = shards.circulation(wishes, room)
+        assert all(0 < n <= wishes[w] for w, n in granted.items())
+        for s in range(6):
+            assert sum(n for (_, b), n in granted.items() if b == s) - sum(n for (a, _), n in granted.items() if a == s) <= room[s]
+    assert shards.circulation({(0, 1): 3, (1, 2): 2, (2, 0): 4, (0, 2): 1}, [0, 0, 0]) == {(0, 1): 2, (1, 2): 2, (2, 0): 3, (0, 2): 1}
+
+
 def test_curriculum(spark, docs, empty):
     rows = curriculum.plan(docs, carry=["doc_id", "source"]).select("row.*", "size", "source_size", "target", "taken", "places").collect()
     total = sum(r["size"] for r in rows)
