@@ -29,12 +29,37 @@ HOLDERS = frozenset("ul ol dl table tbody thead menu div section article main as
 AROUND = frozenset(
     "nav navigation navbar menu footer sidebar aside complementary contentinfo ad ads advert adverts advertisement advertising promo promoted promotion sponsor sponsored cookie cookies consent notice gdpr popup modal overlay dialog alert newsletter subscribe subscription signup share sharing social related recommended comment comments commentlist reply replies respond disqus breadcrumb breadcrumbs pagination pager widget login search toolbar skip copyright legal".split()
 )
+# Of these, words that also name parts of an article: on a paragraph or the like inside one they count less.
+MILD = frozenset("notice alert related legal copyright login search social share comment comments reply subscription".split())
+TEXTS = HEADINGS | frozenset("p li dt dd blockquote pre td th figure figcaption".split())
+OTHERWISE = frozenset("has with no without".split())  # what follows is about another element
+STATES = frozenset("open closed enabled disabled".split())
 ABOVE = frozenset("header banner masthead topbar".split())  # around an article, but not inside one
 WITHIN = frozenset("content article post entry story main maincontent articlebody".split())
 # Weights of the classifier: log-odds of content.
-BIAS, IN_CONTENT, NAMED_CONTENT, AROUND_IT, LONG, LINKED, HEADING, SENTENCE, ITEM, MARKED = -0.8, 4.0, 2.0, -12.0, 0.6, -5.0, 0.5, 0.8, -0.5, -1.0
+BIAS, IN_CONTENT, NAMED_CONTENT, AROUND_IT, MILDLY, LONG, LINKED, HEADING, SENTENCE, ITEM, MARKED = -0.8, 4.0, 2.0, -12.0, -2.0, 0.6, -5.0, 0.5, 0.8, -0.5, -1.0
 # Weights of the ties.
 NEXT, PARENT, GRANDPARENT = 0.4, 0.8, 0.3
+# A name or form does not count on what holds more than this share of the page's text, and the article or main part with it.
+MOST, MOST_ALONE = 0.5, 0.8
+
+
+def words_of(names: str) -> set[str]:
+    """Words of class names and the like, without those that tell of other elements or of a state."""
+    out = set()
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if words and words[-1] in STATES:
+            continue
+        out.update(words[: next((i for i, w in enumerate(words) if w in OTHERWISE), len(words))])
+    return out
+
+
+class Mark:
+    """An element that its tag or name calls around an article."""
+
+    def __init__(self, above: Mark | None, weight: float, fixed: bool, main: bool):
+        self.above, self.weight, self.fixed, self.main, self.size = above, weight, fixed, main, 0
 
 
 class Blocks(HTMLParser):
@@ -43,7 +68,8 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple] = []
-        self.stack: list[tuple] = [("", 0, 0, 0, 0, 0)]  # tag, number, unread, around, content, named
+        self.marks: list[Mark] = []
+        self.stack: list[tuple] = [("", 0, 0, None, 0, 0)]  # tag, number, unread, innermost mark, content, named
         self.parts: list[str] = []
         self.linked, self.links, self.count = 0, 0, 0
 
@@ -56,12 +82,14 @@ class Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             open_ = [s for s in self.stack if s[0] not in INLINE]
-            tag, *_, around, content, named = open_[-1][0], *open_[-1][3:]
+            tag, mark, content, named = open_[-1][0], *open_[-1][3:]
             tags = {s[0] for s in open_[-2:]}
             odds = BIAS + LONG * math.log1p(len(text) / 20) + LINKED * min(1, self.linked / len(text))
-            odds += (IN_CONTENT if content else NAMED_CONTENT if named else 0) + (AROUND_IT if around else 0)
+            odds += (IN_CONTENT if content else NAMED_CONTENT if named else 0)
             odds += HEADING * bool(tags & HEADINGS) + ITEM * (tag == "li") + SENTENCE * (text[-1] in ".!?…。！？\"”»") + MARKED * ("©" in text)
-            self.blocks.append((text, odds, open_[-1][1], open_[-2][1] if len(open_) > 1 else 0))
+            self.blocks.append((text, odds, open_[-1][1], open_[-2][1] if len(open_) > 1 else 0, mark))
+            if mark:
+                mark.size += len(text)
         self.parts, self.linked = [], 0
 
     def close_through(self, i: int) -> None:
@@ -96,17 +124,27 @@ class Blocks(HTMLParser):
         self.push(tag, attrs)
 
     def push(self, tag: str, attrs: list) -> None:
-        _, _, unread, around, content, named = self.stack[-1]
+        _, _, unread, mark, content, named = self.stack[-1]
         self.count += 1
         self.links += tag == "a"
-        if tag not in ("html", "body") and not around:
+        if tag not in ("html", "body"):
             found = dict(attrs)
-            words = set(re.split(r"[^a-z0-9]+", " ".join((found.get(k) or "") for k in ("class", "id", "role")).lower())) if attrs else set()
-            around = tag in ASIDE or bool(words & AROUND) or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in (found.get("style") or "").replace(" ", "")
-            around = around or (not content and (tag == "header" or bool(words & ABOVE)))
+            main = tag in ("article", "main") or found.get("role") == "main"
+            id_ = words_of(found.get("id") or "")
+            if tag in HEADINGS or (content and not id_ <= AROUND):  # an anchor
+                id_ = set()
+            words = words_of(f"{found.get('class') or ''} {found.get('role') or ''}") | id_ if attrs else set()
+            called = words & AROUND
+            fixed = (tag in ASIDE and tag != "form") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in (found.get("style") or "").replace(" ", "")
+            if fixed or tag == "form" or called or (not content and (tag == "header" or bool(words & ABOVE))):
+                mild = not fixed and content and tag in TEXTS and called <= MILD
+                mark = Mark(mark, MILDLY if mild else AROUND_IT, fixed, main)
+                self.marks.append(mark)
+            elif main and mark:
+                mark.main = True
             named = named or bool(words & WITHIN)
-            content = content or tag in ("article", "main") or found.get("role") == "main"
-        self.stack.append((tag, self.count, unread or tag in UNREAD, around, content, named))
+            content = content or main
+        self.stack.append((tag, self.count, unread or tag in UNREAD, mark, content, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
@@ -130,7 +168,17 @@ class Blocks(HTMLParser):
     def end(self) -> list[tuple]:
         self.close()
         self.flush()
-        return self.blocks
+        total = sum(len(b[0]) for b in self.blocks)
+        for m in reversed(self.marks):  # inner ones first
+            if m.above:
+                m.above.size += m.size
+                m.above.main |= m.main and not m.fixed
+        for m in self.marks:
+            if not m.fixed and m.size > (MOST if m.main else MOST_ALONE) * total:
+                m.weight = 0.0
+            if m.above:
+                m.weight = min(m.weight, m.above.weight)
+        return [(text, odds + (mark.weight if mark else 0), *holders) for text, odds, *holders, mark in self.blocks]
 
 
 def ties(blocks: list[tuple]) -> dict[tuple[int, int], float]:

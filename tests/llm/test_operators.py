@@ -298,3 +298,23 @@ def test_extraction(spark):
     assert [r.text for r in found] == [expected, "", "", expected, expected]
     assert all(r.n_chars == len(r.text) for r in found)
     assert extraction.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<div class='layout has-sidebar'><article>", "</article></div>"),
+        ("<div class='page with-social'><article>", "</article></div>"),
+        ("<div class='sidebar'><article>", "</article></div>"),
+        ("<article class='post comments-open'>", "</article>"),
+        ("<form action='p.aspx'><main>", "</main></form>"),
+        ("<article><section id='related-work'>", "</section></article>"),
+    ],
+)
+def test_names_on_what_holds_the_article(before, after):
+    text = "This sentence is a part of the article, and it says what there is to say."
+    own = f"<h2 id='login-and-search'>Heading</h2><p>{text}</p><p class='notice'>{text}</p><p>{text}</p>"
+    rest = "<div class='comments'><p>This comment is by a reader, who has a lot to say.</p></div><div class='sidebar'><p>More to read on this site.</p></div>"
+    expected = "\n\n".join(["Heading", text, text, text])
+    assert extraction.main_text(f"<body>{before}{own}{after}{rest}</body>") == expected
+    assert extraction.main_text(f"<body>{before}{own}{rest}{after}</body>") == expected
