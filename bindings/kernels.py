@@ -83,6 +83,22 @@ def k5(spark, folder):
     return rounded(scaled.select("vec_id", F.size("bits").alias("set_bits"), "d0", "d1"), 5)
 
 
+@query(
+    "k5_prepare_all_features",
+    f"""with r as (select vec_id, embedding, row_number() over (order by {hash_sql(0, 'vec_id')}, vec_id) - 1 as rk, count(*) over () as n from embeddings),
+    v as (select unnest(embedding)::double as value, generate_subscripts(embedding, 1) as dim from r where rk < n - 100),
+    d as (select dim, avg(value) as m, stddev_pop(value) as s from v group by dim),
+    s as (select list(m order by dim) as ms, list(s order by dim) as ss from d)
+    select vec_id, len(list_filter(embedding, lambda v: v > 0))::int as set_bits, list_transform(embedding, lambda v, i: round((v::double - ms[i]) / ss[i], 5) + 0.0) as scaled from r, s""",
+)
+def k5_all(spark, folder):
+    """Every position of the vectors, by mean and deviation of the train rows; k5_prepare_features has the first two."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", positive_positions("embedding").alias("bits"), "embedding")
+    phased = split.split_by_size(vectors, "vec_id", [None, 0, 100], 0)
+    scaled = scaling.standardise_vectors(phased, "embedding", "scaled", phased.filter("ml_phase = 'train'"))
+    return scaled.select("vec_id", F.size("bits").alias("set_bits"), F.transform("scaled", lambda v: F.round(v, 5) + F.lit(0.0)).alias("scaled"))
+
+
 @query("k6_kernel_score", f"with {PAIRS} select x_id, round(sum((y_id - 4) * (0.4 * exp(-0.7 * (1 - t)) + 0.6 * exp(-2.5 * distance))) + 0.25, 6) + 0.0 as predicted from k group by x_id")
 def k6(spark, folder):
     support = prototypes(spark, folder).withColumn("coefficient", F.col("label") - 4.0)

@@ -83,3 +83,11 @@ def test_landmarks_and_regression(spark):
     fitted = models.KernelRegression(kernels.physical(0.3), ["phys"], landmarks=20, reg=1e-6).fit(data, "id", "y")
     scored = fitted.transform(data, "id").selectExpr("avg((y - predicted) * (y - predicted)) as mse", "var_pop(y) as spread").first()
     assert scored["mse"] < 0.05 * scored["spread"]
+
+
+def test_all_positions_are_scaled(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["k5_prepare_all_features"](spark, "/root/testdata/sf0.001").collect()
+    first = {r.vec_id: r for r in entry.queries()["k5_prepare_features"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == len(first) and all(len(r.scaled) == 64 and abs(r.scaled[0] - first[r.vec_id].d0) < 2e-5 and abs(r.scaled[1] - first[r.vec_id].d1) < 2e-5 for r in rows)
