@@ -130,3 +130,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvane.llm.shards import balanced_shards
 
     return balanced_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24)
+
+
+@query("op11_vector_codes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.codebooks import code_vectors
+
+    return code_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
