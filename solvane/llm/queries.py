@@ -137,3 +137,34 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvane.llm.codebooks import code_vectors
 
     return code_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP13 = """
+with d as (
+    select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+    from documents
+), c as (
+    select count(*)::bigint as nn, sum(len(terms))::bigint as ll from d where len(terms) > 0
+), i as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark
+), p as (
+    select r, doc_id, term, count(*)::bigint as tf, any_value(n)::bigint as n from (select r, doc_id, len(terms) as n, unnest(terms) as term from d)
+    where term in (select term from i) group by r, doc_id, term
+), w as (
+    select term, floor(1000 * ln((2 * any_value(nn) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, c group by term
+), s as (
+    select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::bigint as score
+    from i join p using (term) join w using (term), c group by item_id, r, doc_id
+), k as (
+    select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank, doc_id, score from s where score > 0
+)
+select * from k where rank <= 10
+"""
+
+
+@query("op13_ranked_search", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.lexical import build_index, search
+
+    index = build_index(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
