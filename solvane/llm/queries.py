@@ -168,3 +168,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     index = build_index(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op12_language_model_scores")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from solvane.llm.scoring import score_texts
+
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
