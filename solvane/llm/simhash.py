@@ -1,10 +1,11 @@
 """SimHash near-duplicates through signatures with one wildcard bit.
 
-Two fingerprints of 64 bits that differ in at most three bits have a half in which they differ in at most one. Each half
-is written down 32 times, each time with another bit left out, so that such halves meet in an equality join; the pairs
-are verified on all 64 bits. A signature that two fingerprints share gives one pair. One that more share is cut into
-blocks of bounded size; two blocks at a time are compared in a task, which returns not the pairs but links that join the
-same fingerprints, at most one for each. So the output never grows with the square of a group.
+Two fingerprints of 64 bits that differ in at most three bits have a half in which they differ in at most one, so one quarter
+of that half is equal in both. Fingerprints are dealt by their quarters, four rows each, to where those with an equal quarter
+meet. There the other quarter of the half is written down 16 times, each time with another bit left out; equal signatures
+meet, and the pairs are verified on all 64 bits. A quarter that very many fingerprints share is dealt by whole
+signatures instead, so that it is spread. Tasks return not the pairs but links that join the same fingerprints, so that
+the output does not grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from solvane.llm.components import connected, forest
 from solvane.storage import stage
 
-BLOCK = 1024  # fingerprints of a signature that are compared at once with as many others
+CROWD = 1 << 16  # fingerprints with an equal quarter from which they are dealt by signature
+BLOCK = 256  # fingerprints that are compared at once with others
+CELLS = 1 << 22  # comparisons at once
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -55,37 +58,92 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``print`` that have the same components as all pairs within ``most`` bits."""
     if not 0 <= most <= 3:
         raise ValueError("two halves find up to three differing bits")
-    halves = F.array(F.col("print").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("print", 32))
-    signatures = (
-        prints.select("print", F.posexplode(halves).alias("half", "part"))
-        .select("print", "half", "part", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
-        .select("print", F.expr("shiftleft(cast(half as bigint), 40) | shiftleft(cast(bit as bigint), 34) | (part & ~shiftleft(1L, bit))").alias("signature"))
-    )
-    shared = signatures.groupBy("signature").agg(F.count("*").alias("n"), F.min("print").alias("a"), F.max("print").alias("b")).where("n > 1")
-    shared = stage(shared, "signatures")
-    pairs = shared.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
-    crowded = shared.where("n > 2").select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = signatures.join(crowded, "signature").withColumn("own", F.pmod(F.xxhash64("print"), "blocks").cast("int"))
-    members = members.select("signature", "print", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    groups = members.groupBy("signature", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list("print").alias("prints"))
-
-    def compare(parts):
+    quarters = F.array(*(F.shiftrightunsigned("print", 16 * q).bitwiseAND(0xFFFF).cast("int") for q in range(4)))
+    routes = prints.select("print", F.posexplode(quarters).alias("quarter", "value"))
+    routes = routes.select("print", "quarter", (F.col("quarter") * 65536 + F.col("value")).alias("route"))
+    crowded = routes.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("route", F.lit(True).alias("crowded"))
+    crowded = stage(crowded, "crowded")  # 4 * 65536 routes at most
+    sibling = F.expr("cast(shiftrightunsigned(print, 16 * (quarter ^ 1)) & 65535 as int)")
+    bits = F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(-1)))
+    dealt = routes.join(F.broadcast(crowded), "route", "left").select("print", "route", sibling.alias("sibling"), F.explode(bits).alias("bit"))
+    dealt = dealt.select("print", "route", F.expr("if(bit < 0, -1, shiftleft(bit, 16) | (sibling & ~shiftleft(1, bit)))").alias("variant"))
+    dealt = dealt.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "route", "variant").sortWithinPartitions("route", "variant")
+
+    def batches(parts):
+        kept = [np.zeros(0, np.int64)] * 3  # the rows of the last route, which may go on in the next batch
         for part in parts:
-            a, b = [], []
-            for row in part.column("prints"):
-                values = np.unique(row.values.to_numpy())
-                found = [np.zeros((2, 0), np.int64)]
-                for low in range(0, len(values), 256):
-                    i, j = np.nonzero(np.bitwise_count((values[low : low + 256, None] ^ values).view(np.uint64)) <= most)
-                    found.append(np.stack([i + low, j])[:, i + low < j])
-                i, j = np.concatenate(found, axis=1)
-                root = forest(len(values), i, j)
-                own = np.flatnonzero(root != np.arange(len(values)))
-                a.append(values[root[own]])
-                b.append(values[own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
-
-    return pairs.unionByName(groups.select("prints").mapInArrow(compare, "a bigint, b bigint"))
+            rows = [np.concatenate([k, part.column(c).to_numpy()]) for k, c in zip(kept, ("print", "route", "variant"), strict=True)]
+            place = (rows[1].astype(np.int64) << 21) + rows[2]
+            whole = int(np.searchsorted(place, place[-1])) if len(place) else 0
+            kept = [r[whole:] for r in rows]
+            yield from found(*(r[:whole] for r in rows))
+        yield from found(*kept)
+
+    def found(values, route, variant):
+        if len(values):
+            a, b = near_pairs(*signatures(values, route.astype(np.int64), variant.astype(np.int64)), most)
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = forest(len(nodes), at[: len(a)], at[len(a) :])
+            own = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[root[own]]), pa.array(nodes[own])], ["a", "b"])
+
+    return dealt.mapInArrow(batches, "a bigint, b bigint")
+
+
+def signatures(values: np.ndarray, route: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures in order, and the fingerprint of each: sixteen where a row stands for all variants of the sibling quarter."""
+    ready = variant >= 0
+    open_, quarter = values[~ready], route[~ready] >> 16
+    sibling = open_.view(np.uint64) >> (16 * (quarter ^ 1)).astype(np.uint64) & np.uint64(0xFFFF)
+    bit = np.arange(16)[:, None]
+    rest = (bit << 16) | (sibling.astype(np.int64) & ~(1 << bit))
+    signature = np.concatenate([((route[~ready] << 20) | rest).reshape(-1), (route[ready] << 20) | variant[ready]])
+    order = np.argsort(signature, kind="stable")
+    return signature[order], np.concatenate([np.tile(open_, 16), values[ready]])[order]
+
+
+def near_pairs(signature: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints with an equal signature that differ in ``most`` bits or fewer."""
+    starts = np.flatnonzero(np.diff(signature, prepend=-1))
+    sizes = np.diff(np.append(starts, len(signature)))
+    alone = np.repeat(sizes, sizes) <= 64
+    short, run = values[alone], signature[alone]
+    a, b = [], []
+    for step in range(1, min(int(sizes.max(initial=0)), 64)):
+        at = np.flatnonzero(run[step:] == run[:-step])
+        if not len(at):
+            break
+        at = at[near(short[at], short[at + step], most)]
+        a.append(short[at])
+        b.append(short[at + step])
+    for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        for x, y in crowd_pairs(values[start : start + size], int(signature[start]) >> 36, most):
+            a.append(x)
+            b.append(y)
+    return (np.concatenate(a), np.concatenate(b)) if a else (values[:0], values[:0])
+
+
+def near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64)) <= most
+
+
+def crowd_pairs(values: np.ndarray, quarter: int, most: int):
+    """As ``near_pairs`` for one signature of many fingerprints, a few rows at a time.
+
+    They can only differ in three bits of the other half if one of its four bytes is equal, so that those with an equal byte
+    are compared.
+    """
+    for byte in range(4):
+        key = values.view(np.uint64) >> np.uint64(8 * byte + 32 * (1 - quarter // 2)) & np.uint64(0xFF)
+        some = values[np.argsort(key, kind="stable")]
+        for group in np.split(some, np.cumsum(np.bincount(key.astype(np.int64), minlength=256))[:-1]):
+            block = max(1, min(BLOCK, CELLS // max(len(group), 1)))
+            for low in range(0, len(group), block):
+                i, j = np.nonzero(near(group[low : low + block, None], group[low:], most))
+                ahead = i < j
+                links = forest(len(group) - low, i[ahead], j[ahead])  # a link for each, not a pair
+                own = np.flatnonzero(links != np.arange(len(links)))
+                yield group[low + links[own]], group[low + own]
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

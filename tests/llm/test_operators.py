@@ -165,6 +165,28 @@ def test_simhash_links_join_what_all_pairs_join(spark, monkeypatch):
     assert len(set(zip(got, expected.tolist(), strict=True))) == len(set(got)) == len(set(expected.tolist()))
 
 
+@pytest.mark.parametrize("crowd", [1 << 16, 500])
+def test_simhash_links_of_a_crowded_signature(spark, monkeypatch, crowd):
+    """Thousands of fingerprints with one equal half, and others; a quarter shared by many is dealt by signature."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    draw = np.random.default_rng(4)
+    upper = draw.integers(0, 1 << 32, 60, np.uint64)  # halves of chains of few changed bits
+    chains = [upper]
+    for _ in range(12):
+        chains.append(chains[-1] ^ (np.uint64(1) << draw.integers(0, 32, 60, np.uint64)) ^ (np.uint64(1) << draw.integers(0, 32, 60, np.uint64)))
+    crowd_of = np.concatenate([np.concatenate(chains), draw.integers(0, 1 << 32, 3000, np.uint64)])
+    low = np.uint64(0x1234ABCD) ^ (np.uint64(1) << draw.integers(0, 32, len(crowd_of), np.uint64)) * (draw.random(len(crowd_of)) < 0.3).astype(np.uint64)
+    other = draw.integers(0, 1 << 64, 2000, np.uint64)
+    mixed = np.concatenate([(crowd_of << np.uint64(32)) | low, crowd_of | (low << np.uint64(32)), other, other ^ (np.uint64(0b10001) << draw.integers(0, 59, 2000, np.uint64))])
+    values = np.unique(mixed)
+    links = simhash.links(spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "print bigint")).collect()
+    where = {v: i for i, v in enumerate(values.view(np.int64).tolist())}
+    got = forest(len(values), np.array([where[r.a] for r in links]), np.array([where[r.b] for r in links]))
+    pairs = [np.nonzero(np.bitwise_count(values[i : i + 200, None] ^ values) <= 3) for i in range(0, len(values), 200)]
+    expected = forest(len(values), np.concatenate([i + 200 * k for k, (i, _) in enumerate(pairs)]), np.concatenate([j for _, j in pairs]))
+    assert got.tolist() == expected.tolist()
+
+
 def test_vector_links(spark):
     draw = np.random.default_rng(1)
     centres = draw.normal(size=(40, 16))
