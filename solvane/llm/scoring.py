@@ -1,8 +1,8 @@
 """Scores of texts by a language model that learns from the training documents of the whole corpus.
 
 Texts are packed into parcels: the distinct words of a parcel, and every token as a number among them. Words are counted over
-all parcels; the counts of a parcel's words come back to it by a join on the word, so that no task holds the corpus's
-words. The most frequent words are classes of their own; all others, however many, are classed by the magnitude of
+all parcels in the order of words; a parcel gets back the counts of those of its words that other parcels hold too, so that
+no task holds the corpus's words. The most frequent words are classes of their own; all others, however many, are classed by the magnitude of
 their count. A word's probability is that of its class after the two classes before, by the log-bilinear model, times the word's
 share of its class's tokens. Words that training never met are one word more in the class of those met once.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,14 @@ from solvane.llm.bilinear import Bilinear, Trainer, contexts
 from solvane.llm.words import gathered, starts_of
 from solvane.storage import stage
 
-PARCEL = 4 << 20  # text in a parcel, unless one text has more
+PARCEL = 8 << 20  # text in a parcel, unless one text has more
+PACK = 500_000  # counts that are packed at once
 SINGLE = 1000  # words that are classes of their own
 MAGNITUDES = 64  # classes of the others: counts from 2^i to 2^(i + 1) - 1
 ROUNDS = 2
 BLOCK = 4096  # numbers of the model that are averaged together
 END = b""  # the token after the last word; words are never empty
+COUNTED = pa.schema({"parcel": pa.int64(), "at": pa.binary(), "c": pa.binary(), "totals": pa.list_(pa.int64()), "members": pa.list_(pa.int64()), "words": pa.list_(pa.string())})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -35,7 +38,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each parcel: (parcel, ids, held, lengths, words, counts, stream). ``counts`` are those in training texts."""
+    """A row for each parcel: (parcel, ids, held, lengths, words, own, low, high).
+
+    ``words`` are a parcel's distinct words, the most frequent first, ``own`` their counts in its training texts; ``low`` and
+    ``high`` are the halves of every token's place among them.
+    """
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(F.col(id_col)).alias("held"))
 
     def batches(parts):
@@ -47,91 +54,176 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 streams.append(np.array([numbers.setdefault(w, len(numbers)) for w in words] + [0], np.uint32))
             held = part.column("held")
             training = [s for s, h in zip(streams, held.to_pylist(), strict=True) if not h]
-            counts = np.bincount(np.concatenate(training), minlength=len(numbers)) if training else np.zeros(len(numbers), np.int64)
-            whole = [
-                part.column("id").to_pylist(),
-                held.to_pylist(),
-                [len(s) for s in streams],
-                [w.decode() for w in numbers],
-                counts,
-            ]
-            kinds = [part.column("id").type, pa.bool_(), pa.int64(), pa.string(), pa.int64()]
+            own = np.bincount(np.concatenate(training), minlength=len(numbers)) if training else np.zeros(len(numbers), np.int64)
+            stream = np.concatenate(streams)
+            order = np.argsort(-np.bincount(stream, minlength=len(numbers)), kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            stream = place[stream]
+            words = pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(order))
+            lists = [part.column("id"), held, pa.array([len(s) for s in streams], pa.int64()), words, pa.array(own[order], pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([v], pa.list_(k)) for v, k in zip(whole, kinds, strict=True)), pa.array([np.concatenate(streams).tobytes()], pa.binary())],
-                ["ids", "held", "lengths", "words", "counts", "stream"],
+                [*(pa.ListArray.from_arrays([0, len(x)], x) for x in lists), *(pa.array([(stream >> shift).astype(np.uint16).tobytes()], pa.binary()) for shift in (0, 16))],
+                ["ids", "held", "lengths", "words", "own", "low", "high"],
             )
 
     kind = read.schema["id"].dataType.simpleString()
-    schema = f"ids array<{kind}>, held array<boolean>, lengths array<bigint>, words array<string>, counts array<bigint>, stream binary"
+    schema = f"ids array<{kind}>, held array<boolean>, lengths array<bigint>, words array<string>, own array<int>, low binary, high binary"
     return stage(read.mapInArrow(batches, schema).withColumn("parcel", F.monotonically_increasing_id()), "parcels")
 
 
+def magnitudes(counts: np.ndarray) -> np.ndarray:
+    """i for counts from 2^i to 2^(i + 1) - 1, and 0 for 0."""
+    return np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1
+
+
+def count_words(parcels: DataFrame, single: int) -> DataFrame:
+    """The counts of words over all parcels, in one table of three kinds of rows.
+
+    (parcel, at, c): packed, for words of a parcel the count in the corpus where it isn't the parcel's own; (totals, members):
+    tokens and words of each magnitude; (words, c): the most frequent words. Rows come sorted by word, so that a task
+    holds the rows of one word at a time, at most one for each parcel, and packs what it has found when that is much.
+    """
+    asked = parcels.select("parcel", F.posexplode(F.arrays_zip("words", "own")).alias("at", "e")).select("parcel", "at", F.col("e.words").alias("word"), F.col("e.own").alias("own"))
+    dealt = asked.repartition("word").sortWithinPartitions("word")
+
+    def packed(found):
+        parcel, at, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(parcel, kind="stable")
+        parcel, at, c = parcel[order], at[order], c[order]
+        bounds = np.append(np.flatnonzero(np.diff(parcel, prepend=parcel[0] - 1)), len(parcel))
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            yield {"parcel": int(parcel[low]), "at": at[low:high].astype(np.int32).tobytes(), "c": c[low:high].tobytes()}
+
+    def batches(parts):
+        totals, members = np.zeros(MAGNITUDES, np.int64), np.zeros(MAGNITUDES, np.int64)
+        found, held, top = [], 0, []
+
+        def told(word, c):  # words that are complete, and their counts
+            nonlocal top
+            met = c > 0
+            np.add.at(totals, magnitudes(c[met]), c[met])
+            np.add.at(members, magnitudes(c[met]), 1)
+            least = -top[-1][0] if len(top) >= single else 1
+            some = np.flatnonzero(c >= least)
+            top += [(-int(c[i]), word[i].as_py()) for i in some.tolist()]
+            if len(some):
+                top = sorted(top)[:single]
+
+        def rows_of(word, rows, c, lengths):
+            nonlocal held
+            told(word, c)
+            c = np.repeat(c, lengths)
+            other = np.flatnonzero(c != rows[2])
+            if len(other):
+                found.append((rows[0][other], rows[1][other], c[other]))
+                held += len(other)
+
+        open_word, open_rows = None, []
+        for part in parts:
+            rows = [part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("parcel", "at", "own")]
+            runs = pc.run_end_encode(part.column("word"))
+            ends, words = runs.run_ends.to_numpy().astype(np.int64), runs.values
+            if not len(words):
+                continue
+            if open_rows and words[0].as_py() == open_word:  # the open word goes on
+                open_rows.append([r[: ends[0]] for r in rows])
+                rows, ends, words = [r[ends[0] :] for r in rows], ends[1:] - ends[0], words[1:]
+                if not len(words):
+                    continue
+            if open_rows:
+                whole = [np.concatenate(r) for r in zip(*open_rows, strict=True)]
+                rows_of(pa.array([open_word]), whole, whole[2].sum(keepdims=True), np.array([len(whole[0])]))
+            starts = np.append(0, ends)
+            last = starts[-2]
+            if last:
+                rows_of(words[:-1], [r[:last] for r in rows], np.add.reduceat(rows[2][:last], starts[:-2]), np.diff(starts[:-1]))
+            open_word, open_rows = words[-1].as_py(), [[r[last:] for r in rows]]
+            if held > PACK:
+                yield pa.RecordBatch.from_pylist(list(packed(found)), COUNTED)
+                found.clear()
+                held = 0
+        if open_rows:
+            whole = [np.concatenate(r) for r in zip(*open_rows, strict=True)]
+            rows_of(pa.array([open_word]), whole, whole[2].sum(keepdims=True), np.array([len(whole[0])]))
+        if found:
+            yield pa.RecordBatch.from_pylist(list(packed(found)), COUNTED)
+        counts = np.array([-c for c, _ in top], np.int64).tobytes()
+        yield pa.RecordBatch.from_pylist([{"totals": totals.tolist(), "members": members.tolist()}, {"words": [w for _, w in top], "c": counts}], COUNTED)
+
+    return stage(dealt.mapInArrow(batches, "parcel bigint, at binary, c binary, totals array<bigint>, members array<bigint>, words array<string>"), "counted")
+
+
 class Classes:
     """Which class a word is in, and its share of the class, both by its count in training."""
 
-    def __init__(self, single: dict[str, int], least: int, tokens: int, words: int, totals: np.ndarray, members: np.ndarray):
-        self.single, self.least, self.tokens, self.words = single, least, tokens, words
-        frequency = np.array([*single.values()], np.float64)
+    def __init__(self, single: dict[str, int], totals: np.ndarray, members: np.ndarray):
+        self.tokens, self.words = int(totals.sum()), int(members.sum())
+        self.least = min(single.values(), default=1)
+        counts = np.array([*single.values()], np.int64)
         totals, members = totals.copy(), members.copy()
+        np.subtract.at(totals, magnitudes(counts), counts)
+        np.subtract.at(members, magnitudes(counts), 1)
         members[0] += 1  # the word that training never met
         totals[0] += 1
         used = np.flatnonzero(members > 0)
         self.at = np.full(MAGNITUDES, -1)
         self.at[used] = len(single) + np.arange(len(used))
         self.totals = totals
-        self.frequency = np.concatenate([frequency, totals[used]])
+        self.frequency = np.concatenate([counts, totals[used]]).astype(np.float64)
         self.place = {w: i for i, w in enumerate(single)}
 
-    def of(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and log10 of the share in it."""
-        magnitude = np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1
+        magnitude = magnitudes(counts)
         classes = self.at[magnitude]
         share = np.log10(np.maximum(counts, 1) / np.maximum(self.totals[magnitude], 1))
         for i in np.flatnonzero(counts >= self.least).tolist():
-            place = self.place.get(words[i])
+            place = self.place.get(words[i].as_py())
             if place is not None:
                 classes[i], share[i] = place, 0.0
         return classes, share
 
 
-def classes_of(counts: DataFrame, single: int = SINGLE) -> Classes:
-    """From (word, c): the end token and the most frequent words, and the sums of the magnitudes."""
-    end = END.decode()
-    top = counts.where(F.col("word") != end).orderBy(F.desc("c"), "word").limit(single - 1).collect()
-    ends = counts.where(F.col("word") == end).collect()
-    magnitude = F.floor(F.log2(F.col("c").cast("double")) + 1e-12).cast("int")
-    totals, members = np.zeros(MAGNITUDES, np.int64), np.zeros(MAGNITUDES, np.int64)
-    for row in counts.groupBy(magnitude.alias("m")).agg(F.sum("c").alias("total"), F.count("*").alias("n")).collect():
-        totals[row.m], members[row.m] = row.total, row.n
-    tokens, words = int(totals.sum()), int(members.sum())
-    singles = {row.word: row.c for row in [*ends, *top]}
-    for c in singles.values():
-        totals[c.bit_length() - 1] -= c
-        members[c.bit_length() - 1] -= 1
-    return Classes(singles, min(singles.values(), default=1), tokens, words, totals, members)
-
-
-def code(parcels: DataFrame, counts: DataFrame, classes: Classes, id_type: str) -> DataFrame:
+def classes_of(counted: DataFrame, single: int = SINGLE) -> Classes:
+    """From ``count_words``: the end token and the most frequent words, and the sums of the magnitudes."""
+    sums = {"totals": np.zeros(MAGNITUDES, np.int64), "members": np.zeros(MAGNITUDES, np.int64)}
+    for name, into in sums.items():
+        cells = counted.where(F.col(name).isNotNull()).select(F.posexplode(name).alias("m", "n"))
+        for row in cells.groupBy("m").agg(F.sum("n").alias("n")).collect():
+            into[row.m] = row.n
+
+    def unpacked(parts):
+        for part in parts:
+            for words, c in zip(part.column("words"), part.column("c"), strict=True):
+                yield pa.RecordBatch.from_arrays([words.values, pa.array(np.frombuffer(c.as_buffer(), np.int64))], ["word", "c"])
+
+    top = counted.where("words is not null").select("words", "c").mapInArrow(unpacked, "word string, c bigint")
+    first = top.orderBy(F.col("word") != END.decode(), F.desc("c"), "word").limit(single).collect()
+    return Classes({row.word: row.c for row in first}, **sums)
+
+
+def code(parcels: DataFrame, counted: DataFrame, classes: Classes, id_type: str) -> DataFrame:
     """Parcels with the class of every token, and for each text what does not depend on the context."""
-    asked = parcels.select("parcel", F.posexplode("words").alias("at", "word"))
-    met = asked.join(counts, "word", "left").select("parcel", F.struct("at", F.coalesce("c", F.lit(0)).alias("c")).alias("e"))
-    known = met.groupBy("parcel").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["c"]).alias("known"))  # one parcel's words
-    whole = parcels.select("parcel", "ids", "held", "lengths", "words", "stream").join(known, "parcel")
+    packets = counted.where("parcel is not null").groupBy("parcel").agg(F.collect_list(F.struct("at", "c")).alias("packets"))  # of one parcel's words
+    whole = parcels.join(packets, "parcel", "left")
     sent = parcels.sparkSession.sparkContext.broadcast(classes)  # at most SINGLE words and their counts
 
     def batches(parts):
         told = sent.value
         for part in parts:
             for i in range(len(part)):
-                c = part.column("known")[i].values.to_numpy(zero_copy_only=False)
-                of, share = told.of(part.column("words")[i].as_py(), c)
-                stream = np.frombuffer(part.column("stream")[i].as_buffer(), np.uint32)
+                c = part.column("own")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                for packet in part.column("packets")[i].as_py() or []:
+                    c[np.frombuffer(packet["at"], np.int32)] = np.frombuffer(packet["c"], np.int64)
+                of, share = told.of(part.column("words")[i].values, c)
+                low, high = (np.frombuffer(part.column(k)[i].as_buffer(), np.uint16).astype(np.uint32) for k in ("low", "high"))
+                stream = low | high << np.uint32(16)
                 heads = starts_of(part.column("lengths")[i].values.to_numpy(zero_copy_only=False))[:-1]
                 base = np.log10((c + 1) / (told.tokens + told.words + 1))
-                lists = [np.add.reduceat(x[stream], heads) for x in ((c > 0).astype(np.int64), base, share)]
-                kinds = [pa.int64(), pa.float64(), pa.float64()]
+                lists = [pa.array(np.add.reduceat(x[stream], heads)) for x in ((c > 0).astype(np.int64), base, share)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k).slice(i, 1) for k in ("ids", "held", "lengths")), *(pa.array([v], pa.list_(k)) for v, k in zip(lists, kinds, strict=True)), pa.array([of.astype(np.uint16)[stream].tobytes()], pa.binary())],
+                    [*(part.column(k).slice(i, 1) for k in ("ids", "held", "lengths")), *(pa.ListArray.from_arrays([0, len(v)], v) for v in lists), pa.array([of.astype(np.uint16)[stream].tobytes()], pa.binary())],
                     ["ids", "held", "lengths", "known", "base", "share", "classes"],
                 )
 
@@ -206,10 +298,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     parcels = pack(docs, id_col, text_col)
-    met = parcels.select(F.explode(F.arrays_zip("words", "counts")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
-    counts = stage(met.where("c > 0").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    classes = classes_of(counts, single)
-    coded = code(parcels, counts, classes, kind)
+    counted = count_words(parcels, single)
+    classes = classes_of(counted, single)
+    coded = code(parcels, counted, classes, kind)
     model = train(coded, Bilinear(classes.frequency), rounds)
     sent = spark.sparkContext.broadcast((*model.tables(), normalisers(spark, model)))  # squares of the number of classes
     tokens, start = classes.tokens, len(classes.frequency)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from solvane.llm import codebooks, lexical, scoring
@@ -213,7 +214,10 @@ def scored_rows(n=300, seed=2):
     return rows
 
 
-def test_scores_count_as_a_plain_version_does(spark):
+@pytest.mark.parametrize("parcel", [8 << 20, 300])
+def test_scores_count_as_a_plain_version_does(spark, monkeypatch, parcel):
+    monkeypatch.setattr(scoring, "PARCEL", parcel)
+    monkeypatch.setattr(scoring, "PACK", 50)
     rows = scored_rows()
     table = spark.createDataFrame([(*r, "clash", "clash", "clash", 1) for r in rows], SCORED).repartition(3)
     found = scoring.score_texts(table, single=30)
@@ -240,9 +244,14 @@ def test_scores_of_nothing_and_without_training(spark):
 
 def test_probabilities_add_up_to_one(spark):
     counts = {"": 50, "the": 40, "of": 9, "a": 8, "b": 5, "c": 1, "d": 1, "e": 2, "f": 3}
-    classes = scoring.classes_of(spark.createDataFrame(list(counts.items()), "word string, c bigint"), single=3)
+    half = [w for w, c in counts.items() for _ in range(c // 2)]  # the words of one parcel, and those of the other
+    other = list((Counter(counts) - Counter(half)).elements())
+    rows = [(p, list(Counter(x)), list(Counter(x).values())) for p, x in enumerate((half, other))]
+    parcels = spark.createDataFrame(rows, "parcel bigint, words array<string>, own array<int>")
+    classes = scoring.classes_of(scoring.count_words(parcels, 3), single=3)
+    assert classes.place == {"": 0, "the": 1, "of": 2} and (classes.tokens, classes.words) == (sum(counts.values()), len(counts))
     words = [*counts, "never met"]
-    of, share = classes.of(words, np.array([*counts.values(), 0]))
+    of, share = classes.of(pa.array(words), np.array([*counts.values(), 0]))
     model = Bilinear(classes.frequency)
     k = len(classes.frequency)
     draw = np.random.default_rng(1)
