@@ -76,22 +76,17 @@ class Trainer:
         hidden = one @ m.first + two @ m.second
         own, other = m.target[target], m.target[noise]
         # how far each real and each noise class is from being told right
-        real = sigmoid((hidden * own).sum(axis=1) + m.bias[target] - self.offset[target]) - 1
+        real = sigmoid(np.einsum("nd,nd->n", hidden, own) + m.bias[target] - self.offset[target]) - 1
         false = sigmoid(hidden @ other.T + m.bias[noise] - self.offset[noise])
         to_hidden = real[:, None] * own + false @ other
         share = np.float32(1 / len(target))
-        self.rows("target", np.concatenate([target, noise]), np.concatenate([real[:, None] * hidden, false.T @ hidden]) * share)
-        self.rows("bias", np.concatenate([target, noise]), np.concatenate([real, false.sum(axis=0)]) * share)
-        to_context = np.concatenate([to_hidden @ m.first.T, to_hidden @ m.second.T]) * share
+        told, gradients = by_class(np.concatenate([target, noise]), np.concatenate([real[:, None] * hidden, false.T @ hidden]), np.concatenate([real, false.sum(axis=0)]))
+        self.move("target", told, gradients[:, :-1] * share)
+        self.move("bias", told, gradients[:, -1] * share)
+        told, gradients = by_class(np.concatenate([last, before]), np.concatenate([to_hidden @ m.first.T, to_hidden @ m.second.T]))
         self.move("first", slice(None), one.T @ to_hidden * share)
         self.move("second", slice(None), two.T @ to_hidden * share)
-        self.rows("context", np.concatenate([last, before]), to_context)
-
-    def rows(self, name: str, which: np.ndarray, gradients: np.ndarray) -> None:
-        order = np.argsort(which.astype(np.uint16), kind="stable")
-        which = which[order]
-        heads = np.flatnonzero(np.diff(which, prepend=-1))
-        self.move(name, which[heads], np.add.reduceat(gradients[order], heads, axis=0))
+        self.move("context", told, gradients * share)
 
     def move(self, name: str, which, gradient: np.ndarray) -> None:
         squares = self.squares[name][which] + gradient * gradient
@@ -99,8 +94,17 @@ class Trainer:
         getattr(self.model, name)[which] -= RATE * gradient / np.sqrt(squares)
 
 
+def by_class(which: np.ndarray, gradients: np.ndarray, further: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The classes in ``which``, and the sum of the rows of each; ``further`` is one more column."""
+    order = np.argsort(which.astype(np.uint16), kind="stable")
+    which = which[order]
+    heads = np.flatnonzero(np.diff(which, prepend=-1))
+    rows = gradients if further is None else np.column_stack([gradients, further])
+    return which[heads], np.add.reduceat(rows[order], heads, axis=0)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def contexts(classes: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
