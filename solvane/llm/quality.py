@@ -17,15 +17,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from solvane.llm.words import offsets_of, parcels, starts_of
+from solvane.storage import stage
 
 SAMPLE = 8_000  # rated documents at most that the fit uses
-LONGEST = 200_000  # characters of a document that the fit uses, at most; longer ones are rated, not fitted on
 WIDTH = 1 << 18  # hashed features
 ERRORS = 3.0  # standard errors by which log-ratios are shrunk
 ROOT = 0.25  # power of the number of words that divides a document's sum
 ROUNDS = 500
+RIDGE = 1e-5
 PARCEL = 8 << 20
 SLICE = 1 << 15  # words whose features are worked out at once
 EDGE = ".,;:!?*#$%&|()[]{}\"'«»…-"
@@ -79,6 +81,27 @@ def repeats(places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return same[bounds[1:]] - same[np.minimum(bounds[:-1] + 1, bounds[1:])]
 
 
+def document_features(lists: pa.ListArray):
+    """For each document its features and, of each, the count over a root of the number of words."""
+    distinct, places, bounds = batch_words(lists)
+    features = word_features(distinct)
+    starts, flat = starts_of((features >= 0).sum(axis=1)), features[features >= 0]
+    again = repeats(places, bounds)
+    for i in range(len(lists)):
+        own, n = np.unique(places[bounds[i] : bounds[i + 1]], return_counts=True)
+        sizes = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        column, where = np.unique(np.append(flat[at], [REPEATED] * bool(again[i])).astype(np.int64), return_inverse=True)
+        count = np.bincount(where, weights=np.append(np.repeat(n, sizes), [again[i]] * bool(again[i])), minlength=len(column))
+        yield column.astype(np.int32), (count / max(1, bounds[i + 1] - bounds[i]) ** ROOT).astype(np.float32)
+
+
+def log_ratios(good: np.ndarray, other: np.ndarray, n_good: int, n_other: int) -> np.ndarray:
+    """What a feature says, from the numbers of documents that have it, shrunk towards zero by standard errors."""
+    ratio = np.log((good + 1) / (n_good + 2)) - np.log((other + 1) / (n_other + 2))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - ERRORS * np.sqrt(1 / (good + 1) + 1 / (other + 1)), 0)
+
+
 class Model:
     """Feature weights and ordered thresholds. Without ratings of two grades every document has the highest grade."""
 
@@ -86,52 +109,18 @@ class Model:
         self.weights = np.zeros(WIDTH)
         self.thresholds = np.full(grades - 1, -40.0)
 
-    def fit(self, lists: pa.ListArray, grade: np.ndarray) -> Model:
+    def fit(self, grade: np.ndarray, told: np.ndarray, columns: np.ndarray, x: np.ndarray, rounds: int = 0) -> Model:
+        """Documents of a grade each, of which the first has the first ``told[0]`` features in ``columns`` with values ``x``, and so on."""
         k = len(self.thresholds) + 1
-        if len(np.unique(grade)) < 2:
-            return self
-        distinct, places, bounds = batch_words(lists)
-        features = word_features(distinct)
-        starts, flat = starts_of((features >= 0).sum(axis=1)), features[features >= 0]
-        kept = []
-        again = repeats(places, bounds)
-        good, other = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
-        for i in range(len(grade)):
-            own, n = np.unique(places[bounds[i] : bounds[i + 1]], return_counts=True)
-            sizes = starts[own + 1] - starts[own]
-            at = np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            column, where = np.unique(np.append(flat[at], [REPEATED] * bool(again[i])).astype(np.int64), return_inverse=True)
-            count = np.bincount(where, weights=np.append(np.repeat(n, sizes), [again[i]] * bool(again[i])), minlength=len(column))
-            (good if grade[i] == k - 1 else other)[column] += 1
-            kept.append((column.astype(np.int32), (count / max(1, bounds[i + 1] - bounds[i]) ** ROOT).astype(np.float32)))
-        n_good, n_other = (grade == k - 1).sum(), (grade < k - 1).sum()
-        ratio = np.log((good + 1) / (n_good + 2)) - np.log((other + 1) / (n_other + 2))
-        ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - ERRORS * np.sqrt(1 / (good + 1) + 1 / (other + 1)), 0)
-        used = np.flatnonzero(ratio)
-        place = np.full(WIDTH, -1, np.int32)
-        place[used] = np.arange(len(used))
-        for i, (column, count) in enumerate(kept):  # features that say nothing are left out one document at a time
-            told = ratio[column] != 0
-            kept[i] = place[column[told]], (count[told] * ratio[column[told]]).astype(np.float32)
-        ends = np.cumsum([0, *(len(column) for column, _ in kept)])
-        columns, x = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.float32)
-        for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-            columns[a:b], x[a:b] = kept[i]
-            kept[i] = None
-        told = np.diff(ends)
+        used, columns = np.unique(columns, return_inverse=True)
+        ends = starts_of(told)
         w, t = np.zeros(len(used)), np.sort(np.log(np.cumsum(np.bincount(grade, minlength=k))[:-1] + 1) - np.log(np.cumsum(np.bincount(grade, minlength=k)[::-1])[::-1][1:] + 1))
         w2, t2 = np.full(len(used), 1e-8), np.full(k - 1, 1e-8)
-        for _ in range(ROUNDS):  # gradient steps, scaled by the root of each parameter's squared gradients
-            s = np.where(told > 0, np.add.reduceat(np.append(x * w[columns], 0.0), ends[:-1]), 0.0)
-            upper = np.where(grade < k - 1, sigmoid(np.append(t, 0)[grade] - s), 1.0)
-            lower = np.where(grade > 0, sigmoid(np.append(0, t)[grade] - s), 0.0)
-            p = np.maximum(upper - lower, 1e-9)
-            up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
-            to_w = np.bincount(columns, x * np.repeat(up - low, told), minlength=len(used)) / len(grade) + 1e-5 * w
-            to_t = (np.bincount(grade, low, minlength=k)[1:] - np.bincount(grade, up, minlength=k)[:-1]) / len(grade)
+        for _ in range(rounds or ROUNDS):  # gradient steps, scaled by the root of each parameter's squared gradients
+            to_w, to_t = gradient(grade, told, ends, columns, x, w, t)
             w2, t2 = w2 + to_w**2, t2 + to_t**2
             w, t = w - 0.5 * to_w / np.sqrt(w2), np.sort(t - 0.1 * to_t / np.sqrt(t2))
-        self.weights[used], self.thresholds = w * ratio[used], t
+        self.weights[used], self.thresholds = w, t
         return self
 
     def rate(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,28 +135,85 @@ class Model:
         return above.sum(axis=1), above[:, -1]
 
 
+def chances(grade: np.ndarray, quality: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade or lower) and P(lower) of each document."""
+    k = len(t) + 1
+    upper = np.where(grade < k - 1, sigmoid(np.append(t, 0)[grade] - quality), 1.0)
+    lower = np.where(grade > 0, sigmoid(np.append(0, t)[grade] - quality), 0.0)
+    return upper, lower
+
+
+def gradient(grade: np.ndarray, told: np.ndarray, ends: np.ndarray, columns: np.ndarray, x: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood, and of RIDGE / 2 times the squared weights."""
+    quality = np.where(told > 0, np.add.reduceat(np.append(x * w[columns], 0.0), ends[:-1]), 0.0)
+    upper, lower = chances(grade, quality, t)
+    p = np.maximum(upper - lower, 1e-9)
+    up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
+    to_w = np.bincount(columns, x * np.repeat(up - low, told), minlength=len(w)) / len(grade) + RIDGE * w
+    k = len(t) + 1
+    to_t = (np.bincount(grade, low, minlength=k)[1:] - np.bincount(grade, up, minlength=k)[:-1]) / len(grade)
+    return to_w, to_t
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rated documents, chosen by the hash of their id; of these, very long and null texts are left out.
+    """Fit on at most ``sample`` rated documents, chosen by the hash of their id; of these, null texts are left out.
 
     ``ratings`` has (id, grade), grades from 0 on; null ids and grades are left out, and of several grades for one id the lowest
-    counts. Of documents with equal ids any one with the lowest hash is taken.
+    counts. Of documents with equal ids the text with the lowest hash is taken. Texts of any length become features where they
+    lie. The numbers of documents with a feature are added up in Spark, features that say nothing are dropped, and one
+    task fits the rest: ``sample`` documents with, each, at most the features that say something. Only weights
+    come to the driver.
     """
     rated = ratings.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = rated.join(named.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(sample)  # ids alone are shuffled
-    texts = named.where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "id")  # ``sample`` ids and grades at most
-    some = texts.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample).select("grade", words_of(F.col("text")).alias("words")).toArrow()
-    if not some.num_rows:
+    texts = named.where("text is not null").join(F.broadcast(chosen), "id")  # ``sample`` ids and grades at most
+    once = texts.groupBy("id").agg(F.first("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    some = once.select(F.xxhash64("id").alias("place"), "grade", words_of(F.col("text")).alias("words"))
+
+    def featurise(parts):
+        for whole in parts:
+            for part in parcels(whole, "words", PARCEL):
+                found = list(document_features(part.column("words")))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("place"), part.column("grade"), pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))],
+                    ["place", "grade", "columns", "counts"],
+                )
+
+    features = stage(some.mapInArrow(featurise, "place bigint, grade int, columns array<int>, counts array<float>"), "features")
+    n = dict(features.groupBy("grade").count().collect())
+    if len(n) < 2:
         return Model(grades)
-    grade, words = some.column("grade").to_numpy(), some.column("words").combine_chunks()
-    del some
-    model = Model(grades).fit(words, grade)
-    del words
-    pa.default_memory_pool().release_unused()  # the driver's memory is needed by what follows
+    good = (F.col("grade") == grades - 1).cast("int")
+    met = features.select(F.explode("columns").alias("column"), good.alias("good")).groupBy("column").agg(F.sum("good").alias("good"), F.count("*").alias("all")).toArrow()  # WIDTH rows at most
+    counts = np.zeros((2, WIDTH), np.int64)
+    counts[:, met.column("column").to_numpy()] = met.column("good").to_numpy(), met.column("all").to_numpy()
+    n_good = n.get(grades - 1, 0)
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(counts[0], counts[1] - counts[0], n_good, sum(n.values()) - n_good))
+
+    def solve(parts):
+        rows = []
+        for part in parts:
+            for place, grade, columns, values in zip(part.column("place").to_pylist(), part.column("grade").to_pylist(), part.column("columns"), part.column("counts"), strict=True):
+                columns, values = columns.values.to_numpy(zero_copy_only=False), values.values.to_numpy(zero_copy_only=False)
+                told = ratio.value[columns] != 0
+                rows.append((place, grade, columns[told], values[told] * ratio.value[columns[told]].astype(np.float32)))
+        rows.sort(key=lambda r: r[0])  # so that sums do not depend on where rows lay
+        if rows:
+            grade, told = np.array([r[1] for r in rows]), np.array([len(r[2]) for r in rows])
+            columns, x = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
+            del rows
+            model = Model(grades).fit(grade, told, columns, x)
+            used = np.flatnonzero(model.weights)
+            yield pa.RecordBatch.from_arrays([pa.array([used], pa.list_(pa.int64())), pa.array([model.weights[used] * ratio.value[used]], pa.list_(pa.float64())), pa.array([model.thresholds], pa.list_(pa.float64()))], ["used", "weights", "thresholds"])
+
+    fitted = features.coalesce(1).mapInArrow(solve, "used array<bigint>, weights array<double>, thresholds array<double>").first()
+    model = Model(grades)
+    model.weights[fitted.used], model.thresholds = fitted.weights, np.array(fitted.thresholds)
     return model
 
 
@@ -190,9 +236,10 @@ def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, whole, that ``rate`` keeps."""
+    """The rows of ``docs``, whole, that ``rate`` keeps. Columns may have any names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     packed = docs.select(F.struct("*").alias("row"), words_of(F.col(text_col)).alias("words"))
+    kind = StructType([packed.schema["row"]])
 
     def batches(parts):
         for whole in parts:
@@ -201,7 +248,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
                 row = part.column("row")
                 yield pa.RecordBatch.from_arrays([row.filter(pa.array(tail >= least))], ["row"])
 
-    return packed.mapInArrow(batches, f"row {packed.schema['row'].dataType.simpleString()}").select("row.*")
+    return packed.mapInArrow(batches, kind).select("row.*")
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
