@@ -159,7 +159,7 @@ def _bfs_by_level(nodes: DataFrame, edges: DataFrame, start: int, order: str) ->
         met = step.groupBy(GRAPH, F.col("dst").alias("node_id")).agg(F.min(F.struct("_rank", "_o")).alias("_by"))
         new = met.join(seen, [GRAPH, "node_id"], "left_anti")
         new = new.select(GRAPH, "node_id", F.col("_by._rank").alias("_parent"), F.col("_by._o").alias("_o"))
-        ranked = global_rank(cut(new), [GRAPH, "_parent", "_o", "node_id"], "_rank").select(GRAPH, "node_id", "_rank")
+        ranked = global_rank(new, [GRAPH, "_parent", "_o", "node_id"], "_rank").select(GRAPH, "node_id", "_rank")
         levels.append(cut(ranked.withColumn("_level", F.lit(level))))
         seen = seen.unionByName(levels[-1].select(GRAPH, "node_id"))
     visited = levels[0]

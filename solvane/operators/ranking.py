@@ -2,14 +2,18 @@
 
 Most uses of a rank only ask on which side of a few cut-offs a row lies
 (exact-size splits, folds, slices, quantile edges).  For those
-:func:`keys_at_ranks` finds the exact keys at the cut-off ranks from counts per
-value range, reading only the key columns, and the rows are then labelled by
-comparing with literals: no shuffle of the rows themselves.
-:func:`global_rank` numbers every row where a number per row is the result.
+:func:`keys_at_ranks` finds the exact keys at the cut-off ranks: a sample of
+the keys gives splitters around each rank, the rows before every splitter are
+counted exactly, and only the rows between the nearest splitters go on.  The
+keys may be of any type that can be ordered, with infinite and equal values,
+and the rows are then labelled by comparing with literals: no shuffle of the
+rows themselves.  :func:`global_rank` numbers every row where a number per row
+is the result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,111 +22,131 @@ from pyspark.sql import functions as F
 from solvane.functions.hashing import as_column
 from solvane.storage import cut
 
-# Up to this many narrow key rows are ordered inside a single task.
-SORT_ROWS = 200_000
-# Number of value ranges counted in one pass.
-RANGES = 4096
+# Key rows between two splitters that are few enough to be put in order.
+FEW = 20_000
+# Keys that a round samples.
+SAMPLE = 10_000
 
 
-def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], rows: int | None = None, bounds: tuple | None = None) -> dict[int, tuple]:
+def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], rows: int | None = None) -> dict[int, tuple]:
     """Exact key tuples at the given 0-based ranks of ``df`` ordered by ``keys``.
 
-    The first key must be numeric and no key may be null.  Ranks at or beyond
-    the row count are left out of the answer.  ``rows`` and ``bounds`` (values
-    that enclose the first key) save a pass where the caller knows them.
+    No key may be null.  Ranks at or beyond the row count are left out of the
+    answer.  ``rows`` saves a count where the caller knows it.
     """
-    return _keys_at_ranks(df.select(*keys), list(keys), sorted(set(ranks)), rows, bounds)
-
-
-def _ordered_in_task(df: DataFrame, keys: list[str], ranks: list[int]) -> dict[int, tuple]:
-    numbered = df.withColumn("_rank", F.row_number().over(Window.orderBy(*keys)) - 1)
-    return {row["_rank"]: tuple(row[k] for k in keys) for row in numbered.filter(F.col("_rank").isin(ranks)).collect()}
-
-
-def _keys_at_ranks(df: DataFrame, keys: list[str], ranks: list[int], rows: int | None, bounds: tuple | None) -> dict[int, tuple]:
-    key = keys[0]
-    if not ranks:
-        return {}
-    if rows is None or (rows > SORT_ROWS and bounds is None):
-        low, high, rows = df.agg(F.min(key), F.max(key), F.count("*")).first()
-        bounds = (low, high)
-    ranks = [r for r in ranks if 0 <= r < rows]
-    if not ranks:
-        return {}
-    if rows <= SORT_ROWS:
-        return _ordered_in_task(df, keys, ranks)
-    low, high = bounds
-    if low == high:
-        return _within_ties(df, keys, low, ranks, rows)
-
-    share = (F.col(key).cast("double") - float(low)) / (float(high) - float(low))
-    ranged = df.withColumn("_range", F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).cast("int"))
-    histogram = ranged.groupBy("_range").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
-    small, found, before = [], {}, 0
-    for row in histogram.orderBy("_range").collect():
-        inside = [r for r in ranks if before <= r < before + row["n"]]
-        if inside and row["n"] <= SORT_ROWS:
-            small.append((row["_range"], before, inside))
-        elif inside:
-            part = df.filter(F.col(key).between(row["lo"], row["hi"]))
-            local = _keys_at_ranks(part, keys, [r - before for r in inside], row["n"], (row["lo"], row["hi"]))
-            found.update({r + before: value for r, value in local.items()})
-        before += row["n"]
-    if small:
-        found.update(_within_ranges(ranged, keys, small))
+    keys = list(keys)
+    df = df.select(*keys)
+    if rows is None and ranks:
+        rows = df.count()
+    open_ranks = sorted({r for r in ranks if 0 <= r < rows})
+    found, splitters, turn = {}, [], 0
+    while open_ranks:
+        gaps = _gaps(open_ranks, splitters, rows)
+        wide = {gap: inside for gap, inside in gaps.items() if gap[3] - gap[2] > FEW}
+        if not wide:
+            found.update(_in_order(df, keys, gaps))
+            break
+        chosen = _splitters(df, keys, wide, turn)
+        splitters = sorted([*splitters, *_counted(df, keys, chosen)], key=lambda s: (s[0], s[1]))
+        for rank in list(open_ranks):
+            exact = next((key for before, upto, key in splitters if before <= rank < upto), None)
+            if exact is not None:
+                found[rank] = exact
+                open_ranks.remove(rank)
+        turn += 1
     return found
 
 
-def _within_ties(df: DataFrame, keys: list[str], value, ranks: list[int], rows: int) -> dict[int, tuple]:
-    """All rows share the first key; the others decide."""
-    if len(keys) == 1:
-        return {r: (value,) for r in ranks}
-    rest = _keys_at_ranks(df.select(*keys[1:]), keys[1:], ranks, rows, None)
-    return {r: (value, *tail) for r, tail in rest.items()}
-
+def _gaps(ranks: Sequence[int], splitters: Sequence[tuple], rows: int) -> dict[tuple, list[int]]:
+    """Ranks by the gap (key below, key above, first rank, rank after the last) between the splitters that enclose them.
 
-def _within_ranges(ranged: DataFrame, keys: list[str], wanted: list[tuple]) -> dict[int, tuple]:
-    """Order the rows of a few value ranges, each inside a task, and pick the wanted positions."""
-    order = Window.partitionBy("_range").orderBy(*keys)
-    rows = ranged.filter(F.col("_range").isin([number for number, _, _ in wanted]))
-    hits = F.lit(False)
-    for number, offset, inside in wanted:
-        hits = hits | ((F.col("_range") == number) & F.col("_rank").isin([r - offset for r in inside]))
-    offsets = {number: offset for number, offset, _ in wanted}
-    picked = rows.withColumn("_rank", F.row_number().over(order) - 1).filter(hits).collect()
-    return {row["_rank"] + offsets[row["_range"]]: tuple(row[k] for k in keys) for row in picked}
+    A splitter is (rows before its key, rows up to its key, key).
+    """
+    gaps = {}
+    for rank in ranks:
+        below = max((s for s in splitters if s[1] <= rank), default=(0, 0, None), key=lambda s: s[1])
+        above = min((s for s in splitters if s[0] > rank), default=(rows, rows, None), key=lambda s: s[0])
+        gaps.setdefault((below[2], above[2], below[1], above[0]), []).append(rank)
+    return gaps
+
+
+def _inside(keys: Sequence[str], gap: tuple) -> Column:
+    """True for the keys strictly between those of the gap."""
+    after = F.lit(True) if gap[0] is None else ~upto_key(keys, gap[0])
+    return after & before_key(keys, gap[1])
+
+
+def _number(keys: Sequence[str], gaps: Sequence[tuple]) -> Column:
+    number = F.lit(None).cast("int")
+    for i, gap in enumerate(gaps):
+        number = F.when(_inside(keys, gap), F.lit(i)).otherwise(number)
+    return number
+
+
+def _splitters(df: DataFrame, keys: list[str], gaps: dict[tuple, list[int]], turn: int) -> set[tuple]:
+    """Keys just before and just behind where the wanted ranks should lie, by a sample of each gap's rows."""
+    rows = sum(gap[3] - gap[2] for gap in gaps)
+    numbered = df.withColumn("_gap", _number(keys, list(gaps))).filter("_gap is not null")
+    sample = numbered.sample(min(1.0, SAMPLE / rows), seed=turn).orderBy("_gap", *keys).collect()
+    chosen = set()
+    for i, (gap, ranks) in enumerate(gaps.items()):
+        own = [tuple(row[k] for k in keys) for row in sample if row["_gap"] == i]
+        for rank in ranks if own else []:
+            share = (rank - gap[2] + 0.5) / (gap[3] - gap[2])
+            reach = 2 + 4 * math.sqrt(len(own) * share * (1 - share))
+            for place in (share * len(own) - reach, share * len(own), share * len(own) + reach):
+                chosen.add(own[min(max(int(place), 0), len(own) - 1)])
+    return chosen
+
+
+def _counted(df: DataFrame, keys: list[str], chosen: set[tuple]) -> list[tuple]:
+    """(rows before, rows up to, key) for each key, in one pass over the key columns."""
+    chosen = list(chosen)
+    if not chosen:
+        return []
+    counts = [F.count_if(condition(keys, key)) for key in chosen for condition in (before_key, upto_key)]
+    row = df.agg(*(c.alias(f"_{i}") for i, c in enumerate(counts))).first()
+    return [(row[2 * i], row[2 * i + 1], key) for i, key in enumerate(chosen)]
+
+
+def _in_order(df: DataFrame, keys: list[str], gaps: dict[tuple, list[int]]) -> dict[int, tuple]:
+    """The keys at the wanted ranks of gaps of few rows, each put in order in a task."""
+    wanted = F.lit(False)
+    for i, (gap, ranks) in enumerate(gaps.items()):
+        wanted = wanted | ((F.col("_gap") == i) & F.col("_rank").isin([r - gap[2] for r in ranks]))
+    numbered = df.withColumn("_gap", _number(keys, list(gaps))).filter("_gap is not null")
+    ranked = numbered.withColumn("_rank", F.row_number().over(Window.partitionBy("_gap").orderBy(*keys)) - 1)
+    starts = [gap[2] for gap in gaps]
+    return {row["_rank"] + starts[row["_gap"]]: tuple(row[k] for k in keys) for row in ranked.filter(wanted).collect()}
 
 
 def before_key(keys: Sequence[str | Column], cutoff: tuple | None) -> Column:
     """True where ``keys`` sort strictly before ``cutoff``; without a cut-off always true."""
-    if cutoff is None:
-        return F.lit(True)
-    condition = F.lit(False)
+    return F.lit(True) if cutoff is None else _compared(keys, cutoff, F.lit(False))
+
+
+def upto_key(keys: Sequence[str | Column], cutoff: tuple) -> Column:
+    """True where ``keys`` sort before ``cutoff`` or equal it."""
+    return _compared(keys, cutoff, F.lit(True))
+
+
+def _compared(keys: Sequence[str | Column], cutoff: tuple, if_equal: Column) -> Column:
+    condition = if_equal
     for key, value in reversed(list(zip(keys, cutoff))):
         column = as_column(key)
         condition = (column < F.lit(value)) | ((column == F.lit(value)) & condition)
     return condition
 
 
-def global_rank(df: DataFrame, keys: Sequence[str], name: str = "rank", rows: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
     """Add the 0-based rank of each row in the order of ``keys`` as a bigint.
 
-    Large inputs are range-sorted over the cluster and written once; the rank
-    is then the rows in earlier partitions plus the position in this one.
+    The table is range-sorted over the cluster and written once; the rank is
+    then the rows in earlier partitions plus the position in this one.
     ``keys`` should be unique, so that no range holds more than its share.
     """
-    if rows is None:
-        rows = df.count()
-    if rows <= SORT_ROWS:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("bigint"))
-    return _rank_by_partition(df, keys, name)
-
-
-def _rank_by_partition(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    ordered = cut(df.orderBy(*keys))
-    ordered = ordered.withColumn("_at", F.monotonically_increasing_id())
-    partition = F.shiftrightunsigned("_at", 33)
-    ordered = ordered.withColumn("_part", partition)
+    ordered = cut(df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_part", F.shiftrightunsigned("_at", 33))
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition of the sort, so this side is small whatever the data size.
@@ -132,8 +156,8 @@ def _rank_by_partition(df: DataFrame, keys: Sequence[str], name: str) -> DataFra
     return ranked.withColumn(name, F.col("_offset") + position).drop("_at", "_part", "_offset")
 
 
-def series_position(df: DataFrame, group: str, order: Sequence[str], name: str = "position", rows: int | None = None) -> DataFrame:
+def series_position(df: DataFrame, group: str, order: Sequence[str], name: str = "position") -> DataFrame:
     """0-based position inside each group; a group may be larger than a task can hold."""
-    ranked = global_rank(df, [group, *order], "_rank", rows)
+    ranked = global_rank(df, [group, *order], "_rank")
     starts = ranked.groupBy(group).agg(F.min("_rank").alias("_start"))
     return ranked.join(starts, group).withColumn(name, F.col("_rank") - F.col("_start")).drop("_rank", "_start")

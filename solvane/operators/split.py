@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from solvane.functions.hashing import HASH_RANGE, as_column, hash32
 from solvane.operators.binning import equal_width_bin
-from solvane.operators.ranking import SORT_ROWS, before_key, global_rank, keys_at_ranks
+from solvane.operators.ranking import before_key, global_rank, keys_at_ranks
 from solvane.storage import broadcast_if_small, cut
 
+# Rows wanted in a hash range of a stratum that is put in order.
+RANGE_ROWS = 50_000
+
 
 def _shuffled(df: DataFrame, id_col: str, seed: int | None) -> tuple[DataFrame, list[str], list[Column]]:
     """Key table, its key names, and the same keys as expressions over ``df``."""
@@ -34,7 +37,7 @@ def label_by_rank(df: DataFrame, id_col: str, sizes: Sequence[int], labels: Sequ
     for size in sizes:
         total += size
         bounds.append(total)
-    cutoffs = keys_at_ranks(keys, names, bounds, rows, None if seed is None else (0, HASH_RANGE - 1))
+    cutoffs = keys_at_ranks(keys, names, bounds, rows)
     label = F.lit(labels[len(sizes)]) if len(labels) > len(sizes) else F.lit(None)
     for bound, value in reversed(list(zip(bounds, labels))):
         label = F.when(before_key(expressions, cutoffs.get(bound)), F.lit(value)).otherwise(label)
@@ -161,17 +164,15 @@ def _stratum_cutoffs(keyed: DataFrame, id_col: str, quotas: DataFrame, rows: int
     A large stratum is counted per hash range first; only the ranges that hold
     a cut-off are ordered, so no stratum is ever sorted whole.
     """
-    ranges = max(1, math.ceil(4 * largest / SORT_ROWS))
+    ranges = math.ceil(largest / RANGE_ROWS) + 1
     ranged = keyed.withColumn("_range", F.floor(F.col("_hash") * ranges / HASH_RANGE).cast("int"))
-    wanted = quotas.select("stratum", "draw", F.lit(0).alias("_range"), F.col("upto").alias("_row"))
-    if ranges > 1:
-        histogram = ranged.groupBy("stratum", "_range").agg(F.count("*").alias("_n"))
-        upto = Window.partitionBy("stratum").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-        running = histogram.withColumn("_upto", F.sum("_n").over(upto)).join(broadcast_if_small(quotas, rows), "stratum")
-        before = F.col("_upto") - F.col("_n")
-        holding = running.filter((F.col("_upto") >= F.col("upto")) & (before < F.col("upto")))
-        wanted = cut(holding.select("stratum", "draw", "_range", (F.col("upto") - before).alias("_row")))
-        ranged = ranged.join(broadcast_if_small(wanted.select("stratum", "_range").distinct(), rows), ["stratum", "_range"], "left_semi")
+    histogram = ranged.groupBy("stratum", "_range").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("stratum").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    running = histogram.withColumn("_upto", F.sum("_n").over(upto)).join(broadcast_if_small(quotas, rows), "stratum")
+    before = F.col("_upto") - F.col("_n")
+    holding = running.filter((F.col("_upto") >= F.col("upto")) & (before < F.col("upto")))
+    wanted = cut(holding.select("stratum", "draw", "_range", (F.col("upto") - before).alias("_row")))
+    ranged = ranged.join(broadcast_if_small(wanted.select("stratum", "_range").distinct(), rows), ["stratum", "_range"], "left_semi")
     order = Window.partitionBy("stratum", "_range").orderBy("_hash", id_col)
     ordered = ranged.withColumn("_row", F.row_number().over(order).cast("bigint"))
     last = ordered.join(broadcast_if_small(wanted, rows), ["stratum", "_range", "_row"])

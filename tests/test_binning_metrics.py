@@ -17,7 +17,8 @@ def test_equal_width_edges(spark):
 
 
 def test_quantile_edges_are_lower_interpolated(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SORT_ROWS", 30)
+    monkeypatch.setattr(ranking, "FEW", 30)
+    monkeypatch.setattr(ranking, "SAMPLE", 100)
     draw = random.Random(1)
     values = [round(draw.expovariate(0.1) + 0.01, 4) for _ in range(977)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")

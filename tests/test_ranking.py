@@ -1,3 +1,6 @@
+import datetime
+import decimal
+import math
 import random
 
 import pytest
@@ -8,8 +11,8 @@ from solvane.operators import clean, ranking
 
 @pytest.fixture
 def small_tasks(monkeypatch):
-    monkeypatch.setattr(ranking, "SORT_ROWS", 20)
-    monkeypatch.setattr(ranking, "RANGES", 8)
+    monkeypatch.setattr(ranking, "FEW", 20)
+    monkeypatch.setattr(ranking, "SAMPLE", 60)
 
 
 def skewed(spark, n=600):
@@ -31,7 +34,7 @@ def test_keys_at_ranks_with_hot_value(spark, small_tasks):
 def test_keys_at_ranks_of_values_alone(spark, small_tasks):
     rows, df = skewed(spark)
     expected = sorted(v for _, v in rows)
-    found = ranking.keys_at_ranks(df, ["v"], [0, 100, 250, 599], rows=600, bounds=(0, 10_000))
+    found = ranking.keys_at_ranks(df, ["v"], [0, 100, 250, 599], rows=600)
     assert found == {r: (expected[r],) for r in (0, 100, 250, 599)}
 
 
@@ -75,3 +78,38 @@ def test_nan_does_not_pass_a_threshold(spark):
     assert [r["id"] for r in clean.drop_incomplete(df, ["pce"]).collect()] == [1, 4]
     thinned = clean.thin_out_below(df, "id", "pce", 1.0, 1.0).agg(F.collect_list("id")).first()[0]
     assert thinned == [1]
+
+
+KINDS = {
+    "string": [f"{'k' * (i % 7)}{i % 90:02d}é" for i in range(500)],
+    "date": [datetime.date(2000, 1, 1) + datetime.timedelta(days=(i * 37) % 211) for i in range(500)],
+    "timestamp": [datetime.datetime(2000, 1, 1) + datetime.timedelta(microseconds=(i * 7919) % 4001) for i in range(500)],
+    "decimal(38,10)": [decimal.Decimal((i * 7919) % 1009) + decimal.Decimal("1E-10") * i + decimal.Decimal(10) ** 27 for i in range(500)],
+    "double": [math.inf, -math.inf, 1e308, -1e308, 5e-324, 0.0, *(10.0 ** (i % 300 - 150) for i in range(494))],
+    "bigint": [(1 << 62) + (i * 7919) % 503 for i in range(498)] + [-(1 << 63), (1 << 63) - 1],
+    "boolean": [i % 3 == 0 for i in range(500)],
+}
+
+
+@pytest.mark.parametrize("few", [20, 20_000])
+@pytest.mark.parametrize("kind", KINDS)
+def test_keys_of_any_type_at_every_size(spark, monkeypatch, kind, few):
+    monkeypatch.setattr(ranking, "FEW", few)
+    monkeypatch.setattr(ranking, "SAMPLE", 50)
+    values = KINDS[kind]
+    df = spark.createDataFrame(list(enumerate(values)), f"id int, v {kind}").repartition(4)
+    wanted = [0, 1, 99, 250, 251, 498, 499]
+    expected = sorted((v, i) for i, v in enumerate(values))
+    assert ranking.keys_at_ranks(df, ["v", "id"], wanted) == {r: expected[r] for r in wanted}
+    assert ranking.keys_at_ranks(df, ["v"], wanted) == {r: expected[r][:1] for r in wanted}
+    assert clean.rows_between(df, ["v", "id"], 10, 30).count() == 20
+
+
+def test_one_value_only(spark, small_tasks):
+    df = spark.createDataFrame([(math.inf,)] * 400, "v double")
+    assert ranking.keys_at_ranks(df, ["v"], [0, 399, 400]) == {0: (math.inf,), 399: (math.inf,)}
+
+
+def test_no_rows_and_no_ranks(spark):
+    assert ranking.keys_at_ranks(spark.createDataFrame([], "v int"), ["v"], [0]) == {}
+    assert ranking.keys_at_ranks(spark.range(3), ["id"], []) == {}

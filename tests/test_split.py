@@ -14,9 +14,9 @@ def hashed(seed, i):
 
 @pytest.fixture
 def small_tasks(monkeypatch):
-    monkeypatch.setattr(ranking, "SORT_ROWS", 50)
-    monkeypatch.setattr(ranking, "RANGES", 16)
-    monkeypatch.setattr(split, "SORT_ROWS", 50)
+    monkeypatch.setattr(ranking, "FEW", 50)
+    monkeypatch.setattr(ranking, "SAMPLE", 100)
+    monkeypatch.setattr(split, "RANGE_ROWS", 50)
 
 
 def numbers(spark, n, parts=4):

@@ -139,3 +139,22 @@ def test_rows_with_null_text_are_featurised_and_kept(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "id int, t string")
     out = featurise_distinct(rows, "t", lambda x: x.selectExpr("t", "length(t) as n"), ["n"])
     assert sorted(map(tuple, out.select("id", "t", "n").collect())) == [(1, "a", 1), (2, None, None), (3, "a", 1)]
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 200, 0])
+def test_long_rows_and_vocabularies_beyond_the_limit(spark, limit):
+    """Entries within the limit are sent, the others joined: the same ids either way."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, [draw.choice(words) if draw.random() < 0.6 else "hot" for _ in range(draw.randint(0, 60))]) for i in range(120)]
+    rows += [(5, rows[5][1]), (None, ["hot", None, "w3"]), (900, None), (901, []), (902, [f"w{i % 900}" for i in range(20_000)])]
+    table = [(w, i) for i, w in enumerate(words[:700])] + [("hot", 5000), ("w3", 9999), (None, 1)]
+    known = dict(table[:701])
+    df = spark.createDataFrame(rows, "id int, words array<string>").repartition(3)
+    found = vocab.encode_sequences(df, "id", "words", spark.createDataFrame(table, "token string, idx int"), limit=limit).collect()
+    expected = [(i, None if t is None else [known.get(w, -1) for w in t]) for i, t in rows]
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+    nothing = vocab.encode_sequences(df.limit(0), "id", "words", spark.createDataFrame(table, "token string, idx int"), limit=limit)
+    assert nothing.columns == ["id", "ids"] and nothing.count() == 0
+    with pytest.raises(Exception, match="unknown token: w"):
+        vocab.encode_sequences(df, "id", "words", spark.createDataFrame(table, "token string, idx int"), strict=True, limit=limit).collect()
