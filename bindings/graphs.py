@@ -196,6 +196,70 @@ def g7_columns(spark, folder):
     return with_fingerprints(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", nodes, edges, 32, 1)
 
 
+def hashed_sql(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::bigint"
+
+
+def hash_rounds_sql(radius: int, name: str = "h", marks: str | None = None) -> str:
+    """Rounds ``name``0 to ``name``radius of hashed labels; neighbourhoods are sums within 60 bits."""
+    parts = [f"{name}0 as materialized (select graph_id, node_id, {hashed_sql('label')} as label from nodes)"]
+    for r in range(1, radius + 1):
+        old, bonds = f"{name}{r - 1}", "edges" if r == 1 else f"{name}e{r - 1}"
+        mark = f" || coalesce((select any_value(mark) from {marks} m where m.graph_id = n.graph_id and m.node_id = n.node_id), '')" if marks and r == 1 else ""
+        new = "n.label::varchar || '(' || coalesce(s.total, 0)::varchar || ')'" + mark
+        ends = "least(a.label, b.label)::varchar || '~' || greatest(a.label, b.label)::varchar || '/' || e.bond"
+        parts.append(
+            f"""{name}s{r} as materialized (select e.graph_id, e.src, (sum({hashed_sql("o.label::varchar || '/' || e.bond")})::hugeint % 1152921504606846976)::bigint as total
+  from {bonds} e join {old} o on o.graph_id = e.graph_id and o.node_id = e.dst group by 1, 2),
+{name}{r} as materialized (select n.graph_id, n.node_id, {hashed_sql(new)} as label from {old} n left join {name}s{r} s on s.graph_id = n.graph_id and s.src = n.node_id),
+{name}e{r} as materialized (select e.graph_id, e.src, e.dst, {hashed_sql(ends)}::varchar as bond
+  from {bonds} e join {old} a on a.graph_id = e.graph_id and a.node_id = e.src join {old} b on b.graph_id = e.graph_id and b.node_id = e.dst)"""
+        )
+    return ", ".join(parts)
+
+
+def hashed_bits_sql(n_bits: int, rounds: list[str]) -> str:
+    every = " union ".join(f"select graph_id, (label % {n_bits})::int as bit from {r}" for r in rounds)
+    return f"bits as ({every}) select graph_id, string_agg(bit::varchar, ',' order by bit) as bits from bits group by graph_id"
+
+
+def _bits(found):
+    return found.select("graph_id", F.array_join(F.col("bits").cast("array<string>"), ",").alias("bits"))
+
+
+@query("g3_hashed_fragments_radius_3", f"with {GRAPHS}, {hash_rounds_sql(3)} select graph_id, node_id, label from h3")
+def g3_hashed(spark, folder):
+    return graph.fragment_hashes(*nodes_and_edges(spark, folder), 3)[3]
+
+
+@query("g7_fingerprints_radius_2", f"with {GRAPHS}, {hash_rounds_sql(2)}, {hashed_bits_sql(2048, ['h0', 'h1', 'h2'])}")
+def g7_two(spark, folder):
+    return _bits(fingerprint.fingerprints(*nodes_and_edges(spark, folder), n_bits=2048, radius=2, hashed=True))
+
+
+@query("g7_fingerprints_radius_3", f"with {GRAPHS}, {hash_rounds_sql(3)}, {hashed_bits_sql(2048, ['h0', 'h1', 'h2', 'h3'])}")
+def g7_three(spark, folder):
+    return _bits(fingerprint.fingerprints(*nodes_and_edges(spark, folder), n_bits=2048, radius=3, hashed=True))
+
+
+CHIRAL = f"""{hash_rounds_sql(2)},
+sides as materialized (
+  select e.graph_id, e.src, e.dst, o.label from edges e join h2 o on o.graph_id = e.graph_id and o.node_id = e.dst where e.src % 3 <> 0),
+centres as materialized (select graph_id, src from sides group by 1, 2 having count(*) in (3, 4) and count(distinct label) = count(*)),
+turned as materialized (
+  select c.graph_id, c.src, count(b.dst) as n from centres c join sides a using (graph_id, src)
+  left join sides b on b.graph_id = a.graph_id and b.src = a.src and b.dst > a.dst and b.label < a.label group by 1, 2),
+marks as materialized (select graph_id, src as node_id, case when (src % 3 = 1) = (n % 2 = 0) then '+' else '-' end as mark from turned)"""
+
+
+@query("g7_fingerprints_with_chirality", f"with {GRAPHS}, {CHIRAL}, {hash_rounds_sql(2, 'c', 'marks')}, {hashed_bits_sql(2048, ['c0', 'c1', 'c2'])}")
+def g7_chiral(spark, folder):
+    """Every third node is left-handed, every third right-handed."""
+    nodes, edges = nodes_and_edges(spark, folder)
+    hand = F.when(F.col("node_id") % 3 == 1, 1).when(F.col("node_id") % 3 == 2, -1).otherwise(0)
+    return _bits(fingerprint.fingerprints(nodes.withColumn("chirality", hand), edges, n_bits=2048, radius=2, use_chirality=True))
+
+
 def _spread(features):
     return rounded(features.select(*[c for c in features.columns if c != "h"], F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvane.functions.arrays import bit_columns
-from solvane.operators.graph import GRAPH, fragments
+from solvane.operators.graph import GRAPH, chiral_marks, fragment_hashes, fragments
 
 
 def fold_label(label: Column, n_bits: int) -> Column:
@@ -14,22 +14,34 @@ def fold_label(label: Column, n_bits: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(label), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits)).cast("int")
 
 
-def fingerprint_bits(nodes: DataFrame, edges: DataFrame, n_bits: int, radius: int, use_bond_types: bool = True) -> DataFrame:
-    """Distinct (graph_id, bit) rows."""
+def fingerprint_bits(nodes: DataFrame, edges: DataFrame, n_bits: int, radius: int, use_bond_types: bool = True, use_chirality: bool = False, hashed: bool = False) -> DataFrame:
+    """Distinct (graph_id, bit) rows.
+
+    ``hashed`` labels carry the neighbourhoods as sums of hashes, which suits any
+    radius and degree; otherwise labels spell them.  With ``use_chirality``, which
+    hashes, nodes have a column ``chirality`` (1, -1, or 0 for none), and mirrored
+    centres set other bits from radius 1 on.
+    """
     if not use_bond_types:
         edges = edges.withColumn("bond", F.lit(""))
-    bits = None
-    for labels in fragments(nodes, edges, radius):
-        found = labels.select(GRAPH, fold_label(F.col("label"), n_bits).alias("bit"))
-        bits = found if bits is None else bits.unionByName(found)
+    if hashed or use_chirality:
+        rounds = fragment_hashes(nodes, edges, radius)
+        if use_chirality and radius:
+            rounds = fragment_hashes(nodes, edges, radius, chiral_marks(nodes, edges, rounds[-1]))
+        found = [labels.select(GRAPH, F.pmod("label", F.lit(n_bits)).cast("int").alias("bit")) for labels in rounds]
+    else:
+        found = [labels.select(GRAPH, fold_label(F.col("label"), n_bits).alias("bit")) for labels in fragments(nodes, edges, radius)]
+    bits = found[0]
+    for more in found[1:]:
+        bits = bits.unionByName(more)
     return bits.distinct()
 
 
-def fingerprints(nodes: DataFrame, edges: DataFrame, kind: str = "morgan", n_bits: int = 2048, radius: int = 2, use_bond_types: bool = True) -> DataFrame:
+def fingerprints(nodes: DataFrame, edges: DataFrame, kind: str = "morgan", n_bits: int = 2048, radius: int = 2, use_bond_types: bool = True, use_chirality: bool = False, hashed: bool = False) -> DataFrame:
     """(graph_id, bits): sorted set-bit positions, at most ``n_bits`` of them."""
     if kind != "morgan":
         raise ValueError(f"unknown fingerprint type {kind!r}")
-    bits = fingerprint_bits(nodes, edges, n_bits, radius, use_bond_types)
+    bits = fingerprint_bits(nodes, edges, n_bits, radius, use_bond_types, use_chirality, hashed)
     return bits.groupBy(GRAPH).agg(F.sort_array(F.collect_list("bit")).alias("bits"))
 
 

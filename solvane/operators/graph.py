@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from solvane.operators.ranking import global_rank
 from solvane.operators.vocab import encode_rows
-from solvane.storage import cut
+from solvane.storage import cut, stage
 
 GRAPH = "graph_id"
 # Graphs with up to this many edge rows are walked within one row; larger ones level by level.
 ROW_EDGES = 512
+# Bits of a hashed label; sums of them are taken within this many bits.
+HASH_BITS = 60
 
 
 def node_label(symbol: Column, aromatic: Column) -> Column:
@@ -82,7 +84,8 @@ def fragments(nodes: DataFrame, edges: DataFrame, radius: int, short: bool = Fal
 
     A label spells the neighbourhood; with ``short`` it is replaced by its md5
     after each round, which keeps later rounds narrow.  Edges are relabelled
-    between rounds.  A node without edges keeps an empty neighbourhood.
+    between rounds.  A node without edges keeps an empty neighbourhood.  What a
+    round hands to the next one is written, so that its plan does not grow.
     """
     rounds = [nodes.select(GRAPH, "node_id", F.col("label").cast("string").alias("label"))]
     for step in range(radius):
@@ -90,14 +93,77 @@ def fragments(nodes: DataFrame, edges: DataFrame, radius: int, short: bool = Fal
         labelled = relabel(current, edges)
         if short:
             labelled = labelled.withColumn("label", F.md5("label"))
-        rounds.append(labelled)
         if step + 1 < radius:
             edges = relabel_edges(current, edges)
             if short:
                 edges = edges.withColumn("bond", F.md5("bond"))
+            labelled, edges = stage(labelled, "labels"), stage(edges, "bonds")
+        rounds.append(labelled)
+    return rounds
+
+
+def hashed_label(text: Column) -> Column:
+    """60 bits of the text's md5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def _joined(*parts) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def fragment_hashes(nodes: DataFrame, edges: DataFrame, radius: int, marks: DataFrame | None = None) -> list[DataFrame]:
+    """Hashed node labels after rounds 0..radius, each as (graph_id, node_id, label).
+
+    A neighbourhood is the sum of its members' hashes, so that no neighbour list
+    is ever made: a node with any number of neighbours is pre-aggregated.  Edges
+    are relabelled between rounds, and what a round hands to the next one is
+    written.  ``marks`` (graph_id, node_id, mark) go into the labels of round 1.
+    """
+    current = nodes.select(GRAPH, "node_id", hashed_label(F.col("label").cast("string")).alias("label"))
+    edges = edges.select(GRAPH, "src", "dst", F.col("bond").cast("string").alias("bond"))
+    rounds, half = [current], F.lit(1 << HASH_BITS // 2).cast("bigint")
+    for step in range(radius):
+        other = current.select(GRAPH, F.col("node_id").alias("dst"), F.col("label").alias("_b"))
+        around = edges.join(other, [GRAPH, "dst"])
+        met = around.select(GRAPH, F.col("src").alias("node_id"), hashed_label(_joined(F.col("_b"), "/", F.col("bond"))).alias("_h"))
+        sums = met.groupBy(GRAPH, "node_id").agg(F.sum(F.floor(F.col("_h") / half)).alias("_high"), F.sum(F.col("_h") % half).alias("_low"))
+        total = ((F.col("_high") % half) * half + F.col("_low") % (half * half)) % (half * half)
+        labelled = current.join(sums.select(GRAPH, "node_id", total.alias("_s")), [GRAPH, "node_id"], "left")
+        text = _joined(F.col("label"), "(", F.coalesce("_s", F.lit(0)), ")")
+        if step == 0 and marks is not None:
+            labelled = labelled.join(marks, [GRAPH, "node_id"], "left")
+            text = F.concat(text, F.coalesce("mark", F.lit("")))
+        labelled = labelled.select(GRAPH, "node_id", hashed_label(text).alias("label"))
+        if step + 1 < radius:
+            own = current.select(GRAPH, F.col("node_id").alias("src"), F.col("label").alias("_a"))
+            ends = _joined(F.least("_a", "_b"), "~", F.greatest("_a", "_b"), "/", F.col("bond"))
+            edges = stage(around.join(own, [GRAPH, "src"]).select(GRAPH, "src", "dst", hashed_label(ends).cast("string").alias("bond")), "bonds")
+            labelled = stage(labelled, "labels")
+        rounds.append(labelled)
+        current = labelled
     return rounds
 
 
+def chiral_marks(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(graph_id, node_id, mark): the handedness of nodes with ``chirality`` 1 or -1, whatever the order of their neighbours.
+
+    ``chirality`` counts by the neighbours in the order of ``dst``.  Turned into
+    the order of the neighbours' ``labels`` its sign changes with each
+    exchange.  Nodes without three or four neighbours of different labels have
+    no mark.
+    """
+    centres = nodes.filter("chirality <> 0").select(GRAPH, F.col("node_id").alias("src"), "chirality")
+    others = labels.select(GRAPH, F.col("node_id").alias("dst"), F.col("label").alias("_other"))
+    around = edges.select(GRAPH, "src", "dst").join(centres, [GRAPH, "src"])
+    degrees = around.groupBy(GRAPH, "src").agg(F.count("*").alias("_n")).filter("_n between 3 and 4")
+    around = around.join(degrees.select(GRAPH, "src"), [GRAPH, "src"], "left_semi").join(others, [GRAPH, "dst"])
+    listed = around.groupBy(GRAPH, "src", "chirality").agg(F.sort_array(F.collect_list(F.struct("dst", "_other"))).alias("_e"))  # four at most
+    listed = listed.withColumn("_l", F.transform("_e", lambda e: e["_other"])).filter(F.size(F.array_distinct("_l")) == F.size("_l"))
+    exchanges = sum((F.coalesce(F.get("_l", i) > F.get("_l", j), F.lit(False)).cast("int") for i in range(4) for j in range(i + 1, 4)), F.lit(0))
+    left = (F.col("chirality") > 0) == (exchanges % 2 == 0)
+    return listed.select(GRAPH, F.col("src").alias("node_id"), F.when(left, "+").otherwise("-").alias("mark"))
+
+
 def label_statistics(labels: DataFrame) -> DataFrame:
     """Nodes and graphs per label."""
     per_graph = labels.groupBy("label", GRAPH).agg(F.count("*").alias("n"))

@@ -23,7 +23,7 @@ from solvane.functions.hashing import as_column
 from solvane.storage import cut
 
 # Key rows between two splitters that are few enough to be put in order.
-FEW = 20_000
+FEW = 100_000
 # Keys that a round samples.
 SAMPLE = 10_000
 
@@ -145,15 +145,15 @@ def global_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataF
     then the rows in earlier partitions plus the position in this one.
     ``keys`` should be unique, so that no range holds more than its share.
     """
-    ordered = cut(df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    ordered = ordered.withColumn("_part", F.shiftrightunsigned("_at", 33))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = cut(df.orderBy(*keys).withColumn("_rank_at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_rank_part", F.shiftrightunsigned("_rank_at", 33))
+    sizes = ordered.groupBy("_rank_part").agg(F.count("*").alias("_rank_n"))
+    earlier = Window.orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition of the sort, so this side is small whatever the data size.
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    position = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = ordered.join(F.broadcast(offsets), "_part")
-    return ranked.withColumn(name, F.col("_offset") + position).drop("_at", "_part", "_offset")
+    offsets = sizes.select("_rank_part", F.coalesce(F.sum("_rank_n").over(earlier), F.lit(0)).alias("_rank_offset"))
+    position = F.col("_rank_at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = ordered.join(F.broadcast(offsets), "_rank_part")
+    return ranked.withColumn(name, F.col("_rank_offset") + position).drop("_rank_at", "_rank_part", "_rank_offset")
 
 
 def series_position(df: DataFrame, group: str, order: Sequence[str], name: str = "position") -> DataFrame:

@@ -160,3 +160,69 @@ def test_fingerprints(spark):
         fingerprint.fingerprints(nodes, edges, kind="other")
     wide = fingerprint.add_fingerprint_columns(nodes.select("graph_id").distinct(), found, "graph_id", 64)
     assert len(wide.columns) == 65 and set(wide.drop("graph_id").first()) <= {0, 1}
+
+
+def scans_and_exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.count("FileScan"), text.count("Exchange ")
+
+
+def test_plans_do_not_grow_with_the_radius(spark, tmp_path):
+    ring = [(1, i, (i + 1) % 6, "S") for i in range(6)]
+    spark.createDataFrame([(1, i, "C") for i in range(6)], "graph_id bigint, node_id bigint, label string").write.parquet(f"{tmp_path}/nodes")
+    graph.mirror_edges(spark.createDataFrame(ring, "graph_id bigint, src bigint, dst bigint, bond string")).write.parquet(f"{tmp_path}/edges")
+    nodes, edges = spark.read.parquet(f"{tmp_path}/nodes"), spark.read.parquet(f"{tmp_path}/edges")
+    for last in (lambda r: graph.fragments(nodes, edges, r, short=True)[r], lambda r: graph.fragment_hashes(nodes, edges, r)[r]):
+        counts = [scans_and_exchanges(last(r)) for r in range(2, 6)]
+        assert len(set(counts)) == 1 and counts[0][0] <= 4, counts
+
+
+def test_hashed_fragments_tell_apart_what_spelled_ones_do(spark):
+    draw = random.Random(5)
+    nodes, bonds = [], []
+    for g in range(30):
+        n = draw.randint(1, 9)
+        nodes += [(g, i, draw.choice("CNO")) for i in range(n)]
+        bonds += [(g, i, draw.randrange(i), draw.choice("SD")) for i in range(1, n)]
+    nodes = spark.createDataFrame(nodes, "graph_id bigint, node_id bigint, label string")
+    edges = graph.mirror_edges(spark.createDataFrame(bonds, "graph_id bigint, src bigint, dst bigint, bond string"))
+    spelled = graph.fragments(nodes, edges, 3)
+    hashed = graph.fragment_hashes(nodes, edges, 3)
+    for r in range(4):
+        pairs = spelled[r].join(hashed[r].withColumnRenamed("label", "hash"), ["graph_id", "node_id"]).select("label", "hash").distinct().collect()
+        assert len(pairs) == len({p["label"] for p in pairs}) == len({p["hash"] for p in pairs})
+
+
+def test_a_star_of_many_leaves(spark):
+    leaves = 100_000
+    nodes = spark.range(leaves + 1).selectExpr("1L as graph_id", "id as node_id", "if(id = 0, 'Fe', concat('C', id % 1000)) as label")
+    edges = graph.mirror_edges(spark.range(1, leaves + 1).selectExpr("1L as graph_id", "0L as src", "id as dst", "'S' as bond"))
+    found = graph.fragment_hashes(nodes, edges, 2)[2]
+    assert found.count() == leaves + 1 and found.select("label").distinct().count() == 1001
+
+
+def hands(spark, hand, turned=False):
+    """A centre with four different neighbours, one of them longer; ``turned`` numbers two neighbours the other way round."""
+    names = ["N", "O", "F", "C"]
+    if turned:
+        names[1], names[2] = names[2], names[1]
+    nodes = [(1, 0, "C", hand)] + [(1, i + 1, n, 0) for i, n in enumerate(names)] + [(1, 5, "C", 0)]
+    bonds = [(1, 0, i, "S") for i in range(1, 5)] + [(1, 4, 5, "S")]
+    nodes = spark.createDataFrame(nodes, "graph_id bigint, node_id bigint, label string, chirality int")
+    return nodes, graph.mirror_edges(spark.createDataFrame(bonds, "graph_id bigint, src bigint, dst bigint, bond string"))
+
+
+def test_chirality_tells_mirrored_centres_apart(spark):
+    def bits(*args, **options):
+        return fingerprint.fingerprints(*hands(spark, *args), hashed=True, **options).first()["bits"]
+
+    assert bits(1) == bits(-1) == bits(1, True)
+    chiral = {hand: bits(hand, use_chirality=True) for hand in (1, -1, 0)}
+    assert len({tuple(b) for b in chiral.values()}) == 3 and chiral[0] == bits(1)
+    assert bits(-1, True, use_chirality=True) == chiral[1]  # the same molecule, written down in another order
+
+
+def test_centres_with_equal_neighbours_have_no_hand(spark):
+    nodes, edges = hands(spark, 1)
+    same = nodes.withColumn("label", F.when(F.col("node_id") == 2, "N").otherwise(F.col("label")))
+    assert graph.chiral_marks(same, edges, graph.fragment_hashes(same, edges, 2)[2]).count() == 0
