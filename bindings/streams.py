@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings import query
+from bindings.measuring import metric_log, stopping_sql
 from bindings.tables import TRIALS, table
 from bindings.trials import STATE_SQL
 from solvane.storage import scratch_path
@@ -17,8 +18,8 @@ def _stream(spark, folder):
 
 def _run(spark, stream, key):
     path = scratch_path(spark, "stream")
-    logs.write_updates(stream, f"{path}/out", f"{path}/checkpoint")
-    return logs.latest_state(spark, f"{path}/out", key)
+    logs.write_updates(stream, f"{path}/out", f"{path}/checkpoint", key)
+    return logs.latest_state(spark, f"{path}/out")
 
 
 @query("st1_study_progress", f"with {TRIALS} select study, {STATE_SQL}, count(*) filter (where state = 'FAIL') >= 50 as stop from trials group by study")
@@ -38,3 +39,13 @@ def st1(spark, folder):
 def st2(spark, folder):
     log = _stream(spark, folder).select(F.col("user_id").alias("trial"), F.col("event_id").alias("epoch"), "value")
     return _run(spark, logs.trial_progress(log, patience=2000), "trial")
+
+
+@query("st2_early_stopping", stopping_sql(10, 5.0, 1))
+def st2_stopping(spark, folder):
+    """The checks of all trials arrive in files of mixed order, a file a batch."""
+    source = scratch_path(spark, "checks")
+    log = metric_log(spark, folder)
+    log.repartition(4, F.xxhash64("trial", "epoch")).write.parquet(source)
+    stream = logs.read_log(spark, source, log.schema, per_trigger=1)
+    return _run(spark, logs.stopping_progress(stream, 10, 5.0), "trial").drop("checks", "waiting")

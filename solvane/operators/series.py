@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvane.operators.ranking import global_rank
+from solvane.storage import stage
+
 # Epochs per block when running minima are taken block by block.
 BLOCK = 1024
 
@@ -37,62 +37,68 @@ def early_stopping(log: DataFrame, trial: str, epoch: str, value: str, patience:
     beats the best by more than ``min_delta``; the run stops at the first epoch
     that is ``patience`` checks after the best one, and later rows are ignored.
     With ``patience`` of 0 or less nothing stops and the score is the last value.
+    Missing values are checks without an improvement.
     """
+    if min_delta < 0:
+        raise ValueError("min_delta must not be negative")
     sign = 1.0 if mode.startswith("min") else -1.0
     if patience <= 0:
         last = log.groupBy(trial).agg(F.max(F.struct(epoch, value)).alias("last"))
         none = F.lit(None).cast("bigint")
         return last.select(trial, F.col(f"last.{value}").cast("double").alias("score"), none.alias("best_epoch"), none.alias("stop_epoch"))
-    signed = log.withColumn("_signed", F.col(value) * F.lit(sign))
+    renamed = log.select(F.col(trial).alias("trial"), F.col(epoch).cast("bigint").alias("epoch"), (F.col(value) * F.lit(sign)).alias("value"))
     # Whatever min_delta is, an improvement is below all earlier values, so only those rows matter.
-    candidates = improvements(signed, trial, epoch, "_signed")
-    span = log.groupBy(trial).agg(F.min(epoch).alias("_first"), F.max(epoch).alias("_last"))
-    rows = span.join(candidates, trial, "left")
-    rows = rows.select(F.col(trial).alias("trial"), F.col("_first").cast("bigint"), F.col("_last").cast("bigint"), F.col(epoch).cast("bigint").alias("epoch"), F.col("_v").alias("value"))
-    kind = rows.schema["trial"].dataType.simpleString()
-    ordered = rows.repartition("trial").sortWithinPartitions("trial", "epoch")
-    stopped = ordered.mapInPandas(_stop_scan(patience, min_delta), f"trial {kind}, score double, best_epoch double, stop_epoch double")
-    return stopped.select(
+    lows = global_rank(improvements(renamed, "trial", "epoch", "value"), ["trial", "epoch"], "low")
+    last_low = _last_improvements(lows, patience, min_delta)
+    span = renamed.groupBy("trial").agg(F.min("epoch").alias("first"), F.max("epoch").alias("last"))
+    joined = span.join(last_low.withColumnRenamed("trial", "of"), F.col("trial").eqNullSafe(F.col("of")), "left")
+    met = F.col("first_low") - F.col("first") < patience
+    best_epoch = F.when(met, F.col("at"))
+    stop = F.coalesce(best_epoch, F.col("first") - 1) + patience
+    return joined.select(
         F.col("trial").alias(trial),
-        (F.nanvl("score", F.lit(None)) * F.lit(sign)).alias("score"),
-        F.nanvl("best_epoch", F.lit(None)).cast("bigint").alias("best_epoch"),
-        F.nanvl("stop_epoch", F.lit(None)).cast("bigint").alias("stop_epoch"),
+        (F.when(met, F.col("best")) * F.lit(sign)).alias("score"),
+        best_epoch.alias("best_epoch"),
+        F.when(stop <= F.col("last"), stop).alias("stop_epoch"),
     )
 
 
-def _stop_scan(patience: int, min_delta: float):
-    """Scan trials in epoch order; only the state of the current trial is held."""
-
-    def finish(state: dict) -> tuple:
-        stop = state["stop"]
-        if stop is None and state["last"] - state["at"] >= patience:
-            stop = state["at"] + patience
-        seen = state["best"] is not None
-        nan = float("nan")
-        return state["trial"], state["best"] if seen else nan, float(state["at"]) if seen else nan, nan if stop is None else float(stop)
+def _last_improvements(lows: DataFrame, patience: int, min_delta: float) -> DataFrame:
+    """(trial, first_low, at, best): where the chain of improvements that starts at a trial's first value ends.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["trial", "score", "best_epoch", "stop_epoch"]
-        state = None
-        for batch in batches:
-            done = []
-            for trial, first, last, epoch, value in batch.itertuples(index=False):
-                if state is None or state["trial"] != trial:
-                    if state is not None:
-                        done.append(finish(state))
-                    state = {"trial": trial, "last": last, "best": None, "at": first - 1, "stop": None}
-                if pd.isna(epoch) or state["stop"] is not None:
-                    continue
-                if epoch - state["at"] > patience:
-                    state["stop"] = state["at"] + patience
-                elif state["best"] is None or value + min_delta < state["best"]:
-                    state["best"], state["at"] = value, epoch
-            if done:
-                yield pd.DataFrame(done, columns=names)
-        if state is not None:
-            yield pd.DataFrame([finish(state)], columns=names)
-
-    return scan
+    ``lows`` are numbered over all trials, falling within a trial.  The next
+    improvement of each is found by ranks: without ``min_delta`` it is the next
+    low.  Otherwise the lows raised by ``min_delta`` and the lows themselves
+    are put in one falling order; as many raised ones lie before a low as
+    its rank there less the lows before it, and the one after them is its next.
+    """
+    if min_delta:
+        lows = stage(lows, "lows")
+        raised = lows.select("trial", (-(F.col("_v") + F.lit(min_delta))).alias("key"), F.lit(0).alias("kind"), "low")
+        own = lows.select("trial", (-F.col("_v")).alias("key"), F.lit(1).alias("kind"), "low")
+        placed = global_rank(raised.unionByName(own), ["trial", "key", "kind", "low"], "both").filter("kind = 1")
+        lows = lows.join(placed.select("low", (F.col("both") - F.col("low")).alias("next")), "low")
+    else:
+        lows = lows.withColumn("next", F.col("low") + 1)
+    after = lows.select(F.col("low").alias("next"), F.col("trial").alias("of"), F.col("epoch").alias("later"))
+    linked = lows.join(after, "next", "left")
+    goes_on = F.col("of").eqNullSafe(F.col("trial")) & (F.col("later") - F.col("epoch") <= patience)
+    linked = linked.select("trial", "epoch", "_v", "low", F.when(goes_on, F.col("next")).alias("next"))
+    if not min_delta:  # every low is an improvement up to the first gap
+        end = F.min(F.when(F.col("next").isNull(), F.struct("epoch", "_v")))
+        found = linked.groupBy("trial").agg(F.min("epoch").alias("first_low"), end.alias("end"))
+        return found.select("trial", "first_low", F.col("end.epoch").alias("at"), F.col("end._v").alias("best"))
+    linked = stage(linked, "linked")
+    starts = stage(linked.groupBy("trial").agg(F.min(F.struct("low", "epoch")).alias("start")).select("trial", F.col("start.low").alias("low"), F.col("start.epoch").alias("first_low")), "starts")
+    jumps = stage(linked.select("low", F.coalesce("next", "low").alias("end")), "jumps")
+    while True:  # each turn doubles how far a jump reaches
+        further = jumps.select(F.col("low").alias("end"), F.col("end").alias("beyond"))
+        open_ = starts.select("low").join(jumps, "low").join(further, "end").filter("beyond <> end")
+        if open_.isEmpty():
+            break
+        jumps = stage(jumps.join(further, "end").select("low", F.col("beyond").alias("end")), "jumps")
+    ends = linked.select(F.col("low").alias("end"), F.col("epoch").alias("at"), F.col("_v").alias("best"))
+    return starts.join(jumps, "low").join(ends, "end").select("trial", "first_low", "at", "best")
 
 
 def best_checkpoint(log: DataFrame, trial: str, epoch: str, value: str, mode: str = "min") -> DataFrame:

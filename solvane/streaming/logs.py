@@ -1,14 +1,17 @@
 """Streams over trial tables and metric logs.
 
 State is one row per study or trial, kept by Spark's own streaming
-aggregation, so that a busy study is pre-aggregated before the shuffle.
+aggregation, so that a busy study is pre-aggregated before the shuffle; early
+stopping, which depends on the order of checks, keeps those ahead of their turn.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from solvane.operators.trials import MAX_FAILED, state_counts
 
@@ -46,23 +49,85 @@ def trial_progress(log: DataFrame, trial: str = "trial", epoch: str = "epoch", v
     )
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what has arrived and write the changed groups of each batch.
+STOPPING = "trial {trial}, score double, best_epoch bigint, stop_epoch bigint, checks bigint, waiting bigint"
+STOPPING_STATE = "next bigint, best double, at bigint, stop bigint, last double, epochs array<bigint>, values array<double>"
 
-    A batch owns its folder and overwrites it when it is repeated, so a restart
-    leaves no duplicates.
+
+def stopping_progress(log: DataFrame, patience: int, min_delta: float = 0.0, mode: str = "min", trial: str = "trial", epoch: str = "epoch", value: str = "value", first: int = 0, idle_ms: int | None = None) -> DataFrame:
+    """(trial, score, best_epoch, stop_epoch, checks, waiting): early stopping of each trial as its checks arrive.
+
+    The rule is that of :func:`solvane.operators.series.early_stopping`, and so is
+    the answer once all checks from epoch ``first`` on have arrived, in whatever
+    order and batches.  A check that is ahead of its turn waits in the state;
+    ``waiting`` counts those, ``checks`` those that had their turn.  A stop is
+    final, and what arrives after it is neither judged nor kept.  A check
+    that arrives again is ignored.  State that nothing reached for ``idle_ms`` is
+    dropped; without it the state stays.
+    """
+    if min_delta < 0:
+        raise ValueError("min_delta must not be negative")
+    sign = 1.0 if mode.startswith("min") else -1.0
+    names = ["score", "best_epoch", "stop_epoch", "checks", "waiting"]
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        turn, best, at, stop, last, epochs, values = state.get if state.exists else (first, None, first - 1, None, None, [], [])
+        waiting = dict(zip(epochs, values, strict=True))
+        for rows in batches:
+            for e, v in zip(rows["epoch"].tolist(), rows["value"].tolist(), strict=True):
+                if e >= turn:
+                    waiting[int(e)] = None if v is None or v != v else float(v)
+        while stop is None and turn in waiting:
+            v = waiting.pop(turn)
+            last = v
+            if patience > 0:
+                if v is not None and (best is None or sign * v + min_delta < sign * best):
+                    best, at = v, turn
+                elif turn - at >= patience:
+                    stop = turn
+            turn += 1
+        if stop is not None:
+            waiting = {}
+        state.update((turn, best, at, stop, last, list(waiting), list(waiting.values())))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        score, best_at = (best, at if best is not None else None) if patience > 0 else (last, None)
+        row = pd.DataFrame([(score, best_at, stop, turn - first, len(waiting))], columns=names)
+        row = row.astype({"score": "float64", "best_epoch": "Int64", "stop_epoch": "Int64", "checks": "int64", "waiting": "int64"})
+        row.insert(0, "trial", key[0])
+        yield row
+
+    read = log.select(F.col(trial).alias("trial"), F.col(epoch).cast("bigint").alias("epoch"), F.col(value).cast("double").alias("value")).filter("epoch is not null")
+    kind = STOPPING.format(trial=read.schema["trial"].dataType.simpleString())
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    found = read.groupBy("trial").applyInPandasWithState(update, kind, STOPPING_STATE, "update", timeout)
+    return found.withColumnRenamed("trial", trial)
+
+
+def write_updates(stream: DataFrame, path: str, checkpoint: str, key: str) -> None:
+    """Process what has arrived and keep the last row of each group.
+
+    There are two copies of the result.  A batch reads the one that the batch
+    before it wrote, puts its changed groups in and overwrites the other, so
+    that the result takes no more room with more batches, and a batch that is
+    repeated after a restart reads and writes the same again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        merged = batch
+        if number:
+            before = batch.sparkSession.read.parquet(f"{path}/copy={(number - 1) % 2}").drop("batch")
+            merged = before.join(batch.select(key), key, "left_anti").unionByName(batch)
+        merged.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/copy={number % 2}")
 
     query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def latest_state(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The last written row of each group."""
-    updates = spark.read.parquet(path)
-    columns = [c for c in updates.columns if c not in (key, "batch")]
-    last = updates.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("_row"))
-    return last.select(key, "_row.*")
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last row of each group: the copy that the last batch wrote."""
+    copies = spark.read.parquet(path)
+    newest = copies.agg(F.max("batch")).first()[0]
+    return copies.filter(F.col("batch") == F.lit(newest)).drop("batch", "copy")

@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from solvane.operators import models
 from solvane.operators.scaling import Scaler
 from solvane.sources import records, sinks, tables
+from solvane.operators import series
 from solvane.streaming import logs
 
 RECORDS = """c1ccsc1
@@ -103,13 +106,61 @@ def test_streams_continue_over_batches(spark, tmp_path):
             ("study", logs.study_progress(logs.read_log(spark, source, kind, per_trigger=1), max_failed=2), "study"),
             ("trial", logs.trial_progress(logs.read_log(spark, source, kind), patience=7), "trial"),
         ):
-            logs.write_updates(stream, f"{out}/{name}", f"{check}/{name}")
-    studies = {r["study"]: (r["all"], r["completed"], r["failed"], r["stop"]) for r in logs.latest_state(spark, f"{out}/study", "study").collect()}
+            logs.write_updates(stream, f"{out}/{name}", f"{check}/{name}", key)
+    studies = {r["study"]: (r["all"], r["completed"], r["failed"], r["stop"]) for r in logs.latest_state(spark, f"{out}/study").collect()}
     assert studies == {"s": (4, 1, 2, True), "t": (1, 0, 1, False)}
-    found = {r["trial"]: (r["latest_epoch"], r["best_epoch"], r["best_value"], r["checks"], r["stop"]) for r in logs.latest_state(spark, f"{out}/trial", "trial").collect()}
+    found = {r["trial"]: (r["latest_epoch"], r["best_epoch"], r["best_value"], r["checks"], r["stop"]) for r in logs.latest_state(spark, f"{out}/trial").collect()}
     assert found == {1: (9, 2, 3.0, 4, True), 2: (0, 0, 1.0, 1, False)}
 
 
+CHECKS = "trial int, epoch int, value double"
+
+
+def run_stopping(spark, source, out, patience, delta, mode="min"):
+    kind = spark.createDataFrame([], CHECKS).schema
+    stream = logs.stopping_progress(logs.read_log(spark, source, kind, per_trigger=1), patience, delta, mode)
+    logs.write_updates(stream, f"{out}/result", f"{out}/checkpoint", "trial")
+    return {r["trial"]: tuple(r)[1:] for r in logs.latest_state(spark, f"{out}/result").collect()}
+
+
+@pytest.mark.parametrize("patience, delta, mode", [(3, 0.0, "min"), (4, 0.5, "max"), (0, 0.0, "min")])
+def test_streamed_stopping_equals_the_batch_rule(spark, tmp_path, patience, delta, mode):
+    """Checks in any order over several batches and a restart; some arrive twice."""
+    draw = random.Random(6)
+    rows = [(1, e, v) for e, v in enumerate([5.0, 6.0, 6.0, 6.0, 6.0, 1.0, 2.0])]
+    rows += [(t, e, draw.choice([None, float("nan"), *(round(draw.gauss(0, 2), 1) for _ in range(8))])) for t in range(2, 9) for e in range(draw.randint(1, 25))]
+    draw.shuffle(rows)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :] + rows[:5]):
+        for i in range(0, len(part), 40):
+            spark.createDataFrame(part[i : i + 40], CHECKS).coalesce(1).write.mode("append").parquet(source)
+        found = run_stopping(spark, source, out, patience, delta, mode)  # the second call goes on from the first
+    whole = spark.createDataFrame(rows, CHECKS)
+    expected = {r["trial"]: tuple(r)[1:] for r in series.early_stopping(whole, "trial", "epoch", "value", patience, delta, mode).collect()}
+    clean = {t: (None if v[0] is None or v[0] != v[0] else v[0], *v[1:3]) for t, v in found.items()}
+    assert clean == {t: (None if v[0] is None or v[0] != v[0] else v[0], *v[1:]) for t, v in expected.items()}
+    assert all(v[4] == 0 for v in found.values())
+
+
+def test_a_stop_is_final_and_early_checks_wait(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    steps = [([(1, 0, 5.0), (1, 2, 6.0)], (5.0, 0, None, 1, 1)), ([(1, 1, 6.0), (1, 4, 1.0)], (5.0, 0, None, 3, 1)), ([(1, 3, 9.0)], (5.0, 0, 3, 4, 0)), ([(1, 5, 0.0)], (5.0, 0, 3, 4, 0))]
+    for rows, expected in steps:
+        spark.createDataFrame(rows, CHECKS).coalesce(1).write.mode("append").parquet(source)
+        assert run_stopping(spark, source, out, 3, 0.0) == {1: expected}
+
+
+def test_result_table_does_not_grow_with_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files = []
+    for i in range(7):
+        spark.createDataFrame([(i % 2, i // 2, float(i))], CHECKS).coalesce(1).write.mode("append").parquet(source)
+        found = run_stopping(spark, source, out, 9, 0.0)
+        files.append(len(spark.read.parquet(f"{out}/result").inputFiles()))
+    assert {t: v[3] for t, v in found.items()} == {0: 4, 1: 3}
+    assert max(files[3:]) <= 2 * 2 * 2  # two copies of a state that is written by few tasks
+
+
 def test_metric_log_folders(spark, tmp_path):
     log = spark.range(40).select((F.col("id") % 2).alias("trial"), (F.col("id") % 3).alias("fold"), F.col("id").alias("epoch"))
     for _ in range(2):

@@ -158,3 +158,25 @@ def test_long_rows_and_vocabularies_beyond_the_limit(spark, limit):
     assert nothing.columns == ["id", "ids"] and nothing.count() == 0
     with pytest.raises(Exception, match="unknown token: w"):
         vocab.encode_sequences(df, "id", "words", spark.createDataFrame(table, "token string, idx int"), strict=True, limit=limit).collect()
+
+
+@pytest.mark.parametrize("delta", [0.0, 2.5])
+def test_long_falling_series(spark, delta):
+    """Every value improves: the chain is followed without a Python worker and without one task for the trial."""
+    n = 30_000
+    log = spark.range(n).selectExpr("7 as trial", "id as epoch", "cast(-id as double) as value").repartition(4)
+    found = series.early_stopping(log, "trial", "epoch", "value", 5, delta)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "InPandas" not in text and "InArrow" not in text
+    (row,) = found.collect()
+    step = 1 if delta == 0 else 3
+    last = (n - 1) // step * step
+    assert (row["score"], row["best_epoch"], row["stop_epoch"]) == (-float(last), last, None)
+
+
+def test_trials_without_values_and_gaps_longer_than_patience(spark):
+    rows = [(1, e, None) for e in range(5)] + [(2, e, float("nan") if e < 3 else 1.0) for e in range(6)]
+    df = spark.createDataFrame(rows, "trial int, epoch int, value double")
+    for delta in (0.0, 0.5):
+        found = {r["trial"]: tuple(r)[1:] for r in series.early_stopping(df, "trial", "epoch", "value", 2, delta).collect()}
+        assert found == {1: (None, None, 1), 2: (None, None, 1)}
