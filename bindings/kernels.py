@@ -9,6 +9,7 @@ from bindings.tables import hash_sql, rounded, table
 from solvane.functions import kernels
 from solvane.functions.arrays import pack_bits, positive_positions
 from solvane.operators import kernel, scaling, split
+from solvane.plans.features import prepare_features
 
 FEATURES = ["words", "phys"]
 
@@ -68,31 +69,26 @@ def k4_product(spark, folder):
     return matrix(spark, folder, "rbf_kernel_phys_and_struct", gamma_structural=0.7, gamma_physical=2.5)
 
 
-@query(
-    "k5_prepare_features",
-    f"""with r as (select vec_id, embedding, row_number() over (order by {hash_sql(0, 'vec_id')}, vec_id) - 1 as rk, count(*) over () as n from embeddings),
-    s as (select avg(embedding[1]::double) as m0, stddev_pop(embedding[1]::double) as s0, avg(embedding[2]::double) as m1, stddev_pop(embedding[2]::double) as s1 from r where rk < n - 100)
-    select vec_id, len(list_filter(embedding, lambda v: v > 0))::int as set_bits, round((embedding[1]::double - m0) / s0, 5) + 0.0 as d0, round((embedding[2]::double - m1) / s1, 5) + 0.0 as d1 from r, s""",
-)
-def k5(spark, folder):
-    vectors = table(spark, folder, "embeddings").select(
-        "vec_id", positive_positions("embedding").alias("bits"), F.col("embedding")[0].cast("double").alias("d0"), F.col("embedding")[1].cast("double").alias("d1")
-    )
-    phased = split.split_by_size(vectors, "vec_id", [None, 0, 100], 0)
-    scaled = scaling.scale_columns(phased, ["d0", "d1"], phased.filter("ml_phase = 'train'"))
-    return rounded(scaled.select("vec_id", F.size("bits").alias("set_bits"), "d0", "d1"), 5)
-
-
-@query(
-    "k5_prepare_all_features",
-    f"""with r as (select vec_id, embedding, row_number() over (order by {hash_sql(0, 'vec_id')}, vec_id) - 1 as rk, count(*) over () as n from embeddings),
+K5 = f"""with r as (select vec_id, embedding, row_number() over (order by {hash_sql(0, 'vec_id')}, vec_id) - 1 as rk, count(*) over () as n from embeddings),
     v as (select unnest(embedding)::double as value, generate_subscripts(embedding, 1) as dim from r where rk < n - 100),
     d as (select dim, avg(value) as m, stddev_pop(value) as s from v group by dim),
     s as (select list(m order by dim) as ms, list(s order by dim) as ss from d)
-    select vec_id, len(list_filter(embedding, lambda v: v > 0))::int as set_bits, list_transform(embedding, lambda v, i: round((v::double - ms[i]) / ss[i], 5) + 0.0) as scaled from r, s""",
-)
+    select vec_id, len(list_filter(embedding, lambda v: v > 0))::int as set_bits, list_transform(embedding, lambda v, i: round((v::double - ms[i]) / ss[i], 5) + 0.0) as scaled from r, s"""
+
+
+@query("k5_prepare_features", K5)
+def k5(spark, folder):
+    """Every position of the vectors by mean and deviation of the train rows, and the bits, both ready for kernels."""
+    found = table(spark, folder, "embeddings").select("vec_id", positive_positions("embedding").alias("bits"), "embedding")
+    phased = split.split_by_size(found, "vec_id", [None, 0, 100], 0)
+    features, _ = prepare_features(phased, "vec_id", "bits", 64, "embedding", fit_on=phased.filter("ml_phase = 'train'"))
+    set_bits = F.aggregate("words", F.lit(0), lambda n, w: n + F.bit_count(w))
+    return features.select("vec_id", set_bits.alias("set_bits"), F.transform("phys", lambda v: F.round(v, 5) + F.lit(0.0)).alias("scaled"))
+
+
+@query("k5_prepare_all_features", K5)
 def k5_all(spark, folder):
-    """Every position of the vectors, by mean and deviation of the train rows; k5_prepare_features has the first two."""
+    """The same features, scaled by the operator for vectors alone."""
     vectors = table(spark, folder, "embeddings").select("vec_id", positive_positions("embedding").alias("bits"), "embedding")
     phased = split.split_by_size(vectors, "vec_id", [None, 0, 100], 0)
     scaled = scaling.standardise_vectors(phased, "embedding", "scaled", phased.filter("ml_phase = 'train'"))

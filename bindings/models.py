@@ -1,4 +1,4 @@
-"""MLlib fits on features of whole tables. Fits have no SQL; their rows are only counted."""
+"""Fits on features of whole tables. Forests of many trees have no SQL, their rows are only counted; the fits at the end have."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from bindings import query
-from bindings.graphs import nodes_and_edges
+from bindings.graphs import GRAPHS, hash_rounds_sql, nodes_and_edges
 from bindings.kernels import vectors
-from bindings.tables import table
+from bindings.splitting import fold_sql
+from bindings.tables import hash_sql, rounded, table
 from solvane.functions import kernels
 from solvane.functions.arrays import dense_bits
-from solvane.operators import binning, fingerprint, metrics, models, split, study, trials
+from solvane.operators import binning, fingerprint, linear, metrics, models, split, study, trials
 from solvane.operators.trials import sample_parameters
 from solvane.sources import sinks
 from solvane.operators.scaling import fit_scaler
@@ -131,3 +132,79 @@ def m9(spark, folder):
         return models.objective_value(models.run_trial(estimator, data)[1])
 
     return study.run_trials(spark, sampled, objective, "fan-out", n_jobs=3).drop("datetime_start", "datetime_complete")
+
+
+# Fits that SQL can follow: a tree of one split over 2048 bits, one landmark, a line with a penalty.
+BITS = 2048
+PRICED = f"""with {GRAPHS}, {hash_rounds_sql(2)},
+bits as materialized (select graph_id, (label % {BITS})::int as bit from h0 union select graph_id, (label % {BITS})::int from h1 union select graph_id, (label % {BITS})::int from h2),
+priced as materialized (select o_orderkey as id, (o_totalprice / 1000)::double as y from orders where o_orderkey in (select graph_id from bits))"""
+
+
+def sparse_fingerprints(spark, folder):
+    """Fingerprints of radius 2 of each order's graph as sparse vectors, beside its price."""
+    bits = fingerprint.fingerprints(*nodes_and_edges(spark, folder), n_bits=BITS, radius=2, hashed=True).withColumnRenamed("graph_id", "id")
+    price = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).cast("double").alias("measured"))
+    return models.bit_vectors(price.join(bits, "id"), "bits", BITS).select("id", "measured", "features")
+
+
+STUMP = {"n_estimators": 1, "max_depth": 1, "max_features": "all", "bootstrap": False, "max_samples": 1.0}
+
+
+@query(
+    "m1_one_split",
+    f"""{PRICED}, whole as (select count(*) as n, sum(y) as s from priced),
+    sides as (select bit, count(*) as n1, sum(y) as s1 from bits join priced on id = graph_id group by bit),
+    best as (select bit, s1 / n1 as yes, (s - s1) / (n - n1) as no from sides, whole where n1 < n order by s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) desc, bit limit 1)
+    select id, round(case when exists (select 1 from bits b where b.graph_id = id and b.bit = best.bit) then yes else no end, 6) as predicted from priced, best""",
+)
+def m1_one_split(spark, folder):
+    data = stage(sparse_fingerprints(spark, folder), "sparse")
+    fitted = models.forest_regressor(STUMP).fit(data)
+    return fitted.transform(data).select("id", F.round("predicted", 6).alias("predicted"))
+
+
+@query(
+    "m2_one_split",
+    f"""{PRICED}, middle as (select list(y order by y)[(count(*) - 1) // 2 + 1] as m from priced),
+    classed as materialized (select id, (y > m)::int as c from priced, middle),
+    whole as (select count(*) as n, sum(c) as c1 from classed),
+    sides as (select bit, count(*) as n1, sum(c) as c11 from bits join classed on id = graph_id group by bit),
+    best as (select bit, n1, n - n1 as n0, c11, c1 - c11 as c01 from sides, whole where n1 < n
+      order by (c11 * c11 + (n1 - c11) * (n1 - c11)) / n1::double + ((c1 - c11) * (c1 - c11) + (n - n1 - c1 + c11) * (n - n1 - c1 + c11)) / (n - n1)::double desc, bit limit 1)
+    select id, (case when exists (select 1 from bits b where b.graph_id = id and b.bit = best.bit) then 2 * c11 > n1 else 2 * c01 > n0 end)::int as predicted from classed, best""",
+)
+def m2_one_split(spark, folder):
+    data = stage(binning.with_balanced_bin(sparse_fingerprints(spark, folder), "measured", 2), "sparse")
+    fitted = models.forest_classifier(STUMP).fit(data)
+    return fitted.transform(data).select("id", F.col("predicted").cast("int").alias("predicted"))
+
+
+@query(
+    "m4_one_landmark",
+    f"""with l as (select embedding as lm from embeddings order by {hash_sql(3, 'vec_id')}, vec_id limit 1),
+    k as (select vec_id, label, exp(-0.5 * list_sum(list_transform(list_zip(embedding, lm), lambda p: (p[1]::double - p[2]::double) ** 2))) as k from embeddings, l),
+    f as (select regr_slope(label, k) as a, regr_intercept(label, k) as b from k)
+    select vec_id, round(a * k + b, 5) as predicted from k, f""",
+)
+def m4_one_landmark(spark, folder):
+    data = stage(vectors(spark, folder), "vectors")
+    fitted = models.NystromRegression(kernels.physical(0.5), ["phys"], landmarks=1, reg=0.0, seed=3).fit(data, "vec_id", "label")
+    return fitted.transform(data, "vec_id").select("vec_id", F.round("predicted", 5).alias("predicted"))
+
+
+REGS = [0.0, 0.5, 4.0]
+
+
+@query(
+    "m6_ridge_folds",
+    f"""with ev as (select event_id as id, (user_id % 10)::double as x, value as y from events), f as ({fold_sql('ev', 'id', 3, "('0x' || substr(md5('0:' || id::varchar), 1, 8))::bigint, id")}),
+    rows as (select ev.*, fold from ev join f using (id)), k as (select unnest([0, 1, 2]) as model), r as (select unnest([{', '.join(map(str, REGS))}])::double as reg),
+    fits as (select model, reg, covar_pop(y, x) / (var_pop(x) + reg) as a, avg(y) - avg(x) * covar_pop(y, x) / (var_pop(x) + reg) as b from rows, k, r where fold <> model group by model, reg)
+    select reg, model as fold, round(avg((y - a * x - b) ** 2) filter (where fold <> model), 5) as train_mse, round(avg((y - a * x - b) ** 2) filter (where fold = model), 5) as test_mse
+    from rows, fits group by reg, model""",
+)
+def m6_ridge(spark, folder):
+    events = table(spark, folder, "events").select(F.col("event_id").alias("id"), F.col("value").alias("measured"), F.array((F.col("user_id") % 10).cast("double")).alias("x"))
+    folded = split.with_fold(events, "id", 3, 0)
+    return rounded(linear.cross_validated_ridge(folded, "x", "measured", "fold", REGS), {"train_mse": 5, "test_mse": 5})

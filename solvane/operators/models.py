@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from solvane.functions.hashing import hash32
 from solvane.functions.kernels import Kernel
 from solvane.operators.binning import with_balanced_bin
 from solvane.operators.fingerprint import fingerprints
-from solvane.operators.kernel import kernel_features
+from solvane.operators.kernel import kernel_features, kernel_score
+from solvane.operators.linear import moments
 from solvane.operators.metrics import accuracy, ensemble_metrics, fold_summary, metrics_by, regression_metrics
 from solvane.operators.ranking import before_key, keys_at_ranks
 from solvane.operators.split import label_by_rank
@@ -30,6 +34,12 @@ def as_vector(df: DataFrame, array: str, output: str = "features") -> DataFrame:
     return df.withColumn(output, array_to_vector(F.col(array).cast("array<double>")))
 
 
+def bit_vectors(df: DataFrame, bits: str, n_bits: int, output: str = "features") -> DataFrame:
+    """Sparse 0/1 vectors from arrays of set-bit positions, whatever the number of bits."""
+    names = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_bits)], inputCol="_names", outputCol=output).setBinary(True).setMinTF(1.0)
+    return names.transform(df.withColumn("_names", F.col(bits).cast("array<string>"))).drop("_names")
+
+
 def _forest_params(params: dict, rows: int | None) -> dict:
     """Translate the usual forest parameter names to MLlib's.
 
@@ -177,6 +187,42 @@ class KernelRegression:
         return self.model.transform(self._featurise(df, id_col)).drop("features", "values")
 
 
+class NystromRegression:
+    """Kernel ridge regression in the space that the landmarks span.
+
+    The landmarks' own kernel matrix is decomposed, and kernel values against
+    them are whitened by it, so that products of the features are the kernel
+    itself as far as the landmarks reach: with all rows as landmarks this is
+    kernel ridge regression.  The loss is the mean squared error plus ``reg``
+    times the squared norm of the function; with ``intercept`` a constant without a
+    penalty is added.  The fit takes one aggregate of products of kernel
+    values; the result is a weight for each landmark.
+    """
+
+    def __init__(self, kernel: Kernel, features: list[str], landmarks: int = 64, reg: float = 1e-3, seed: int = 0, intercept: bool = True):
+        self.kernel, self.features, self.count, self.reg, self.seed, self.intercept = kernel, features, landmarks, reg, seed, intercept
+
+    def fit(self, df: DataFrame, id_col: str, label: str) -> "NystromRegression":
+        chosen = choose_landmarks(df.select(id_col, *self.features), id_col, self.count, self.seed)
+        landmarks = cut(chosen.withColumnRenamed(id_col, "landmark"))
+        own = kernel_features(landmarks, "landmark", landmarks, "landmark", self.kernel, self.features).orderBy("x_id").collect()  # a square of the landmarks
+        values, vectors = np.linalg.eigh(np.array([row["values"] for row in own]))
+        kept = values > values.max() * len(values) * np.finfo(float).eps
+        whitened = vectors[:, kept] / np.sqrt(values[kept])
+        rows = kernel_features(df, id_col, landmarks, "landmark", self.kernel, self.features).withColumnRenamed("x_id", id_col)
+        found = moments(df.select(id_col, label).join(rows, id_col), "values", label)[None]
+        fitted = found.mapped(whitened).fit(self.reg, self.intercept)
+        self.offset, weights = float(fitted[0]), whitened @ fitted[1:]
+        ids = [(row["x_id"], float(w)) for row, w in zip(own, weights, strict=True)]
+        table = df.sparkSession.createDataFrame(ids, StructType([landmarks.schema["landmark"], StructField("weight", DoubleType())]))
+        self.landmarks = cut(landmarks.join(table, "landmark"))
+        return self
+
+    def transform(self, df: DataFrame, id_col: str) -> DataFrame:
+        scored = kernel_score(df, id_col, self.landmarks, "landmark", "weight", self.offset, self.kernel, self.features)
+        return df.join(scored.withColumnRenamed("x_id", id_col), id_col)
+
+
 def retrain_best(make: Callable[[dict], Estimator], params: dict, df: DataFrame, with_val: bool, phase: str = "ml_phase", label: str = "measured") -> tuple[Model, DataFrame, DataFrame]:
     """Fit the best parameters on train (and val): (model, predictions, metrics by set)."""
     fit_on = ["train", "val"] if with_val else ["train"]

@@ -49,14 +49,25 @@ def dimension_statistics(df: DataFrame, vector: str) -> DataFrame:
 
 
 def standardise_vectors(df: DataFrame, vector: str, output: str, fit_on: DataFrame | None = None) -> DataFrame:
-    """Bring each vector position to mean 0 and std 1; positions without spread stay at 0.
-
-    The statistics are one pair per position, so they travel as literals and the
-    vectors are rescaled in place without a second shuffle.
-    """
-    statistics = sorted(dimension_statistics(df if fit_on is None else fit_on, vector).collect())
-    means = F.array(*[F.lit(float(row["mean"])) for row in statistics])
-    spreads = F.array(*[F.lit(float(row["std"]) or 1.0) for row in statistics])
-    pairs = F.arrays_zip(means.alias("m"), spreads.alias("s"))
-    scaled = F.zip_with(F.col(vector), pairs, lambda v, p: (v.cast("double") - p["m"]) / p["s"])
-    return df.withColumn(output, scaled)
+    """Bring each vector position to mean 0 and std 1; positions without spread stay at 0."""
+    return fit_vector_scaler(df if fit_on is None else fit_on, vector).scaled(df, vector, output)
+
+
+@dataclass(frozen=True)
+class VectorScaler:
+    """Mean and population std of each position, which travel as literals, so that vectors are rescaled in place."""
+
+    means: tuple[float, ...]
+    stds: tuple[float, ...]
+
+    def scaled(self, df: DataFrame, vector: str, output: str) -> DataFrame:
+        means = F.array(*[F.lit(m) for m in self.means])
+        spreads = F.array(*[F.lit(s or 1.0) for s in self.stds])
+        pairs = F.arrays_zip(means.alias("m"), spreads.alias("s"))
+        return df.withColumn(output, F.zip_with(F.col(vector), pairs, lambda v, p: (v.cast("double") - p["m"]) / p["s"]))
+
+
+def fit_vector_scaler(df: DataFrame, vector: str) -> VectorScaler:
+    """The scaler of a training set, to be used on others as well."""
+    statistics = sorted(dimension_statistics(df, vector).collect())
+    return VectorScaler(tuple(float(r["mean"]) for r in statistics), tuple(float(r["std"]) for r in statistics))
