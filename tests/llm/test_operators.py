@@ -205,6 +205,61 @@ def test_vector_links(spark):
     assert vector_links.link_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
+def plain_links(rows, least=0.93):
+    """(id, n_links, component, kept) of each row by comparing all rows with all."""
+    sound = [i is not None and lab is not None and v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for i, v, lab in rows]
+    at = [i for i, ok in enumerate(sound) if ok]
+    linked = np.zeros((len(rows), len(rows)), bool)
+    for kind in {(rows[i][2], len(rows[i][1])) for i in at}:
+        own = [i for i in at if (rows[i][2], len(rows[i][1])) == kind]
+        x = np.array([rows[i][1] for i in own], float)
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        linked[np.ix_(own, own)] = u @ u.T >= least
+    np.fill_diagonal(linked, False)
+    root = forest(len(rows), *np.nonzero(linked))
+    groups = {}
+    for i, r in enumerate(root.tolist()):
+        groups.setdefault(r, []).append(rows[i][0])
+    for i, (key, _, _) in enumerate(rows):
+        component = min((k for k in groups[int(root[i])] if k is not None), default=None)
+        yield key, int(linked[i].sum()), component, key is not None and key == component
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("dimensions", [3, 64])
+def test_vector_links_over_many_lists(spark, monkeypatch, dimensions, kind):
+    """Vectors on a space of few dimensions, in many lists and blocks, two lengths, copies, a hot label, clashing columns."""
+    monkeypatch.setattr(vector_links, "LIST", 40)
+    monkeypatch.setattr(vector_links, "BLOCK", 100)
+    draw = np.random.default_rng(dimensions)
+    base = draw.normal(size=(1500, dimensions)) @ draw.normal(size=(dimensions, 64))
+    if dimensions == 64:
+        base = base[draw.integers(0, 150, 1500)] + 1.5 * draw.normal(size=(1500, 64))
+    base[40:60] = base[40]
+    base = base.astype(np.float32)
+    short = draw.normal(size=(60, 2)).astype(np.float32)
+    values = [[float(x) for x in v] for v in (*base, *short)]
+    rows = [(i, v, 0 if i % 3 else int(i % 9)) for i, v in enumerate(values)]
+    rows += [(5000, None, 1), (5001, [0.0] * 64, 0), (5002, [float("inf")] * 2, 0), (5003, values[3], None), (None, values[3], 0), (5004, [], 0)]
+    table = spark.createDataFrame([(*r, "clash", 1, None) for r in rows], f"vec_id bigint, embedding array<{kind}>, label int, list string, class int, key string").repartition(3)
+    found = vector_links.link_vectors(table).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(plain_links(rows), key=repr)
+
+
+def test_vector_links_in_double_precision(spark):
+    """Two vectors whose cosine lies above the limit, by less than single precision tells."""
+    angle = math.acos(0.93) - 1e-12
+    rows = [(1, [1.0, 0.0], 1), (2, [math.cos(angle), math.sin(angle)], 1), (3, [math.cos(-angle - 2e-12), math.sin(-angle - 2e-12)], 1)]
+    found = {r.vec_id: r.n_links for r in vector_links.link_vectors(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")).collect()}
+    assert found == {1: 1, 2: 1, 3: 0}
+
+
+def test_vector_links_of_equal_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.02], 1), (3, [0.0, 1.0], 1)]
+    found = Counter(tuple(r) for r in vector_links.link_vectors(spark.createDataFrame(rows, "vec_id int, embedding array<float>, label int")).collect())
+    assert {(k[0], k[2], k[3]) for k in found} == {(1, 1, True), (2, 1, False), (3, 3, True)} and sum(found.values()) == 5
+
+
 def test_shards(spark, docs, empty):
     out = shards.balanced_shards(docs, shards=7).collect()
     by_shard = {}
