@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +37,10 @@ OTHERWISE = frozenset("has with no without".split())  # what follows is about an
 STATES = frozenset("open closed enabled disabled".split())
 ABOVE = frozenset("header banner masthead topbar".split())  # around an article, but not inside one
 WITHIN = frozenset("content article post entry story main maincontent articlebody".split())
-# Weights of the classifier: log-odds of content.
+# Weights of the classifier: log-odds of content, set by hand, as the pages carry no labels to fit them on. Links weigh less
+# inside an article, where lists of them belong to the text; a page without any article part is one by itself.
 BIAS, IN_CONTENT, NAMED_CONTENT, AROUND_IT, MILDLY, LONG, LINKED, HEADING, SENTENCE, ITEM, MARKED = -0.8, 4.0, 2.0, -12.0, -2.0, 0.6, -5.0, 0.5, 0.8, -0.5, -1.0
+LINKED_WITHIN, BARE = -2.0, 1.2
 # Weights of the ties.
 NEXT, PARENT, GRANDPARENT = 0.4, 0.8, 0.3
 # A name or form does not count on what holds more than this share of the page's text, and the article or main part with it.
@@ -72,6 +75,8 @@ class Blocks(HTMLParser):
         self.stack: list[tuple] = [("", 0, 0, None, 0, 0)]  # tag, number, unread, innermost mark, content, named
         self.parts: list[str] = []
         self.linked, self.links, self.count = 0, 0, 0
+        self.open: Counter = Counter()  # how often each tag is open
+        self.bare = True  # whether no block stands in what is called an article
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # lines and columns are not needed
@@ -81,13 +86,14 @@ class Blocks(HTMLParser):
             return
         text = " ".join("".join(self.parts).split())
         if text:
-            open_ = [s for s in self.stack if s[0] not in INLINE]
-            tag, mark, content, named = open_[-1][0], *open_[-1][3:]
-            tags = {s[0] for s in open_[-2:]}
-            odds = BIAS + LONG * math.log1p(len(text) / 20) + LINKED * min(1, self.linked / len(text))
+            open_ = list(islice((s for s in reversed(self.stack) if s[0] not in INLINE), 2))
+            tag, mark, content, named = open_[0][0], *open_[0][3:]
+            tags = {s[0] for s in open_}
+            odds = BIAS + LONG * math.log1p(len(text) / 20) + (LINKED_WITHIN if content else LINKED) * min(1, self.linked / len(text))
+            self.bare &= not (content or named)
             odds += (IN_CONTENT if content else NAMED_CONTENT if named else 0)
             odds += HEADING * bool(tags & HEADINGS) + ITEM * (tag == "li") + SENTENCE * (text[-1] in ".!?…。！？\"”»") + MARKED * ("©" in text)
-            self.blocks.append((text, odds, open_[-1][1], open_[-2][1] if len(open_) > 1 else 0, mark))
+            self.blocks.append((text, odds, open_[0][1], open_[1][1] if len(open_) > 1 else 0, mark))
             if mark:
                 mark.size += len(text)
         self.parts, self.linked = [], 0
@@ -95,6 +101,7 @@ class Blocks(HTMLParser):
     def close_through(self, i: int) -> None:
         for tag, *_ in self.stack[i:]:
             self.links -= tag == "a"
+            self.open[tag] -= 1
         del self.stack[i:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -102,7 +109,7 @@ class Blocks(HTMLParser):
             self.push(tag, attrs)
             return
         if tag in VOID:
-            self.parts.append(" " if tag in ("br", "wbr") else "")
+            self.parts.append(" " if tag == "br" else "")
             if tag == "hr":
                 self.flush()
             return
@@ -144,6 +151,7 @@ class Blocks(HTMLParser):
                 mark.main = True
             named = named or bool(words & WITHIN)
             content = content or main
+        self.open[tag] += 1
         self.stack.append((tag, self.count, unread or tag in UNREAD, mark, content, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -152,6 +160,8 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE and tag not in UNREAD:
             self.flush()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 self.close_through(i)
@@ -178,7 +188,8 @@ class Blocks(HTMLParser):
                 m.weight = 0.0
             if m.above:
                 m.weight = min(m.weight, m.above.weight)
-        return [(text, odds + (mark.weight if mark else 0), *holders) for text, odds, *holders, mark in self.blocks]
+        bare = BARE if self.bare else 0.0
+        return [(text, odds + bare + (mark.weight if mark else 0), *holders) for text, odds, *holders, mark in self.blocks]
 
 
 def ties(blocks: list[tuple]) -> dict[tuple[int, int], float]:
