@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings import query
-from bindings.tables import rounded, table
+from bindings.tables import ATOMS_SQL, VALID, molecules, rounded, table
 from solvane.functions.arrays import shift_and_pad
 from solvane.operators import fingerprint, graph, vocab
 from solvane.operators.ranking import global_rank
@@ -260,6 +260,42 @@ def g7_chiral(spark, folder):
     return _bits(fingerprint.fingerprints(nodes.withColumn("chirality", hand), edges, n_bits=2048, radius=2, use_chirality=True))
 
 
+# Graphs of the molecule strings: the tokens of all strings are walked together, a token a turn.
+SMILES_WALK = (
+    VALID
+    + f""", texts as materialized (select id, regexp_extract_all(smiles, {ATOMS_SQL} || '|[-=#$:/\\\\.~()]|%[0-9]{{2}}|[0-9]') as t, regexp_extract_all(smiles, {ATOMS_SQL}) as a from checked where valid),
+turns as (
+  select id, 0 as i, -1 as last, 0 as next, '' as bond, []::int[] as stack, []::struct(r int, a int, b varchar)[] as rings, null::int as src, null::int as dst, null::varchar as made from texts
+  union all
+  select id, i + 1, case when atom then next when tok = ')' then stack[-1] when tok = '.' then -1 else last end, next + atom::int,
+         case when atom or num is not null or tok in ('(', ')', '.') then '' else tok end,
+         case when tok = '(' then list_append(stack, last) when tok = ')' then stack[:-2] else stack end,
+         case when num is null then rings when met is not null then list_filter(rings, lambda x: x.r <> num) else list_append(rings, {{'r': num, 'a': last, 'b': bond}}) end,
+         case when atom and last >= 0 then last when met is not null then met.a end, case when atom and last >= 0 then next when met is not null then last end,
+         case when atom and last >= 0 then bond when met is not null then coalesce(nullif(met.b, ''), bond) end
+  from (select *, (list_filter(rings, lambda x: x.r = num))[1] as met from (
+    select u.*, x.t[i + 1] as tok, regexp_full_match(x.t[i + 1], {ATOMS_SQL}) as atom,
+           case when regexp_full_match(x.t[i + 1], '%[0-9]{{2}}|[0-9]') then replace(x.t[i + 1], '%', '')::int end as num
+    from turns u join texts x using (id) where i < len(x.t)))),
+atoms as materialized (
+  select id as graph_id, node_id, upper(substr(s, 1, 1)) || substr(s, 2) || case when regexp_matches(s, '^[a-z]') then '|aromatic' else '' end as label
+  from (select id, (nth - 1)::int as node_id, regexp_extract(token, '^\\[?[0-9]*([A-Z][a-z]?|[a-z][a-z]?)', 1) as s from (select id, unnest(a) as token, generate_subscripts(a, 1) as nth from texts))),
+plain as (
+  select t.id as graph_id, src, dst, case when made = '' then case when p.label like '%|aromatic' and q.label like '%|aromatic' then ':' else '-' end when made in ('/', '\\') then '-' else made end as bond
+  from turns t join atoms p on p.graph_id = t.id and p.node_id = src join atoms q on q.graph_id = t.id and q.node_id = dst)"""
+)
+
+
+@query("g1_nodes_from_smiles", f"with recursive {SMILES_WALK} select graph_id, node_id, label from atoms")
+def g1_nodes_from_smiles(spark, folder):
+    return graph.graphs_from_smiles(molecules(spark, folder), "id", "smiles")[0]
+
+
+@query("g1_edges_from_smiles", f"with recursive {SMILES_WALK} select graph_id, src, dst, bond from plain union all select graph_id, dst, src, bond from plain")
+def g1_edges_from_smiles(spark, folder):
+    return graph.graphs_from_smiles(molecules(spark, folder), "id", "smiles")[1]
+
+
 def _spread(features):
     return rounded(features.select(*[c for c in features.columns if c != "h"], F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1")))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solvane.functions import smiles
 from solvane.operators.ranking import global_rank
 from solvane.operators.vocab import encode_rows
 from solvane.storage import cut, stage
@@ -46,6 +47,20 @@ def batch_graphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return numbered, edges.join(source, [GRAPH, "src"]).join(target, [GRAPH, "dst"])
 
 
+def graphs_from_smiles(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the atoms that SMILES strings write down, ``graph_id`` being the id.
+
+    Strings that are not lexically valid have no graph, and neither have null
+    ones.  Hydrogens are nodes where they are written as atoms of their own.
+    """
+    valid = df.filter(smiles.looks_valid(text)).select(F.col(id_col).alias(GRAPH), F.col(text).alias("_text"))
+    listed = valid.select(GRAPH, F.posexplode(smiles.atom_tokens("_text")).alias("node_id", "_token"))
+    nodes = listed.select(GRAPH, "node_id", node_label(smiles.atom_symbol(F.col("_token")), smiles.is_aromatic(F.col("_token"))).alias("label"))
+    # The outer form keeps Spark from working out the bonds a second time in a filter.
+    bonds = valid.select(GRAPH, F.inline_outer(smiles.bonds("_text"))).filter("src is not null")
+    return nodes, mirror_edges(bonds)
+
+
 # Weisfeiler-Lehman labels ----------------------------------------------------
 
 

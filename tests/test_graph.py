@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,58 @@ def test_centres_with_equal_neighbours_have_no_hand(spark):
     nodes, edges = hands(spark, 1)
     same = nodes.withColumn("label", F.when(F.col("node_id") == 2, "N").otherwise(F.col("label")))
     assert graph.chiral_marks(same, edges, graph.fragment_hashes(same, edges, 2)[2]).count() == 0
+
+
+MOLECULES = ["C", "CC(=O)O", "c1ccccc1", "C1=CC=CC=C1", "c1ccc2ccccc2c1", "CC(C)(C(F)(Cl)Br)N", "C%12CC%12", "C1CC1C1CC1", "[nH]1cccc1-c1cc[se]c1", "C/C=C\\C", "[Na+].[Cl-]", "C=1CCCCC1", "N#CC(=O)[SiH2]c1ncsc1", "C(C)(C)", "O=C1C=CC(=O)c2ccccc12"]
+
+
+def plain_graph(text):
+    """Atoms and bonds token by token, as a reader of the grammar would."""
+    atoms, bonds, stack, rings, last, bond = [], [], [], {}, None, ""
+    for token in re.findall(r"\[[^\[\]]+\]|Br|Cl|%\d\d|.", text):
+        if token == "(":
+            stack.append(last)
+        elif token == ")":
+            last = stack.pop()
+        elif token == ".":
+            last = None
+        elif re.fullmatch(r"%\d\d|\d", token):
+            number = int(token.strip("%"))
+            if number in rings:
+                other, written = rings.pop(number)
+                bonds.append((other, last, written or bond))
+            else:
+                rings[number] = (last, bond)
+            bond = ""
+        elif token in "-=#$:/\\~":
+            bond = token
+        else:
+            symbol = re.match(r"\[?\d*([A-Z][a-z]?|[a-z][a-z]?)", token)[1]
+            atoms.append((symbol.capitalize(), symbol[0].islower()))
+            if last is not None:
+                bonds.append((last, len(atoms) - 1, bond))
+            last, bond = len(atoms) - 1, ""
+    plain = [(a, b, (":" if atoms[a][1] and atoms[b][1] else "-") if not k else "-" if k in "/\\" else k) for a, b, k in bonds]
+    return [s + "|aromatic" * aromatic for s, aromatic in atoms], sorted(plain + [(b, a, k) for a, b, k in plain])
+
+
+def test_graphs_from_strings(spark):
+    df = spark.createDataFrame([*enumerate(MOLECULES), (100, "C(C"), (101, None), (102, "C1CC"), (103, "hello")], "id int, text string")
+    nodes, edges = graph.graphs_from_smiles(df, "id", "text")
+    found_nodes, found_edges = {}, {}
+    for r in nodes.orderBy("graph_id", "node_id").collect():
+        found_nodes.setdefault(r["graph_id"], []).append(r["label"])
+    for r in edges.collect():
+        found_edges.setdefault(r["graph_id"], []).append((r["src"], r["dst"], r["bond"]))
+    for i, text in enumerate(MOLECULES):
+        labels, bonds = plain_graph(text)
+        assert found_nodes[i] == labels and sorted(found_edges.get(i, [])) == bonds, text
+    assert max(found_nodes) < 100
+    order = {r["node_id"]: r["position"] for r in graph.bfs_order(nodes, edges).filter("graph_id = 4").collect()}
+    assert len(order) == 10
+
+
+def test_equal_molecules_have_equal_fingerprints(spark):
+    df = spark.createDataFrame([(1, "CC(=O)O"), (2, "OC(C)=O"), (3, "CC(O)O")], "id int, text string")
+    found = {r["graph_id"]: r["bits"] for r in fingerprint.fingerprints(*graph.graphs_from_smiles(df, "id", "text"), hashed=True).collect()}
+    assert found[1] == found[2] != found[3]
