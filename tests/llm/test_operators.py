@@ -325,6 +325,21 @@ def test_curriculum(spark, docs, empty):
     assert curriculum.mixed(empty).count() == 0
 
 
+def test_reruns_take_the_same_rows_of_equal_ids(spark, monkeypatch):
+    rows = [(7, f"{w} b c", "s") for w in "nopqrstuvwxyz"] + [(8, "one two", "t"), (8, None, "t")]
+    schema = "doc_id bigint, text string, source string"
+
+    def taken(parts, seed):
+        draw = random.Random(seed)
+        df = spark.createDataFrame(draw.sample(rows, len(rows)), schema).repartition(parts)
+        return sorted(((r.text or ""), r.taken, tuple(r.places)) for r in curriculum.plan(df).select("row.text", "taken", "places").collect())
+
+    first = taken(1, 0)
+    assert len({t for _, t, _ in first}) > 1 and all(taken(p, s) == first for p, s in ((3, 1), (5, 2)))
+    monkeypatch.setattr(curriculum, "small", lambda sized: False)
+    assert taken(2, 3) == first
+
+
 def test_quality_on_held_out_documents(spark):
     draw = random.Random(4)
     neutral = ["".join(draw.choice("aeioulnrst") for _ in range(draw.randint(2, 7))) for _ in range(300)]
