@@ -82,7 +82,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-@query("op2_embedding_links")
+OP2 = """
+with recursive v as materialized (
+    select vec_id, label, embedding::double[] as x, sqrt(list_dot_product(embedding::double[], embedding::double[])) as length from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as materialized (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id
+    where case when len(a.x) = len(b.x) then list_dot_product(a.x, b.x) / (a.length * b.length) end >= 0.93
+), r(node, root) as (
+    select vec_id, vec_id from v union select l.b, r.root from r join l on l.a = r.node
+), c as (
+    select node, min(root) as root from r group by node
+), n as (
+    select a, count(*) as n from l group by a
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(root, vec_id)::bigint as component_id, coalesce(vec_id = coalesce(root, vec_id), false) as kept
+from embeddings left join c on vec_id = c.node left join n on vec_id = n.a
+"""
+
+
+@query("op2_embedding_links", OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvane.llm.vector_links import link_vectors
 
@@ -132,7 +152,46 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24)
 
 
-@query("op11_vector_codes")
+def lloyd_sql(rounds: int = 4) -> str:
+    """Rounds of Lloyd's method as one table of choices (``a``) and one of entries (``b``) for each round."""
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""a{turn} as materialized (
+    select r, m.p, any_value(m.x) as x, min((list_dot_product(m.x, m.x) - 2 * list_dot_product(m.x, b.x) + list_dot_product(b.x, b.x), e)) as near
+    from m join b{turn} b on m.p = b.p group by r, m.p
+)""")
+        if turn < rounds:
+            steps.append(f"""c{turn} as (
+    select p, near[2] as e, unnest(generate_series(1, len(x))) as i, unnest(x)::bigint as y from a{turn}
+), s{turn} as (
+    select p, e, i, sum(y)::bigint as s, count(*)::bigint as n from c{turn} group by p, e, i
+), t{turn} as (
+    select p, e, list(((s - ((s % n) + n) % n) // n)::double order by i) as x from s{turn} group by p, e
+), b{turn + 1} as materialized (
+    select b.p, b.e, coalesce(t.x, b.x) as x from b{turn} b left join t{turn} t on b.p = t.p and b.e = t.e
+)""")
+    return f"""
+with k as materialized (
+    select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as x from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+), m as materialized (
+    select r, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] as x from k, range(4) parts(p)
+), f as (
+    select r, row_number() over (order by vec_id nulls last, x) - 1 as e from k qualify e < 256
+), b0 as materialized (
+    select p, e, x from m join f using (r)
+), {", ".join(steps)}, w as (
+    select p, e, unnest(generate_series(1, len(x))) as i, unnest(x)::bigint as y from b{rounds}
+), h as (
+    select sha256(string_agg(y::varchar, ',' order by p, e, i)) as h from w
+), g as (
+    select r, string_agg(format('{{:02x}}', near[2]), '' order by p) as code, sum(near[1])::bigint as error from a{rounds} group by r
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256 from k join g using (r), h
+"""
+
+
+@query("op11_vector_codes", lloyd_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from solvane.llm.codebooks import code_vectors
 
