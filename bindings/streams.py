@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from bindings import query
@@ -43,9 +45,11 @@ def st2(spark, folder):
 
 @query("st2_early_stopping", stopping_sql(10, 5.0, 1))
 def st2_stopping(spark, folder):
-    """The checks of all trials arrive in files of mixed order, a file a batch."""
+    """The checks of all trials arrive in files of mixed order, a quarter of the files a batch."""
     source = scratch_path(spark, "checks")
     log = metric_log(spark, folder)
-    log.repartition(4, F.xxhash64("trial", "epoch")).write.parquet(source)
-    stream = logs.read_log(spark, source, log.schema, per_trigger=1)
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    log.repartition(files, F.xxhash64("trial", "epoch")).write.parquet(source)
+    arrived = len(spark.read.schema(log.schema).parquet(source).inputFiles())
+    stream = logs.read_log(spark, source, log.schema, per_trigger=math.ceil(arrived / 4))
     return _run(spark, logs.stopping_progress(stream, 10, 5.0), "trial").drop("checks", "waiting")

@@ -112,14 +112,19 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str, key: str) -> No
     There are two copies of the result.  A batch reads the one that the batch
     before it wrote, puts its changed groups in and overwrites the other, so
     that the result takes no more room with more batches, and a batch that is
-    repeated after a restart reads and writes the same again.
+    repeated after a restart reads and writes the same again.  The changed
+    groups are written down beside ``path`` before they are put in, so that a
+    batch goes through its state once.
     """
+    changes = f"{path.rstrip('/')}-changes"
 
     def write(batch: DataFrame, number: int) -> None:
         merged = batch
         if number:
+            batch.write.mode("overwrite").parquet(changes)
+            changed = batch.sparkSession.read.parquet(changes)
             before = batch.sparkSession.read.parquet(f"{path}/copy={(number - 1) % 2}").drop("batch")
-            merged = before.join(batch.select(key), key, "left_anti").unionByName(batch)
+            merged = before.join(changed.select(key), key, "left_anti").unionByName(changed)
         merged.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/copy={number % 2}")
 
     query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()

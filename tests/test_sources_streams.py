@@ -161,6 +161,25 @@ def test_result_table_does_not_grow_with_batches(spark, tmp_path):
     assert max(files[3:]) <= 2 * 2 * 2  # two copies of a state that is written by few tasks
 
 
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    """Three batches, the later two merged into what is there: each changed group is worked out once."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(3):
+        spark.createDataFrame([(t, i, float(t + i)) for t in range(5)], CHECKS).coalesce(1).write.mode("append").parquet(source)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(part.num_rows)
+            yield part
+
+    log = logs.read_log(spark, source, spark.createDataFrame([], CHECKS).schema, per_trigger=1)
+    found = logs.stopping_progress(log, 9)
+    logs.write_updates(found.mapInArrow(counted, found.schema), f"{out}/result", f"{out}/checkpoint", "trial")
+    assert {r["trial"]: r["checks"] for r in logs.latest_state(spark, f"{out}/result").collect()} == {t: 3 for t in range(5)}
+    assert read.value == 15
+
+
 def test_metric_log_folders(spark, tmp_path):
     log = spark.range(40).select((F.col("id") % 2).alias("trial"), (F.col("id") % 3).alias("fold"), F.col("id").alias("epoch"))
     for _ in range(2):
