@@ -46,7 +46,7 @@ def m1(spark, folder):
 @query("m2_forest_classification")
 def m2(spark, folder):
     binned = binning.with_balanced_bin(event_features(spark, folder), "measured", 4)
-    data = cut(split.hold_out(binned, "id", 0.2, 0))
+    data = cut(split.hold_out(binned, "id", 0.2, 0).filter("bin is not null"))  # values outside of all bins have no class
     model = models.forest_classifier(FOREST).fit(data.filter("ml_phase = 'train'"))
     return model.transform(data).groupBy("ml_phase").agg(metrics.accuracy("bin", "predicted"))
 
