@@ -1,7 +1,10 @@
-"""Lexing of SMILES strings with built-in string functions."""
+"""Lexing of SMILES strings with built-in string functions, and a walk along their bonds."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,55 +77,42 @@ def looks_valid(smiles: str | Column) -> Column:
     return F.coalesce(symbols & branches_close(smiles) & rings_close(smiles), F.lit(False))
 
 
-BONDS = "array<struct<src:int,dst:int,bond:string>>"
+TOKEN = re.compile(f"(?P<atom>{ATOM_PATTERN})|(?P<ring>{RING_PATTERN})|{OTHER_PATTERN}")
+AROMATIC = re.compile(r"\[?[0-9]*[a-z]")
 
 
-def bonds(smiles: str | Column) -> Column:
+def bonds(smiles: str) -> Iterator[tuple[int, int, str]]:
     """Bonds (src, dst, bond) between the atom tokens of a valid string, atoms numbered from left to right.
 
-    One fold over the tokens: the last atom, a stack of the atoms where branches
+    One walk over the tokens: the last atom, a stack of the atoms where branches
     begin, and a table of open rings.  A bond that is not written is ``:``
     between two aromatic atoms and ``-`` otherwise; the directions ``/`` and
     ``\\`` are ``-``.
     """
-    tokens = F.regexp_extract_all(as_column(smiles), F.lit(f"{ATOM_PATTERN}|{OTHER_PATTERN}"), F.lit(0))
-    start = F.struct(
-        F.lit(-1).alias("last"),
-        F.lit(0).alias("next"),
-        F.lit("").alias("bond"),
-        F.array().cast("array<int>").alias("stack"),
-        F.array().cast("array<struct<ring:int,atom:int,bond:string>>").alias("rings"),
-        F.array().cast(BONDS).alias("bonds"),
-    )
-
-    def made(src: Column, dst: Column, bond: Column) -> Column:
-        return F.array(F.struct(src.alias("src"), dst.alias("dst"), bond.alias("bond")))
-
-    def step(s: Column, token: Column) -> Column:
-        atom, ring = token.rlike(f"^({ATOM_PATTERN})$"), token.rlike(f"^({RING_PATTERN})$")
-        number = F.when(ring, F.regexp_replace(token, "%", "").cast("int"))
-        opened = F.get(F.filter(s["rings"], lambda r: r["ring"] == number), F.lit(0))
-        closes = ring & opened["atom"].isNotNull()
-        new = F.when(atom & (s["last"] >= 0), made(s["last"], s["next"], s["bond"]))
-        new = new.when(closes, made(opened["atom"], s["last"], F.coalesce(F.nullif(opened["bond"], F.lit("")), s["bond"])))
-        last = F.when(atom, s["next"]).when(token == ")", F.coalesce(F.try_element_at(s["stack"], F.lit(-1)), F.lit(-1))).when(token == ".", -1).otherwise(s["last"])
-        stack = F.when(token == "(", F.concat(s["stack"], F.array(s["last"]))).when(token == ")", F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"])
-        rings = F.when(closes, F.filter(s["rings"], lambda r: r["ring"] != number))
-        rings = rings.when(ring, F.concat(s["rings"], F.array(F.struct(number.alias("ring"), s["last"].alias("atom"), s["bond"].alias("bond"))))).otherwise(s["rings"])
-        return F.struct(
-            last.alias("last"),
-            (s["next"] + atom.cast("int")).alias("next"),
-            F.when(atom | ring | token.isin("(", ")", "."), "").otherwise(token).alias("bond"),
-            stack.alias("stack"),
-            rings.alias("rings"),
-            F.concat(s["bonds"], F.coalesce(new, F.array().cast(BONDS))).alias("bonds"),
-        )
-
-    aromatic = F.transform(atom_tokens(smiles), is_aromatic)
-
-    def named(b: Column) -> Column:
-        plain = F.when(F.get(aromatic, b["src"]) & F.get(aromatic, b["dst"]), ":").otherwise("-")
-        bond = F.when(b["bond"] == "", plain).when(b["bond"].isin("/", "\\"), "-").otherwise(b["bond"])
-        return F.struct(b["src"].alias("src"), b["dst"].alias("dst"), bond.alias("bond"))
-
-    return F.transform(F.aggregate(tokens, start, step, lambda s: s["bonds"]), named)
+    nowhere = (-1, False)
+    stack, rings, last, count, bond = [], {}, nowhere, 0, ""
+    for token in TOKEN.finditer(smiles):
+        text, kind, met, written = token[0], token.lastgroup, None, bond
+        bond = ""
+        if kind == "atom":
+            here = (count, AROMATIC.match(text) is not None)
+            met = (last, here) if last[0] >= 0 else None
+            last, count = here, count + 1
+        elif kind == "ring":
+            number = int(text.replace("%", ""))
+            if number in rings:
+                opened, first = rings.pop(number)
+                met, written = (opened, last), first or written
+            else:
+                rings[number] = (last, written)
+        elif text == "(":
+            stack.append(last)
+        elif text == ")":
+            last = stack.pop() if stack else nowhere
+        elif text == ".":
+            last = nowhere
+        else:
+            bond = text
+        if met is not None:
+            plain = ":" if met[0][1] and met[1][1] else "-"
+            yield met[0][0], met[1][0], "-" if written in ("/", "\\") else written or plain

@@ -7,8 +7,10 @@ and an aggregation keyed by (graph, node), never one task per graph.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from solvane.functions import smiles
 from solvane.operators.ranking import global_rank
@@ -20,6 +22,7 @@ GRAPH = "graph_id"
 ROW_EDGES = 512
 # Bits of a hashed label; sums of them are taken within this many bits.
 HASH_BITS = 60
+BOND_COLUMNS = (("src", IntegerType()), ("dst", IntegerType()), ("bond", StringType()))
 
 
 def node_label(symbol: Column, aromatic: Column) -> Column:
@@ -56,11 +59,18 @@ def graphs_from_smiles(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame
     valid = df.filter(smiles.looks_valid(text)).select(F.col(id_col).alias(GRAPH), F.col(text).alias("_text"))
     listed = valid.select(GRAPH, F.posexplode(smiles.atom_tokens("_text")).alias("node_id", "_token"))
     nodes = listed.select(GRAPH, "node_id", node_label(smiles.atom_symbol(F.col("_token")), smiles.is_aromatic(F.col("_token"))).alias("label"))
-    # The outer form keeps Spark from working out the bonds a second time in a filter.
-    bonds = valid.select(GRAPH, F.inline_outer(smiles.bonds("_text"))).filter("src is not null")
+    bonds = valid.mapInArrow(_bonds, StructType([valid.schema[GRAPH], *(StructField(n, k) for n, k in BOND_COLUMNS)]))
     return nodes, mirror_edges(bonds)
 
 
+def _bonds(batches):
+    for batch in batches:
+        found = [(row, *bond) for row, text in enumerate(batch.column("_text").to_pylist()) for bond in smiles.bonds(text)]
+        rows, src, dst, bond = zip(*found) if found else ((), (), (), ())
+        ids = batch.column(GRAPH).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(src, pa.int32()), pa.array(dst, pa.int32()), pa.array(bond, pa.string())], [GRAPH, "src", "dst", "bond"])
+
+
 # Weisfeiler-Lehman labels ----------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,3 +283,11 @@ def test_equal_molecules_have_equal_fingerprints(spark):
     df = spark.createDataFrame([(1, "CC(=O)O"), (2, "OC(C)=O"), (3, "CC(O)O")], "id int, text string")
     found = {r["graph_id"]: r["bits"] for r in fingerprint.fingerprints(*graph.graphs_from_smiles(df, "id", "text"), hashed=True).collect()}
     assert found[1] == found[2] != found[3]
+
+
+def test_reading_a_string_grows_with_its_length(spark):
+    """Long chains were once searched for aromatic atoms again for each of their bonds."""
+    df = spark.createDataFrame([(i, "c1ccccc1" + "C" * 1200) for i in range(40)], "id int, text string")
+    started = time.monotonic()
+    assert graph.graphs_from_smiles(df, "id", "text")[1].count() == 40 * 2 * (1200 + 6)
+    assert time.monotonic() - started < 30
