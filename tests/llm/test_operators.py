@@ -325,6 +325,12 @@ def test_curriculum(spark, docs, empty):
     assert curriculum.mixed(empty).count() == 0
 
 
+def test_what_is_taken_follows_the_schedule(spark, docs):
+    """The tilt, which only the schedule reads, belongs to the plan of the columns that op8 returns."""
+    taken = curriculum.plan(docs, carry=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
+    assert "SQRT" in taken._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
 def test_reruns_take_the_same_rows_of_equal_ids(spark, monkeypatch):
     rows = [(7, f"{w} b c", "s") for w in "nopqrstuvwxyz"] + [(8, "one two", "t"), (8, None, "t")]
     schema = "doc_id bigint, text string, source string"
