@@ -11,7 +11,7 @@ from solvane.functions.arrays import shift_and_pad
 from solvane.operators import fingerprint, graph, vocab
 from solvane.operators.ranking import global_rank
 from solvane.plans.datasets import with_fingerprints
-from solvane.storage import cut, stage
+from solvane.storage import cut, deal, stage
 
 GRAPHS = """base as materialized (
   select l_orderkey as graph_id, l_linenumber, min(l_returnflag || l_linestatus) as label, avg(l_quantity) as h0, avg(l_tax) as h1
@@ -33,7 +33,7 @@ def nodes_and_edges(spark, folder):
         F.col("l_orderkey").alias("graph_id"), "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("label"), "l_quantity", "l_tax"
     )
     # Dealt by order once: the grouping and the windows need no other shuffle, and share one sort.
-    lines = lines.repartition("graph_id").groupBy("graph_id", "l_linenumber")
+    lines = deal(lines, lines.count(), "graph_id").groupBy("graph_id", "l_linenumber")
     lines = lines.agg(F.min("label").alias("label"), F.array(F.avg("l_quantity"), F.avg("l_tax")).alias("h"))
     along = Window.partitionBy("graph_id").orderBy("l_linenumber")
     around = lines.select(

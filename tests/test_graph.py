@@ -291,3 +291,12 @@ def test_reading_a_string_grows_with_its_length(spark):
     started = time.monotonic()
     assert graph.graphs_from_smiles(df, "id", "text")[1].count() == 40 * 2 * (1200 + 6)
     assert time.monotonic() - started < 30
+
+
+def test_tasks_grow_in_number_with_the_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("solvane.storage.TASK_ROWS", 10)
+    rows = [(g, n, "A" if n % 2 else "N", "F", 1.0 * n, 0.1) for g in range(60) for n in range(1, 6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes, edges = nodes_and_edges(spark, str(tmp_path))
+    assert nodes.count() == 300 and nodes.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == 30
+    assert graph.add_self_loops(nodes, edges).filter("src = dst").count() == 300
