@@ -8,14 +8,14 @@ and an aggregation keyed by (graph, node), never one task per graph.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from solvane.functions import smiles
 from solvane.operators.ranking import global_rank
 from solvane.operators.vocab import encode_rows
-from solvane.storage import cut, stage
+from solvane.storage import TASK_ROWS, cut, deal, stage
 
 GRAPH = "graph_id"
 # Graphs with up to this many edge rows are walked within one row; larger ones level by level.
@@ -71,6 +71,40 @@ def _bonds(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(src, pa.int32()), pa.array(dst, pa.int32()), pa.array(bond, pa.string())], [GRAPH, "src", "dst", "bond"])
 
 
+# Values of nodes brought to edges and back -----------------------------------
+#
+# Both are laid under each other and met in windows keyed by (graph, node). Tables that are dealt by graph, as
+# counted rows are, meet where they lie, in as many tasks as they come in; a join would deal them anew each time.
+
+
+def with_node(nodes: DataFrame, edges: DataFrame, end: str, column: str, name: str) -> DataFrame:
+    """``edges`` with ``column`` of the node at ``end`` as ``name``, in the rows that an inner join gives."""
+    held = nodes.select(GRAPH, F.col("node_id").alias("_at"), F.struct(F.col(column).alias("v")).alias("_node")).filter("_at is not null")
+    asked = edges.withColumn("_at", F.col(end)).filter("_at is not null")
+    both = held.unionByName(asked, allowMissingColumns=True).filter(F.col(GRAPH).isNotNull())
+    met = both.withColumn("_nodes", F.collect_list("_node").over(Window.partitionBy(GRAPH, "_at"))).filter("_node is null")
+    return met.select(*edges.columns, F.explode("_nodes").alias("_v")).select(*edges.columns, F.col("_v.v").alias(name))
+
+
+def beside(nodes: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """``nodes`` with ``column`` of ``found``, which has a row for a (graph, node) at most, or null: the rows of a left join."""
+    kept = nodes.withColumn("_own", F.lit(True))
+    known = found.select(GRAPH, "node_id", column).filter(F.col(GRAPH).isNotNull() & F.col("node_id").isNotNull())
+    own = Window.partitionBy(GRAPH, "node_id")
+    met = kept.unionByName(known, allowMissingColumns=True).withColumn(column, F.first(column, ignorenulls=True).over(own))
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    return met.filter("_own").select(*(F.col(c).cast(kinds[c]).alias(c) for c in nodes.columns), column)
+
+
+def _dealt(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables, dealt by graph to tasks by their counted rows, unless a graph is too large for a task."""
+    largest = edges.groupBy(GRAPH).count().agg(F.max("count")).first()[0] or 0
+    if largest > TASK_ROWS:
+        return nodes, edges
+    rows = max(nodes.count(), edges.count())
+    return deal(nodes, rows, GRAPH), deal(edges, rows, GRAPH)
+
+
 # Weisfeiler-Lehman labels ----------------------------------------------------
 
 
@@ -80,8 +114,7 @@ def _neighbourhoods(nodes: DataFrame, edges: DataFrame, bond: str = "bond") -> D
     Equal neighbours are counted before they are listed, so a node with very
     many neighbours is reduced on the map side.
     """
-    ends = nodes.select(GRAPH, F.col("node_id").alias("dst"), F.col("label").alias("_other"))
-    around = edges.join(ends, [GRAPH, "dst"])
+    around = with_node(nodes, edges.select(GRAPH, "src", "dst", bond), "dst", "label", "_other")
     counted = around.groupBy(GRAPH, "src", "_other", bond).agg(F.count("*").alias("_n"))
     entry = F.struct(F.concat_ws("/", "_other", F.col(bond).cast("string")).alias("k"), "_n")
     listed = counted.groupBy(GRAPH, F.col("src").alias("node_id")).agg(F.sort_array(F.collect_list(entry)).alias("_list"))
@@ -92,14 +125,12 @@ def relabel(nodes: DataFrame, edges: DataFrame, bond: str = "bond") -> DataFrame
     """One round: each label becomes the label with its neighbourhood, as text."""
     around = _neighbourhoods(nodes, edges, bond)
     text = F.concat(F.col("label"), F.lit("("), F.coalesce("around", F.lit("")), F.lit(")"))
-    return nodes.join(around, [GRAPH, "node_id"], "left").select(GRAPH, "node_id", text.alias("label"))
+    return beside(nodes.select(GRAPH, "node_id", "label"), around, "around").select(GRAPH, "node_id", text.alias("label"))
 
 
 def relabel_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose bond is the sorted pair of end labels with the old bond."""
-    first = nodes.select(GRAPH, F.col("node_id").alias("src"), F.col("label").alias("_a"))
-    second = nodes.select(GRAPH, F.col("node_id").alias("dst"), F.col("label").alias("_b"))
-    joined = edges.join(first, [GRAPH, "src"]).join(second, [GRAPH, "dst"])
+    joined = with_node(nodes, with_node(nodes, edges, "src", "label", "_a"), "dst", "label", "_b")
     text = F.concat(F.least("_a", "_b"), F.lit("~"), F.greatest("_a", "_b"), F.lit("/"), F.col("bond").cast("string"))
     return joined.select(GRAPH, "src", "dst", text.alias("bond"))
 
@@ -122,7 +153,7 @@ def fragments(nodes: DataFrame, edges: DataFrame, radius: int, short: bool = Fal
             edges = relabel_edges(current, edges)
             if short:
                 edges = edges.withColumn("bond", F.md5("bond"))
-            labelled, edges = stage(labelled, "labels"), stage(edges, "bonds")
+            labelled, edges = _dealt(stage(labelled, "labels"), stage(edges, "bonds"))
         rounds.append(labelled)
     return rounds
 
@@ -292,10 +323,10 @@ def _mean_vector(vector: str, width: int) -> Column:
 
 def mean_of_neighbours(features: DataFrame, edges: DataFrame, width: int, vector: str = "h") -> DataFrame:
     """New vector of each node: the mean over its in-neighbours, zeros if there are none."""
-    sent = edges.join(features.select(GRAPH, F.col("node_id").alias("src"), vector), [GRAPH, "src"])
+    sent = with_node(features, edges.select(GRAPH, "src", "dst"), "src", vector, vector)
     received = sent.groupBy(GRAPH, F.col("dst").alias("node_id")).agg(_mean_vector(vector, width).alias("_new"))
     zeros = F.array(*[F.lit(0.0)] * width)
-    joined = features.select(GRAPH, "node_id").join(received, [GRAPH, "node_id"], "left")
+    joined = beside(features.select(GRAPH, "node_id"), received, "_new")
     return joined.select(GRAPH, "node_id", F.coalesce("_new", zeros).alias(vector))
 
 

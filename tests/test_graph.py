@@ -300,3 +300,24 @@ def test_tasks_grow_in_number_with_the_lines(spark, tmp_path, monkeypatch):
     nodes, edges = nodes_and_edges(spark, str(tmp_path))
     assert nodes.count() == 300 and nodes.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == 30
     assert graph.add_self_loops(nodes, edges).filter("src = dst").count() == 300
+
+
+def test_values_of_nodes_meet_edges_in_the_rows_of_joins(spark):
+    nodes = spark.createDataFrame([(1, 0, "C"), (1, 0, "N"), (1, 1, None), (2, 0, "O"), (None, 0, "S"), (3, None, "P")], "graph_id bigint, node_id int, label string")
+    edges = spark.createDataFrame([(1, 0, 1, "1"), (1, 1, 0, "1"), (1, 1, 0, "1"), (2, 0, 5, "1"), (None, 0, 0, "1"), (3, None, None, "2")], "graph_id bigint, src int, dst int, bond string")
+    told = nodes.select("graph_id", F.col("node_id").alias("dst"), F.col("label").alias("found"))
+    joined = edges.join(told, ["graph_id", "dst"]).select("graph_id", "src", "dst", "bond", "found")
+    assert sorted(map(str, graph.with_node(nodes, edges, "dst", "label", "found").collect())) == sorted(map(str, joined.collect()))
+    found = spark.createDataFrame([(1, 0, "x"), (1, 1, None), (4, 0, "y"), (None, 0, "z"), (3, None, "w")], "graph_id bigint, node_id int, told string")
+    met = graph.beside(nodes, found, "told")
+    assert sorted(map(str, met.collect())) == sorted(map(str, nodes.join(found, ["graph_id", "node_id"], "left").collect()))
+    assert met.dtypes == [*nodes.dtypes, ("told", "string")]
+
+
+@pytest.mark.parametrize("work", [graph.relabel, lambda n, e: graph.mean_of_neighbours(n.withColumn("h", F.array(F.lit(1.0))), e, 1)])
+def test_dealt_graphs_are_not_dealt_again(spark, work):
+    """A join by (graph, node) would deal them to the fixed number of shuffle partitions, whatever their rows."""
+    _, _, nodes, edges = random_graphs(spark)
+    done = work(nodes.repartition(7, "graph_id"), edges.repartition(7, "graph_id"))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
