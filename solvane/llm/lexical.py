@@ -14,12 +14,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solvane.llm.treaps import Best, Treap, search as descend
 from solvane.llm.words import gathered, parcels
-from solvane.storage import stage
+from solvane.storage import scratch_path, stage
 
 # Fixed values of the scoring rule.
 WEIGHT_SCALE, IMPACT_SCALE, TF_SCALE, LENGTH_SCALE = 1000, 1_000_000_000, 1000, 8
@@ -46,8 +46,15 @@ def split_terms(text: bytes) -> list[bytes]:
 class Index:
     """A written index: ``grids`` and the counts of the corpus."""
 
-    def __init__(self, grids: DataFrame, documents: int, terms: int, id_type: str):
-        self.grids, self.documents, self.terms, self.id_type = grids, documents, terms, id_type
+    def __init__(self, spark: SparkSession, path: str, documents: int, terms: int, id_type: str):
+        self.grids, self.path, self.documents, self.terms, self.id_type = spark.read.parquet(path), path, documents, terms, id_type
+
+    def one_by_one(self) -> DataFrame:
+        """The grids for a Python function that gets one at a time, as a grid is megabytes: by a session of its own, whose settings no other query meets."""
+        narrow = self.grids.sparkSession.newSession()
+        narrow.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        narrow.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1")
+        return narrow.read.schema(self.grids.schema).parquet(self.path)
 
 
 def corpus_counts(docs: DataFrame) -> tuple[int, int]:
@@ -112,7 +119,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     schema = f"ids array<{id_type}>, terms array<string>, df array<bigint>, " + ", ".join(f"{k} binary" for k in Treap.ARRAYS)
-    return Index(stage(read.mapInArrow(batches, schema), "grids"), documents, terms, id_type)
+    path = scratch_path(docs.sparkSession, "grids")
+    read.mapInArrow(batches, schema).write.parquet(path)
+    return Index(docs.sparkSession, path, documents, terms, id_type)
 
 
 TYPES = {"masks": np.uint8, "sizes": np.int64}
@@ -179,4 +188,7 @@ def _search_block(index: Index, rows: pa.Table, most: int, kind: str) -> DataFra
         )
 
     columns = ["ids", "terms", *Treap.ARRAYS]
-    return index.grids.select(*columns).mapInArrow(batches, f"item {kind}, doc {index.id_type}, score bigint")
+    schema = f"item {kind}, doc {index.id_type}, score bigint"
+    path = scratch_path(index.grids.sparkSession, "found")
+    index.one_by_one().select(*columns).mapInArrow(batches, schema).write.parquet(path)
+    return index.grids.sparkSession.read.schema(schema).parquet(path)

@@ -298,3 +298,18 @@ def test_noise_contrastive_steps_follow_the_gradient():
             strong += 1
             assert np.sign(change[i]) == -np.sign(slope)
     assert strong > 20
+
+
+def test_a_task_of_the_search_gets_one_grid_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "GRID_DOCUMENTS", 2)
+    docs = spark.createDataFrame([(i, f"word{i} other") for i in range(12)], "doc_id bigint, text string").coalesce(1)
+    index = lexical.build_index(docs)
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_pydict({"n": [len(part)]})
+
+    assert [r.n for r in index.one_by_one().mapInArrow(sizes, "n bigint").collect()] == [1] * 6
+    items = spark.createDataFrame([(1, "word7")], "item_id bigint, text string")
+    assert [(r.rank, r.doc_id) for r in lexical.search(index, items).collect()] == [(1, 7)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "1"
