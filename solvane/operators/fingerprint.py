@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvane.functions.arrays import bit_columns
-from solvane.operators.graph import GRAPH, chiral_marks, fragment_hashes, fragments
+from solvane.operators.graph import GRAPH, fragment_hashes, fragments, hashed_rows
 
 
 def fold_label(label: Column, n_bits: int) -> Column:
@@ -25,9 +27,7 @@ def fingerprint_bits(nodes: DataFrame, edges: DataFrame, n_bits: int, radius: in
     if not use_bond_types:
         edges = edges.withColumn("bond", F.lit(""))
     if hashed or use_chirality:
-        rounds = fragment_hashes(nodes, edges, radius)
-        if use_chirality and radius:
-            rounds = fragment_hashes(nodes, edges, radius, chiral_marks(nodes, edges, rounds[-1]))
+        rounds = fragment_hashes(nodes, edges, radius, chiral=use_chirality)
         found = [labels.select(GRAPH, F.pmod("label", F.lit(n_bits)).cast("int").alias("bit")) for labels in rounds]
     else:
         found = [labels.select(GRAPH, fold_label(F.col("label"), n_bits).alias("bit")) for labels in fragments(nodes, edges, radius)]
@@ -41,10 +41,25 @@ def fingerprints(nodes: DataFrame, edges: DataFrame, kind: str = "morgan", n_bit
     """(graph_id, bits): sorted set-bit positions, at most ``n_bits`` of them."""
     if kind != "morgan":
         raise ValueError(f"unknown fingerprint type {kind!r}")
-    bits = fingerprint_bits(nodes, edges, n_bits, radius, use_bond_types, use_chirality, hashed)
+    if hashed or use_chirality:
+        return _hashed_fingerprints(nodes, edges if use_bond_types else edges.withColumn("bond", F.lit("")), n_bits, radius, use_chirality)
+    bits = fingerprint_bits(nodes, edges, n_bits, radius, use_bond_types)
     return bits.groupBy(GRAPH).agg(F.sort_array(F.collect_list("bit")).alias("bits"))
 
 
+def _hashed_fingerprints(nodes: DataFrame, edges: DataFrame, n_bits: int, radius: int, chiral: bool) -> DataFrame:
+    """The labels of a graph that was walked in one piece lie in its row and are folded there."""
+    rows, others = hashed_rows(nodes, edges, radius, chiral)
+    labels = F.filter(F.concat(*(f"_l{i}" for i in range(radius + 1))), lambda v: v.isNotNull())
+    folded = F.transform(labels, lambda v: F.pmod(v, F.lit(n_bits)).cast("int"))
+    found = rows.select(GRAPH, F.sort_array(F.array_distinct(folded)).alias("bits"))
+    if others is None:
+        return found
+    bits = [labels.select(GRAPH, F.pmod("label", F.lit(n_bits)).cast("int").alias("bit")) for labels in others]
+    bits = functools.reduce(DataFrame.unionByName, bits).distinct()
+    return found.unionByName(bits.groupBy(GRAPH).agg(F.sort_array(F.collect_list("bit")).alias("bits")))
+
+
 def add_fingerprint_columns(df: DataFrame, fingerprint: DataFrame, key: str, n_bits: int = 1048, prefix: str = "fp") -> DataFrame:
     """Join (key, bits) to ``df`` and widen to one 0/1 column per bit."""
     joined = df.join(fingerprint, key, "left").withColumn("bits", F.coalesce("bits", F.array().cast("array<int>")))

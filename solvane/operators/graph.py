@@ -10,9 +10,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from solvane.functions import smiles
+from solvane.functions import rounds, smiles
 from solvane.operators.ranking import global_rank
 from solvane.operators.vocab import encode_rows
 from solvane.storage import TASK_ROWS, cut, deal, stage
@@ -20,6 +21,8 @@ from solvane.storage import TASK_ROWS, cut, deal, stage
 GRAPH = "graph_id"
 # Graphs with up to this many edge rows are walked within one row; larger ones level by level.
 ROW_EDGES = 512
+# Graphs of up to this many nodes and edges together are relabelled by hashes where they lie; larger ones take part in joins.
+GRAPH_ROWS = 65_536
 # Bits of a hashed label; sums of them are taken within this many bits.
 HASH_BITS = 60
 BOND_COLUMNS = (("src", IntegerType()), ("dst", IntegerType()), ("bond", StringType()))
@@ -144,16 +147,19 @@ def fragments(nodes: DataFrame, edges: DataFrame, radius: int, short: bool = Fal
     round hands to the next one is written, so that its plan does not grow.
     """
     rounds = [nodes.select(GRAPH, "node_id", F.col("label").cast("string").alias("label"))]
+    written = rounds[0], edges
     for step in range(radius):
         current = rounds[-1]
         labelled = relabel(current, edges)
         if short:
             labelled = labelled.withColumn("label", F.md5("label"))
         if step + 1 < radius:
-            edges = relabel_edges(current, edges)
+            # Not from the dealt tables: Spark 4.1 loses rows where a dealt table is met twice in unions and its exchange is reused.
+            edges = relabel_edges(*written)
             if short:
                 edges = edges.withColumn("bond", F.md5("bond"))
-            labelled, edges = _dealt(stage(labelled, "labels"), stage(edges, "bonds"))
+            written = stage(labelled, "labels"), stage(edges, "bonds")
+            labelled, edges = _dealt(*written)
         rounds.append(labelled)
     return rounds
 
@@ -167,22 +173,67 @@ def _joined(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-def fragment_hashes(nodes: DataFrame, edges: DataFrame, radius: int, marks: DataFrame | None = None) -> list[DataFrame]:
+def fragment_hashes(nodes: DataFrame, edges: DataFrame, radius: int, marks: DataFrame | None = None, chiral: bool = False) -> list[DataFrame]:
     """Hashed node labels after rounds 0..radius, each as (graph_id, node_id, label).
 
     A neighbourhood is the sum of its members' hashes, so that no neighbour list
-    is ever made: a node with any number of neighbours is pre-aggregated.  Edges
-    are relabelled between rounds, and what a round hands to the next one is
-    written.  ``marks`` (graph_id, node_id, mark) go into the labels of round 1.
+    is ever made.  Edges are relabelled between rounds.  ``marks`` (graph_id,
+    node_id, mark) go into the labels of round 1; with ``chiral`` they are those of
+    :func:`chiral_marks` by the labels of the last round without them.
+
+    The rounds of a graph of up to GRAPH_ROWS rows are worked out where it lies, in one pass; larger graphs, and those in
+    which a node comes twice, take part in joins, a node with any number of neighbours being pre-aggregated.
+    """
+    if marks is not None:
+        return _hashed_by_joins(nodes, edges, radius, marks)
+    rows, others = hashed_rows(nodes, edges, radius, chiral)
+    kind = nodes.schema["node_id"].dataType
+    found = [
+        rows.select(GRAPH, F.inline(F.arrays_zip("_nodes", f"_l{i}"))).select(GRAPH, F.col("_nodes").cast(kind).alias("node_id"), F.col(f"_l{i}").alias("label"))
+        for i in range(radius + 1)
+    ]
+    return found if others is None else [a.unionByName(b) for a, b in zip(found, others, strict=True)]
+
+
+def hashed_rows(nodes: DataFrame, edges: DataFrame, radius: int, chiral: bool = False) -> tuple[DataFrame, list[DataFrame] | None]:
+    """(a row per graph with the lists ``_nodes`` and, after round i, ``_li``, all rounds of the other graphs or None).
+
+    Nodes and edges are laid under each other and meet in a window by graph, which tables dealt by graph pass
+    where they lie; the result is written.
     """
+    hand = F.when(F.col("chirality") > 0, 1).when(F.col("chirality") < 0, -1).otherwise(0) if chiral else F.lit(0)
+    held = nodes.select(GRAPH, F.col("node_id").alias("src"), F.col("label").cast("string").alias("text"), F.lit(True).alias("_own"), hand.alias("_hand"))
+    bonds = edges.select(GRAPH, "src", "dst", F.col("bond").cast("string").alias("text"), F.lit(False).alias("_own"), F.lit(0).alias("_hand"))
+    bonds = bonds.filter(F.col(GRAPH).isNotNull() & F.col("src").isNotNull())
+    own = Window.partitionBy(GRAPH).orderBy(GRAPH)
+    # All rows of a graph are equal in this order, so that each gets their whole number.
+    flat = held.unionByName(bonds, allowMissingColumns=True).withColumns({"_k": F.row_number().over(own), "_n": F.count("*").over(own)})
+    flat = flat.withColumn("dst", F.col("dst").cast(flat.schema["src"].dataType))
+    lists = [("_nodes", ArrayType(flat.schema["src"].dataType)), *((f"_l{i}", ArrayType(LongType())) for i in range(radius + 1))]
+    plain = [StructField(n, flat.schema[n].dataType) for n in (GRAPH, "src", "dst", "text", "_own", "_hand")]
+    schema = StructType([*plain, *(StructField(n, k) for n, k in lists), StructField("_whole", BooleanType())])
+    arrow, limit = to_arrow_schema(schema), GRAPH_ROWS
+    done = stage(flat.mapInArrow(lambda batches: rounds.walked(batches, limit, radius, chiral, arrow), schema), "rounds")
+    rest = done.filter("_whole is null")
+    rows = done.filter("_whole").select(GRAPH, *(n for n, _ in lists))
+    if rest.isEmpty():
+        return rows, None
+    kind = nodes.schema["node_id"].dataType
+    nodes = rest.filter("_own").select(GRAPH, F.col("src").cast(kind).alias("node_id"), F.col("text").alias("label"), F.col("_hand").alias("chirality"))
+    edges = rest.filter("not _own").select(GRAPH, "src", "dst", F.col("text").alias("bond"))
+    found = _hashed_by_joins(nodes, edges, radius)
+    return rows, _hashed_by_joins(nodes, edges, radius, chiral_marks(nodes, edges, found[-1])) if chiral and radius else found
+
+
+def _hashed_by_joins(nodes: DataFrame, edges: DataFrame, radius: int, marks: DataFrame | None = None) -> list[DataFrame]:
     current = nodes.select(GRAPH, "node_id", hashed_label(F.col("label").cast("string")).alias("label"))
     edges = edges.select(GRAPH, "src", "dst", F.col("bond").cast("string").alias("bond"))
-    rounds, half = [current], F.lit(1 << HASH_BITS // 2).cast("bigint")
+    found, half = [current], F.lit(1 << HASH_BITS // 2).cast("bigint")
     for step in range(radius):
         other = current.select(GRAPH, F.col("node_id").alias("dst"), F.col("label").alias("_b"))
         around = edges.join(other, [GRAPH, "dst"])
         met = around.select(GRAPH, F.col("src").alias("node_id"), hashed_label(_joined(F.col("_b"), "/", F.col("bond"))).alias("_h"))
-        sums = met.groupBy(GRAPH, "node_id").agg(F.sum(F.floor(F.col("_h") / half)).alias("_high"), F.sum(F.col("_h") % half).alias("_low"))
+        sums = met.groupBy(GRAPH, "node_id").agg(F.sum(F.shiftright("_h", HASH_BITS // 2)).alias("_high"), F.sum(F.col("_h") % half).alias("_low"))
         total = ((F.col("_high") % half) * half + F.col("_low") % (half * half)) % (half * half)
         labelled = current.join(sums.select(GRAPH, "node_id", total.alias("_s")), [GRAPH, "node_id"], "left")
         text = _joined(F.col("label"), "(", F.coalesce("_s", F.lit(0)), ")")
@@ -195,9 +246,9 @@ def fragment_hashes(nodes: DataFrame, edges: DataFrame, radius: int, marks: Data
             ends = _joined(F.least("_a", "_b"), "~", F.greatest("_a", "_b"), "/", F.col("bond"))
             edges = stage(around.join(own, [GRAPH, "src"]).select(GRAPH, "src", "dst", hashed_label(ends).cast("string").alias("bond")), "bonds")
             labelled = stage(labelled, "labels")
-        rounds.append(labelled)
+        found.append(labelled)
         current = labelled
-    return rounds
+    return found
 
 
 def chiral_marks(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -321,3 +321,53 @@ def test_dealt_graphs_are_not_dealt_again(spark, work):
     done = work(nodes.repartition(7, "graph_id"), edges.repartition(7, "graph_id"))
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def odd_graphs(spark):
+    """Random graphs with null ids, labels and bonds, ends without a node, an edge that comes twice, and a node that comes twice."""
+    draw = random.Random(9)
+    nodes, edges = [(None, 0, "C", 1), (None, 0, "N", 0), (50, None, "C", 1), (60, 0, "C", 1), (60, 0, "N", 1), (60, 1, "O", 0)], []
+    edges += [(None, 0, 0, "1"), (50, None, 0, "1"), (60, 0, 1, "1"), (60, 1, 0, "1"), (70, 0, 1, "1")]
+    for g in range(25):
+        n = draw.randrange(1, 9)
+        nodes += [(g, i, draw.choice(["C", "N", "O", "F", "S", None] if g % 5 == 0 else "CNOFS"), draw.choice((-1, 0, 1, None))) for i in range(n)]
+        pairs = [(draw.randrange(n), draw.randrange(n + (g % 4 == 0))) for _ in range(2 * n)]
+        edges += [(g, a, b, k) for a, b in pairs for k in [draw.choice(["1", "2", None] if g % 6 == 0 else "12")] for a, b in ((a, b), (b, a))]
+    return (
+        spark.createDataFrame(nodes, "graph_id bigint, node_id int, label string, chirality int").repartition(3),
+        spark.createDataFrame(edges, "graph_id bigint, src bigint, dst bigint, bond string").repartition(3),
+    )
+
+
+@pytest.mark.parametrize(("limit", "chunk"), [(65_536, 1 << 17), (65_536, 5), (20, 1 << 17), (0, 1 << 17)])
+def test_hashed_rounds_within_graphs_equal_those_by_joins(spark, monkeypatch, limit, chunk):
+    monkeypatch.setattr(graph, "GRAPH_ROWS", limit)
+    if chunk < 100:
+        monkeypatch.setattr("solvane.functions.rounds.CHUNK", chunk)
+    nodes, edges = odd_graphs(spark)
+    plain = graph._hashed_by_joins(nodes, edges, 3)
+    marked = graph._hashed_by_joins(nodes, edges, 3, graph.chiral_marks(nodes, edges, plain[-1]))
+    for wanted, found in ((plain, graph.fragment_hashes(nodes, edges, 3)), (marked, graph.fragment_hashes(nodes, edges, 3, chiral=True))):
+        for a, b in zip(wanted, found, strict=True):
+            assert a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    for chiral in (False, True):
+        bits = fingerprint.fingerprint_bits(nodes, edges, 64, 2, use_chirality=chiral, hashed=True).groupBy("graph_id").agg(F.sort_array(F.collect_list("bit")).alias("bits"))
+        whole = fingerprint.fingerprints(nodes, edges, n_bits=64, radius=2, use_chirality=chiral, hashed=True)
+        assert sorted(map(str, bits.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_hashed_rounds_are_worked_out_where_graphs_lie(spark):
+    """Each round once joined edges with labels twice and dealt both to the fixed number of shuffle partitions."""
+    _, _, nodes, edges = random_graphs(spark)
+    for found in (graph.fragment_hashes(nodes, edges, 3)[3], fingerprint.fingerprints(nodes, edges, n_bits=64, hashed=True)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_sums_of_hashes_are_exact(spark):
+    """Halves of a hash were once taken by a division of doubles, which rounds hashes near the next multiple up."""
+    from solvane.operators.graph import HASH_BITS
+
+    values = [(1 << 60) - 1, (3 << 30) + (1 << 59) + (1 << 30) - 1]
+    half = spark.createDataFrame([(v,) for v in values], "_h bigint").select(F.shiftright("_h", HASH_BITS // 2).alias("v"))
+    assert [r["v"] for r in half.collect()] == [v >> 30 for v in values]
