@@ -142,10 +142,10 @@ priced as materialized (select o_orderkey as id, (o_totalprice / 1000)::double a
 
 
 def sparse_fingerprints(spark, folder):
-    """Fingerprints of radius 2 of each order's graph as sparse vectors, beside its price."""
+    """Fingerprints of radius 2 of each order's graph as sparse vectors, beside its price, written once for the passes over it."""
     bits = fingerprint.fingerprints(*nodes_and_edges(spark, folder), n_bits=BITS, radius=2, hashed=True).withColumnRenamed("graph_id", "id")
     price = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).cast("double").alias("measured"))
-    return models.bit_vectors(price.join(bits, "id"), "bits", BITS).select("id", "measured", "features")
+    return stage(models.bit_vectors(price.join(bits, "id"), "bits", BITS).select("id", "measured", "features"), "sparse")
 
 
 STUMP = {"n_estimators": 1, "max_depth": 1, "max_features": "all", "bootstrap": False, "max_samples": 1.0}
@@ -159,7 +159,7 @@ STUMP = {"n_estimators": 1, "max_depth": 1, "max_features": "all", "bootstrap":
     select id, round(case when exists (select 1 from bits b where b.graph_id = id and b.bit = best.bit) then yes else no end, 6) as predicted from priced, best""",
 )
 def m1_one_split(spark, folder):
-    data = stage(sparse_fingerprints(spark, folder), "sparse")
+    data = sparse_fingerprints(spark, folder)
     fitted = models.forest_regressor(STUMP).fit(data)
     return fitted.transform(data).select("id", F.round("predicted", 6).alias("predicted"))
 
@@ -175,7 +175,7 @@ def m1_one_split(spark, folder):
     select id, (case when exists (select 1 from bits b where b.graph_id = id and b.bit = best.bit) then 2 * c11 > n1 else 2 * c01 > n0 end)::int as predicted from classed, best""",
 )
 def m2_one_split(spark, folder):
-    data = stage(binning.with_balanced_bin(sparse_fingerprints(spark, folder), "measured", 2), "sparse")
+    data = binning.with_balanced_bin(sparse_fingerprints(spark, folder), "measured", 2)
     fitted = models.forest_classifier(STUMP).fit(data)
     return fitted.transform(data).select("id", F.col("predicted").cast("int").alias("predicted"))
 
