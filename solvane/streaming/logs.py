@@ -7,6 +7,7 @@ stopping, which depends on the order of checks, keeps those ahead of their turn.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,16 @@ STOPPING = "trial {trial}, score double, best_epoch bigint, stop_epoch bigint, c
 STOPPING_STATE = "next bigint, best double, at bigint, stop bigint, last double, epochs array<bigint>, values array<double>"
 
 
+def _stopping_row(trial, score: float | None, best: int | None, stop: int | None, checks: int, waiting: int) -> pd.DataFrame:
+    """A result row from columns of the right types; a group is given one a batch, so turning types afterwards would cost more than the rule."""
+
+    def whole(value):
+        return pd.arrays.IntegerArray(np.array([value or 0], np.int64), np.array([value is None]))
+
+    measured = np.array([np.nan if score is None else score], np.float64)
+    return pd.DataFrame({"trial": [trial], "score": measured, "best_epoch": whole(best), "stop_epoch": whole(stop), "checks": [checks], "waiting": [waiting]})
+
+
 def stopping_progress(log: DataFrame, patience: int, min_delta: float = 0.0, mode: str = "min", trial: str = "trial", epoch: str = "epoch", value: str = "value", first: int = 0, idle_ms: int | None = None) -> DataFrame:
     """(trial, score, best_epoch, stop_epoch, checks, waiting): early stopping of each trial as its checks arrive.
 
@@ -67,7 +78,6 @@ def stopping_progress(log: DataFrame, patience: int, min_delta: float = 0.0, mod
     if min_delta < 0:
         raise ValueError("min_delta must not be negative")
     sign = 1.0 if mode.startswith("min") else -1.0
-    names = ["score", "best_epoch", "stop_epoch", "checks", "waiting"]
 
     def update(key, batches, state):
         if state.hasTimedOut:
@@ -94,10 +104,7 @@ def stopping_progress(log: DataFrame, patience: int, min_delta: float = 0.0, mod
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         score, best_at = (best, at if best is not None else None) if patience > 0 else (last, None)
-        row = pd.DataFrame([(score, best_at, stop, turn - first, len(waiting))], columns=names)
-        row = row.astype({"score": "float64", "best_epoch": "Int64", "stop_epoch": "Int64", "checks": "int64", "waiting": "int64"})
-        row.insert(0, "trial", key[0])
-        yield row
+        yield _stopping_row(key[0], score, best_at, stop, turn - first, len(waiting))
 
     read = log.select(F.col(trial).alias("trial"), F.col(epoch).cast("bigint").alias("epoch"), F.col(value).cast("double").alias("value")).filter("epoch is not null")
     kind = STOPPING.format(trial=read.schema["trial"].dataType.simpleString())
