@@ -22,11 +22,11 @@ FOREST = {"n_estimators": 8, "max_depth": 6, "min_samples_leaf": 2, "max_feature
 
 
 def order_fingerprints(spark, folder, n_bits=64):
-    """Fingerprint bits of each order's graph beside its price."""
+    """Fingerprint bits of each order's graph beside its price. The bits are kept for the passes over them, and widened in each."""
     nodes, edges = nodes_and_edges(spark, folder)
     bits = fingerprint.fingerprints(nodes, edges, n_bits=n_bits, radius=1).withColumnRenamed("graph_id", "id")
     price = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("measured"))
-    joined = price.join(bits, "id").withColumn("dense", dense_bits("bits", n_bits))
+    joined = cut(price.join(bits, "id")).withColumn("dense", dense_bits("bits", n_bits))
     return models.as_vector(joined, "dense").select("id", "measured", "features")
 
 

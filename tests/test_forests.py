@@ -1,4 +1,5 @@
 import bindings
+from bindings import models as forests
 
 bindings.load_all()
 
@@ -10,3 +11,21 @@ def test_a_value_outside_of_all_bins_has_no_class(spark, tmp_path):
     found = {r["ml_phase"]: r["accuracy"] for r in bindings.QUERIES["m2_forest_classification"](spark, str(tmp_path)).collect()}
     assert set(found) == {"train", "val"}
     assert all(0 <= accuracy <= 1 for accuracy in found.values())
+
+
+def orders_and_lines(spark, folder):
+    lines = [(g, n, "ANR"[(g + n) % 3], "FO"[n % 2], 1.0 * n, 0.1) for g in range(40) for n in range(1, 2 + g % 6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_tax double").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(g, 1000.0 * (g % 7)) for g in range(45)], "o_orderkey long, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passes_over_fingerprints_do_not_work_them_out_again(spark, tmp_path, monkeypatch):
+    """Splits by rank pass several times over the ids, and each pass once relabelled all graphs."""
+    orders_and_lines(spark, str(tmp_path))
+    data = forests.order_fingerprints(spark, str(tmp_path))
+    assert data.count() == 40
+    assert "Window" not in plan_of(data) and "Join" not in plan_of(data)
