@@ -11,9 +11,34 @@ from solvane.functions.arrays import bit_columns
 from solvane.operators.graph import GRAPH, fragment_hashes, fragments, hashed_rows
 
 
+def label_number(label: Column) -> Column:
+    """The first 32 bits of a label's md5."""
+    return F.conv(F.substring(F.md5(label), 1, 8), 16, 10).cast("bigint")
+
+
 def fold_label(label: Column, n_bits: int) -> Column:
     """Bit position of a label, from the first 32 bits of its md5."""
-    return F.pmod(F.conv(F.substring(F.md5(label), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits)).cast("int")
+    return F.pmod(label_number(label), F.lit(n_bits)).cast("int")
+
+
+def _numbers(nodes: DataFrame, edges: DataFrame, radius: int, use_bond_types: bool, use_chirality: bool, hashed: bool) -> DataFrame:
+    if not use_bond_types:
+        edges = edges.withColumn("bond", F.lit(""))
+    if hashed or use_chirality:
+        rounds = fragment_hashes(nodes, edges, radius, chiral=use_chirality)
+        found = [labels.select(GRAPH, F.col("label").alias("number")) for labels in rounds]
+    else:
+        found = [labels.select(GRAPH, label_number(F.col("label")).alias("number")) for labels in fragments(nodes, edges, radius)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def label_numbers(nodes: DataFrame, edges: DataFrame, radius: int = 2, use_bond_types: bool = True, use_chirality: bool = False, hashed: bool = False) -> DataFrame:
+    """Distinct (graph_id, number) rows: the labels of rounds 0..radius before they are folded to a number of bits."""
+    return _numbers(nodes, edges, radius, use_bond_types, use_chirality, hashed).distinct()
+
+
+def _folded(numbers: DataFrame, n_bits: int) -> DataFrame:
+    return numbers.select(GRAPH, F.pmod("number", F.lit(n_bits)).cast("int").alias("bit")).distinct()
 
 
 def fingerprint_bits(nodes: DataFrame, edges: DataFrame, n_bits: int, radius: int, use_bond_types: bool = True, use_chirality: bool = False, hashed: bool = False) -> DataFrame:
@@ -24,26 +49,24 @@ def fingerprint_bits(nodes: DataFrame, edges: DataFrame, n_bits: int, radius: in
     hashes, nodes have a column ``chirality`` (1, -1, or 0 for none), and mirrored
     centres set other bits from radius 1 on.
     """
-    if not use_bond_types:
-        edges = edges.withColumn("bond", F.lit(""))
-    if hashed or use_chirality:
-        rounds = fragment_hashes(nodes, edges, radius, chiral=use_chirality)
-        found = [labels.select(GRAPH, F.pmod("label", F.lit(n_bits)).cast("int").alias("bit")) for labels in rounds]
-    else:
-        found = [labels.select(GRAPH, fold_label(F.col("label"), n_bits).alias("bit")) for labels in fragments(nodes, edges, radius)]
-    bits = found[0]
-    for more in found[1:]:
-        bits = bits.unionByName(more)
-    return bits.distinct()
+    return _folded(_numbers(nodes, edges, radius, use_bond_types, use_chirality, hashed), n_bits)
+
 
+def fingerprints(
+    nodes: DataFrame, edges: DataFrame, kind: str = "morgan", n_bits: int = 2048, radius: int = 2, use_bond_types: bool = True, use_chirality: bool = False, hashed: bool = False, numbers: DataFrame | None = None
+) -> DataFrame:
+    """(graph_id, bits): sorted set-bit positions, at most ``n_bits`` of them.
 
-def fingerprints(nodes: DataFrame, edges: DataFrame, kind: str = "morgan", n_bits: int = 2048, radius: int = 2, use_bond_types: bool = True, use_chirality: bool = False, hashed: bool = False) -> DataFrame:
-    """(graph_id, bits): sorted set-bit positions, at most ``n_bits`` of them."""
+    ``numbers`` saves the relabelling where :func:`label_numbers` of the same settings are already at hand.
+    """
     if kind != "morgan":
         raise ValueError(f"unknown fingerprint type {kind!r}")
-    if hashed or use_chirality:
+    if numbers is not None:
+        bits = _folded(numbers, n_bits)
+    elif hashed or use_chirality:
         return _hashed_fingerprints(nodes, edges if use_bond_types else edges.withColumn("bond", F.lit("")), n_bits, radius, use_chirality)
-    bits = fingerprint_bits(nodes, edges, n_bits, radius, use_bond_types)
+    else:
+        bits = fingerprint_bits(nodes, edges, n_bits, radius, use_bond_types)
     return bits.groupBy(GRAPH).agg(F.sort_array(F.collect_list("bit")).alias("bits"))
 
 

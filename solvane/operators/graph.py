@@ -99,7 +99,7 @@ def beside(nodes: DataFrame, found: DataFrame, column: str) -> DataFrame:
     return met.filter("_own").select(*(F.col(c).cast(kinds[c]).alias(c) for c in nodes.columns), column)
 
 
-def _dealt(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dealt(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written tables, dealt by graph to tasks by their counted rows, unless a graph is too large for a task."""
     largest = edges.groupBy(GRAPH).count().agg(F.max("count")).first()[0] or 0
     if largest > TASK_ROWS:
@@ -159,7 +159,7 @@ def fragments(nodes: DataFrame, edges: DataFrame, radius: int, short: bool = Fal
             if short:
                 edges = edges.withColumn("bond", F.md5("bond"))
             written = stage(labelled, "labels"), stage(edges, "bonds")
-            labelled, edges = _dealt(*written)
+            labelled, edges = dealt(*written)
         rounds.append(labelled)
     return rounds
 

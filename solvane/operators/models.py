@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from solvane.functions.hashing import hash32
 from solvane.functions.kernels import Kernel
 from solvane.operators.binning import with_balanced_bin
-from solvane.operators.fingerprint import fingerprints
+from solvane.operators.fingerprint import fingerprints, label_numbers
 from solvane.operators.kernel import kernel_features, kernel_score
 from solvane.operators.linear import moments
 from solvane.operators.metrics import accuracy, ensemble_metrics, fold_summary, metrics_by, regression_metrics
@@ -153,10 +153,17 @@ def classify_bins(df: DataFrame, id_col: str, target: str, bin_counts: Sequence[
 
 
 def over_fingerprints(nodes: DataFrame, edges: DataFrame, settings: Sequence[dict], run: Callable[[DataFrame, dict], DataFrame]) -> DataFrame:
-    """Results of ``run`` on the fingerprints of each setting, one after the other, with the setting beside them."""
-    result = None
+    """Results of ``run`` on the fingerprints of each setting, one after the other, with the setting beside them.
+
+    Settings that differ in the number of bits alone fold the same labels, which are worked out and written once.
+    """
+    result, written = None, {}
     for setting in settings:
-        part = run(fingerprints(nodes, edges, **setting), setting)
+        labelled = {name: value for name, value in setting.items() if name not in ("kind", "n_bits")}
+        key = tuple(sorted(labelled.items()))
+        if key not in written:
+            written[key] = stage(label_numbers(nodes, edges, **labelled), "numbers")
+        part = run(fingerprints(nodes, edges, **setting, numbers=written[key]), setting)
         part = part.withColumns({name: F.lit(value) for name, value in setting.items()})
         result = part if result is None else result.unionByName(part)
     return result
