@@ -323,6 +323,14 @@ def test_dealt_graphs_are_not_dealt_again(spark, work):
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
 
 
+def test_walks_stay_in_the_deal_of_their_graphs(spark):
+    """Lists of edges meet their start nodes where they lie, so that a task's share does not grow with the table."""
+    _, _, nodes, edges = random_graphs(spark)
+    done = graph._bfs_within_row(nodes.repartition(7, "graph_id"), edges.repartition(7, "graph_id"), 0, "dst")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def odd_graphs(spark):
     """Random graphs with null ids, labels and bonds, ends without a node, an edge that comes twice, and a node that comes twice."""
     draw = random.Random(9)
