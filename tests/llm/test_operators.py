@@ -13,10 +13,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from solvane.llm import bpe_words, curriculum, extraction, fingerprints, quality, shards, simhash, token_counts, token_files, vector_links
+from solvane.llm import bpe_words, curriculum, extraction, fingerprints, quality, queries, shards, simhash, token_counts, token_files, vector_links
 from solvane.llm.components import connected, forest
 from solvane.storage import scratch_path
 
@@ -331,6 +332,25 @@ def test_what_is_taken_follows_the_schedule(spark, docs):
     assert "SQRT" in taken._jdf.queryExecution().optimizedPlan().toString().upper()
 
 
+def test_the_query_mixes_by_the_schedule(spark, tmp_path):
+    """op8 returns documents as training meets them, so what it returns follows the schedule's tilts as well."""
+    draw = random.Random(8)
+    rows = [(i, " ".join(["w"] * draw.randint(1, 30)), draw.choice(["a", "b", "c", None])) for i in range(400)]
+    rows += [(400, None, "a"), (401, "", "b"), (None, "w w", "c"), (7, *rows[7][1:])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op8_curriculum_mix"](spark, str(tmp_path)).collect()
+    planned = curriculum.plan(docs).select("row.doc_id", "size", "source_size", "target", "taken", "places").collect()
+    assert sorted(map(str, found)) == sorted(str(Row(**{c: r[c] for c in found[0].asDict()})) for r in planned)
+    first = {r.doc_id: min(r.places) for r in planned if r.places and r.doc_id != 7}
+    met = [r.doc_id for r in found if r.doc_id in first]
+    assert [first[i] for i in met] == sorted(first.values())
+    taken = [r.doc_id in first or r.taken > 0 for r in found]
+    assert taken == sorted(taken, reverse=True) and not all(taken)
+    mixed = list(dict.fromkeys(r.doc_id for r in curriculum.mixed(docs).collect() if r.doc_id in first))
+    assert [first[i] for i in mixed] == [first[i] for i in met]
+
+
 def test_reruns_take_the_same_rows_of_equal_ids(spark, monkeypatch):
     rows = [(7, f"{w} b c", "s") for w in "nopqrstuvwxyz"] + [(8, "one two", "t"), (8, None, "t")]
     schema = "doc_id bigint, text string, source string"
