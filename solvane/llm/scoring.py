@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from solvane.llm.bilinear import Bilinear, Trainer, contexts
 from solvane.llm.words import gathered, starts_of
-from solvane.storage import stage
+from solvane.storage import WIDE_ROWS, rows_at_once, stage
 
-PARCEL = 8 << 20  # text in a parcel, unless one text has more
+PARCEL = 6 << 20  # text in a parcel, unless one text has more
+TEXTS = 200  # texts that are sent to Python at once
 PACK = 500_000  # counts that are packed at once
 SINGLE = 1000  # words that are classes of their own
 MAGNITUDES = 64  # classes of the others: counts from 2^i to 2^(i + 1) - 1
@@ -69,7 +70,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = read.schema["id"].dataType.simpleString()
     schema = f"ids array<{kind}>, held array<boolean>, lengths array<bigint>, words array<string>, own array<int>, low binary, high binary"
-    return stage(read.mapInArrow(batches, schema).withColumn("parcel", F.monotonically_increasing_id()), "parcels")
+    with rows_at_once(docs.sparkSession, sent=TEXTS):
+        return stage(read.mapInArrow(batches, schema).withColumn("parcel", F.monotonically_increasing_id()), "parcels", **WIDE_ROWS)
 
 
 def magnitudes(counts: np.ndarray) -> np.ndarray:
@@ -151,7 +153,8 @@ def count_words(parcels: DataFrame, single: int) -> DataFrame:
         counts = np.array([-c for c, _ in top], np.int64).tobytes()
         yield pa.RecordBatch.from_pylist([{"totals": totals.tolist(), "members": members.tolist()}, {"words": [w for _, w in top], "c": counts}], COUNTED)
 
-    return stage(dealt.mapInArrow(batches, "parcel bigint, at binary, c binary, totals array<bigint>, members array<bigint>, words array<string>"), "counted")
+    with rows_at_once(parcels.sparkSession, read=1):
+        return stage(dealt.mapInArrow(batches, "parcel bigint, at binary, c binary, totals array<bigint>, members array<bigint>, words array<string>"), "counted")
 
 
 class Classes:
@@ -228,7 +231,8 @@ def code(parcels: DataFrame, counted: DataFrame, classes: Classes, id_type: str)
                 )
 
     schema = f"ids array<{id_type}>, held array<boolean>, lengths array<bigint>, known array<bigint>, base array<double>, share array<double>, classes binary"
-    return stage(whole.mapInArrow(batches, schema), "coded")
+    with rows_at_once(parcels.sparkSession, read=1, sent=1):
+        return stage(whole.mapInArrow(batches, schema), "coded", **WIDE_ROWS)
 
 
 def train(coded: DataFrame, model: Bilinear, rounds: int = ROUNDS) -> Bilinear:
@@ -268,7 +272,8 @@ def train(coded: DataFrame, model: Bilinear, rounds: int = ROUNDS) -> Bilinear:
                 [pa.array(list(sums), pa.int32()), pa.array([w for w, _ in sums.values()], pa.int64()), pa.array([n.tobytes() for _, n in sums.values()], pa.binary())], ["block", "weight", "numbers"]
             )
 
-        means = found.repartition("block").mapInArrow(add_up, "block int, weight bigint, numbers binary").orderBy("block").collect()  # the model's size
+        with rows_at_once(spark, read=1, sent=1):
+            means = found.repartition("block").mapInArrow(add_up, "block int, weight bigint, numbers binary").orderBy("block").collect()  # the model's size
         if not means:
             return model
         model = Bilinear(model.noise).load(np.concatenate([np.frombuffer(r.numbers) / r.weight for r in means]))
@@ -321,4 +326,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return coded.mapInArrow(batches, schema).withColumnRenamed("id", id_col)
+    with rows_at_once(spark, read=1, sent=1):
+        scored = stage(coded.mapInArrow(batches, schema), "scores")
+    return scored.withColumnRenamed("id", id_col)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from solvane.llm import codebooks, lexical, scoring
@@ -234,6 +235,27 @@ def test_scores_count_as_a_plain_version_does(spark, monkeypatch, parcel):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 
+def test_parcels_go_to_python_one_at_a_time(spark, monkeypatch):
+    """A parcel takes megabytes: it is one row of a batch and one page of its table, however many there are, and the session keeps its settings."""
+    sent, read = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before, met, stage = (spark.conf.get(sent), spark.conf.get(read)), {}, scoring.stage
+
+    def staged(df, name, **options):
+        out = stage(df, name, **options)
+        met[name] = (spark.conf.get(sent), spark.conf.get(read), [pq.ParquetFile(f.removeprefix("file:")).metadata for f in out.inputFiles()])
+        return out
+
+    monkeypatch.setattr(scoring, "PARCEL", 300)
+    monkeypatch.setattr(scoring, "stage", staged)
+    rows = [(i, " ".join(f"w{i % 7}{j}" for j in range(60))) for i in range(80)]
+    assert scoring.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).count() == 80
+    assert met["coded"][:2] == met["scores"][:2] == ("1", "1") and met["counted"][1] == "1" and int(met["parcels"][0]) < 10000
+    assert (spark.conf.get(sent), spark.conf.get(read)) == before
+    for name in ("parcels", "coded"):
+        assert sum(m.num_rows for m in met[name][2]) > 20
+        assert {m.row_group(0).column(0).compression for m in met[name][2] if m.num_rows} == {"ZSTD"}
+
+
 def test_scores_of_nothing_and_without_training(spark):
     assert scoring.score_texts(spark.createDataFrame([], SCORED)).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
