@@ -161,6 +161,9 @@ def fragments(nodes: DataFrame, edges: DataFrame, radius: int, short: bool = Fal
             written = stage(labelled, "labels"), stage(edges, "bonds")
             labelled, edges = dealt(*written)
         rounds.append(labelled)
+    if radius > 1:
+        # Nor may a caller's join reuse the exchanges of the last round, for the same reason.
+        rounds[-1] = stage(rounds[-1], "labels")
     return rounds
 
 
